@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, is_contaminated
+from .mixing import mix_report
+from .secrets import secret_report
 from .shared import table
 
 
@@ -48,5 +50,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op1_benchmark_decontamination": op1_benchmark_decontamination}
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_secret_scan": op3_secret_scan,
+    "op7_source_mixing": op7_source_mixing,
+}
 ORACLES = {"op1_benchmark_decontamination": OP1_SQL}
