@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import rows_text
+from . import rows_pages, rows_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (rows_text,):
+for _module in (rows_text, rows_pages):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

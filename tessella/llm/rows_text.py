@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, is_contaminated
+from .jaccard import grouped
 from .mixing import mix_report
+from .pii import pii_report
+from .quality import base_failed, judge, kept
 from .secrets import secret_report
 from .shared import table
 
@@ -60,7 +63,31 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, name, rules = judge(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    s = F.col(name)
+    return out.select(
+        "doc_id",
+        *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        base_failed(name).alias("base_failed"),
+        kept(name, rules).alias("kept"),
+        rules.rejected_by(name).alias("rule"),
+    )
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op2_pii_extraction": op2_pii_extraction,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_secret_scan": op3_secret_scan,
     "op7_source_mixing": op7_source_mixing,
