@@ -79,7 +79,7 @@ def _holds(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
     if kind == "card":
-        return F.luhn_check(digits)
+        return F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(8, 15)
     return F.lit(True)
@@ -87,16 +87,15 @@ def _holds(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Base spans (kind, start, end, value), by kind as listed, then start."""
-    parts = []
-    for kind in KINDS:
-        none = F.array().cast(_SPAN)
-        spans = F.transform(
-            F.filter(_located(text, PATTERNS[kind]), lambda x, kind=kind: _holds(kind, x["value"])),
-            lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")),
-        )
+    none = F.array().cast(_SPAN)
+
+    def of_kind(kind: str) -> Column:
+        good = F.filter(_located(text, PATTERNS[kind]), lambda x: _holds(kind, x["value"]))
+        spans = F.transform(good, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
         needed = text.contains("@") if kind == "email" else text.rlike(NEEDS[kind])
-        parts.append(F.when(needed, spans).otherwise(none))
-    return F.concat(*parts)
+        return F.when(needed, spans).otherwise(none)
+
+    return F.concat(*map(of_kind, KINDS))
 
 
 def candidates(text: Column, base: Column) -> Column:
