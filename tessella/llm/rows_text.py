@@ -12,6 +12,7 @@ from .pii import pii_report
 from .quality import base_failed, judge, kept
 from .secrets import secret_report
 from .shared import table
+from .substrings import span_report
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op2_pii_extraction": op2_pii_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,

@@ -8,7 +8,6 @@ different shingles of a corpus share a number with odds of about 2^-64 a pair.
 from __future__ import annotations
 
 import hashlib
-from functools import cache
 
 import numpy as np
 
@@ -30,12 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
+_known: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """Powers of the base and of its inverse, at least ``n`` of each; the largest asked for stay in memory."""
+    if len(_known[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _known[i] = np.multiply.accumulate(p)
+    return _known[0], _known[1]
 
 
 def _word_numbers(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
