@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "citation_join"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import alignment, collections, events, networks, reports, text  # noqa: F401  (they register themselves)
+from .base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "bm25_topk"
