@@ -227,7 +227,7 @@ def _emit_sites(salts_bc):
 
 
 def _mark_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor, context, d, place. Kind 0: a repeat; kind 1: first of its context, and its anchor has others."""
+    """Rows come by anchor, context, d, place. Kind 0: a repeat; kind 1: first of its context, and its anchor has others or is hot."""
 
     def marks(rows: list[np.ndarray]) -> pa.RecordBatch:
         anchor, context, d, place = _different(*rows)
@@ -238,7 +238,7 @@ def _mark_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_anchor) - 1
         several = np.bincount(group, new_context & ~known, minlength=group[-1] + 1 if len(group) else 0) > 1
         repeat = known | ~new_context
-        keep = repeat | several[group]
+        keep = repeat | several[group] | (place & 1 > 0)  # other contexts of a hot anchor are in other shards
         return _batch(["kind", "anchor", "d", "place"], [(~repeat[keep]).astype(np.int32), anchor[keep], d[keep], place[keep]])
 
     held: list[np.ndarray] | None = None
