@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import align, quality
+from ..functions import similarity, text
+from ..operators import align, lexicon, quality, references
 from .base import query, table
 
 
@@ -87,3 +88,39 @@ def book_coverage(spark, sf_dir):
     j = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, s["s_nationkey"] == n["n_nationkey"])
     g = j.groupBy("n_name", "book").agg(F.count("*").alias("tokens"), F.count_if(F.col("l_discount") > 0.04).alias("aligned"))
     return g.withColumn("coverage", F.round(F.col("aligned") / F.col("tokens"), 6))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_brand), 'ring') ORDER BY p_partkey")
+def lexicon_search(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("strong_number"), F.col("p_name").alias("word"), F.col("p_type").alias("transliteration"), F.col("p_brand").alias("gloss"))
+    return lexicon.search(p, "Ring").select(F.col("strong_number").alias("p_partkey"), F.col("word").alias("p_name"))
+
+
+@query("""WITH n AS (SELECT p_brand AS s, string_split(p_name, ' ')[1] AS w, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, n / sum(n) OVER (PARTITION BY s) AS share, row_number() OVER (PARTITION BY s ORDER BY n DESC, w) AS rank FROM n)
+  SELECT s, w, n, round(share, 6) AS share FROM r WHERE rank <= 3""")
+def translation_candidates(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("s"), F.split("p_name", " ")[0].alias("w"))
+    return lexicon.translation_candidates(lexicon.usage(p, "s", "w"), "s", "w", 3).select("s", "w", "n", F.round("share", 6).alias("share"))
+
+
+@query("""SELECT l_returnflag AS kind, count(*) AS n, count(DISTINCT l_suppkey) AS sources, count(DISTINCT l_partkey) AS targets, round(avg(l_discount * 10), 6) AS mean,
+  CAST(count_if(l_discount * 10 > 0.8) AS BIGINT) AS high, CAST(count_if(l_discount * 10 BETWEEN 0.5 AND 0.8) AS BIGINT) AS medium, CAST(count_if(l_discount * 10 < 0.5) AS BIGINT) AS low FROM lineitem GROUP BY l_returnflag""")
+def reference_statistics(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 10).alias("confidence"))
+    return references.statistics(r).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT period, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first_key FROM orders JOIN (VALUES ('early', 1995, 1997), ('middle', 1997, 1999), ('late', 2000, 2004)) AS p(period, lo, hi) ON year(o_orderdate) BETWEEN lo AND hi GROUP BY period")
+def events_by_period(spark, sf_dir):
+    """Orders in overlapping periods: a table of periods is a closed list."""
+    p = spark.createDataFrame([("early", 1995, 1997), ("middle", 1997, 1999), ("late", 2000, 2004)], "period string, lo int, hi int")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    return o.join(F.broadcast(p), F.col("y").between(F.col("lo"), F.col("hi"))).groupBy("period").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+@query("""SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)), 6) AS themes FROM
+  (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS t FROM benchmark) b ON b.item_id = a.item_id + 1""")
+def neighbour_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(text.latin_words(F.col("text"))).alias("t"))
+    pairs = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta"), (F.col("item_id") + 1).alias("b")).join(b.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), "b")
+    return pairs.select("a", "b", F.round(similarity.jaccard(F.col("ta"), F.col("tb")), 6).alias("themes"))
