@@ -12,10 +12,13 @@ what lies beyond the prefixes to make up.
 
 Skipping on answers: first each set is compared with one hub only, the smallest
 key of the blocks that it shares most often. A set linked to its hub takes over
-the hub's answer, its component; from then on only pairs whose sets have
-different components are looked at. They are found in the lists, counted,
-pruned by the bounds above and compared. So a large group of near copies costs
-one comparison each, and no link between components is lost.
+the hub's answer, its component; from then on only sets of different components
+are looked at. Sets that share much with one hub are a family, whose members are
+compared in chunks with those outside its commonest component. The others are
+found in the lists, counted, pruned by the bounds above and compared; a component
+of several sets is one partner there. So a large group of near copies costs about
+one comparison each, never a row for each pair, and no link between components is
+lost.
 
 Comparisons stream texts sorted by hub (a hub's members are dealt in chunks), and
 count common shingles exactly. All tables between steps are written to the shared
@@ -30,7 +33,9 @@ don't matter.
 from __future__ import annotations
 
 import gc
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +49,12 @@ from .shingles import mix, set_key, shingle_sets
 PERCENT = 80
 #: Different sets of that similarity share at least four shingles (sizes 4 and 5), so this many are asked for.
 SHARED = 4
-SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 14
+#: Counters of the sketch: 2^SKETCH_BITS, whatever the input. Levels are relative to their mean.
+SKETCH_BITS = 22
+SKETCH_CHUNK = 1 << 16
 CHUNK = 256
+#: A set belongs to its hub's family if it shares that part of its prefix with it.
+FAMILY = 0.3
 
 _MEMBERS = "doc_id long, text_hash long, set_key long, size int"
 _POSTINGS = "token long, set_key long, size int, place int"
@@ -65,30 +73,32 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        for s in shingle_sets(batch.column("t").cast(pa.large_binary()).to_pylist()):
-            np.add.at(counts, _bucket(s), 1)
+        for at in range(0, len(batch), 2048):
+            sets = shingle_sets(batch.column("t").slice(at, 2048).cast(pa.large_binary()).to_pylist())
+            bucket, n = np.unique(_bucket(np.concatenate([np.zeros(0, np.uint64), *sets])), return_counts=True)
+            counts[bucket] += n
     parts = counts.reshape(-1, SKETCH_CHUNK)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.uint32).tobytes() for p in parts], pa.binary())], ["chunk", "counts"]
-    )
+    packed = [zlib.compress(np.minimum(p, (1 << 32) - 1).astype(np.uint32).tobytes(), 1) for p in parts]
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["chunk", "counts"])
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(raw), np.uint32).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
 def levels(docs: DataFrame, text: str) -> np.ndarray:
-    """The frequency level of each sketch bucket: bits of its count of documents. 2^SKETCH_BITS bytes."""
+    """The frequency level of each sketch bucket, eight to an octave: 24 is the mean count. 2^SKETCH_BITS bytes."""
     rows = docs.select(F.col(text).alias("t")).mapInArrow(_count, "chunk int, counts binary")
-    summed = rows.repartition(16, "chunk").mapInArrow(_add_up, "chunk int, counts binary").collect()
+    summed = rows.repartition(16, "chunk").mapInArrow(_add_up, "chunk int, counts binary").toLocalIterator()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in summed:
-        out[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+        out[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    mean = max(1.0, float(out.mean()))
+    return np.clip(np.round(8 * np.log2(np.maximum(out, 1) / mean) + 24), 0, 63).astype(np.uint8)
 
 
 def in_order(shingles: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -100,6 +110,10 @@ def prefix_size(n: int) -> int:
     return min(n, n - -(-PERCENT * n // 100) + SHARED)
 
 
+def prefix_sql(n: str):
+    return F.expr(f"least({n}, {n} - ceil({PERCENT} * {n} / 100.0) + {SHARED})")
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column("t").cast(pa.large_binary()).to_pylist())
@@ -147,7 +161,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for hub, chunk, role, member, s in zip(hubs, chunks, roles, who, sets, strict=True):
                 if role == 0:
                     now, hub_set = (hub, chunk), s
-                    continue
+                    continue  # a text that repeats with its id comes twice and changes nothing
                 if now != (hub, chunk):
                     raise RuntimeError(f"no text for hub {hub}")
                 both = len(np.intersect1d(hub_set, s, assume_unique=True))
@@ -167,6 +181,58 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(parts, "hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(_compare, "a long, b long")
 
 
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by class and chunk, the chunk's members (role 0) first, then the sets to compare with all of them.
+
+    A set gets one link to each other component that it reaches in the chunk.
+    """
+    now, keys, labels, flat, starts = None, [], [], [], None
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            sets = shingle_sets(part.column("t").cast(pa.large_binary()).to_pylist())
+            rows = zip(*(part.column(n).to_pylist() for n in ("class", "chunk", "role", "who", "label")), sets, strict=True)
+            left, right = [], []
+            for family, chunk, role, key, label, s in rows:
+                if now != (family, chunk):
+                    now, keys, labels, flat = (family, chunk), [], [], []
+                if role == 0:
+                    keys.append(key)
+                    labels.append(label)
+                    flat.append(s)
+                    starts = None
+                    continue
+                if not keys:
+                    raise RuntimeError(f"no members of class {family}")
+                if starts is None:
+                    starts = np.cumsum([0] + [len(m) for m in flat])
+                    whole, of = np.concatenate(flat), np.array(labels)
+                place = np.minimum(np.searchsorted(s, whole), len(s) - 1)
+                both = np.add.reduceat((s[place] == whole).astype(np.int64), starts[:-1])
+                hit = np.flatnonzero((100 * both >= PERCENT * (len(s) + np.diff(starts) - both)) & (of != label))
+                for i in hit[np.unique(of[hit], return_index=True)[1]]:
+                    left.append(keys[i])
+                    right.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def compare_classes(classes: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets b of ``wanted`` (class, b, label) and the members a of ``classes`` (class, set_key, label).
+
+    A class's texts are sent once, in chunks of about CHUNK members; the sets to compare are sent once to each chunk.
+    """
+    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    asked = wanted.join(sizes, "class")
+    heads = classes.join(asked.select("class", "chunks").distinct(), "class")
+    heads = heads.select("class", F.pmod(F.xxhash64("set_key"), F.col("chunks")).alias("chunk"), F.lit(0).alias("role"), F.col("set_key").alias("who"), "label")
+    filled = heads.select("class", "chunk").distinct()
+    asks = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).join(filled, ["class", "chunk"])
+    asks = asks.select("class", "chunk", F.lit(1).alias("role"), F.col("b").alias("who"), "label")
+    rows = heads.unionByName(asks).join(texts.withColumnRenamed("set_key", "who"), "who")
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return rows.repartition(parts, "class", "chunk").sortWithinPartitions("class", "chunk", "role").mapInArrow(_compare_blocks, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(set_key, label): the smallest key reachable by ``links`` (a, b); labels spread, then jump, until none changes."""
     links = stored(links.distinct(), "links")
@@ -199,37 +265,56 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     # the texts of all sets that share a list, one for each set
     wanted = rows.select("set_key").distinct()
     reps = members.join(wanted, "set_key").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("set_key", F.col("r.doc_id").alias("rd"), F.col("r.text_hash").alias("rh"))
-    texts = stored(plain.join(reps, plain["d"].eqNullSafe(reps["rd"]) & (plain["h"] == reps["rh"])).select("set_key", "t").dropDuplicates(["set_key"]), "texts")
+    texts = stored(plain.join(reps, plain["d"].eqNullSafe(reps["rd"]) & (plain["h"] == reps["rh"])).select("set_key", "t"), "texts")
     _release(spark)
 
-    hubs = rows.where("hub != set_key").groupBy("hub", "set_key").agg(F.count("*").alias("n"))
-    first = stored(hubs.groupBy("set_key").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a")).select("a", F.col("set_key").alias("b")), "pairs")
-    links = stored(compare(first, texts), "linked")
+    hubs = rows.where("hub != set_key").groupBy("hub", "set_key", "size").agg(F.count("*").alias("n"))
+    first = hubs.groupBy("set_key", "size").agg(F.max_by(F.struct("hub", "n"), F.struct("n", -F.col("hub"))).alias("h"))
+    first = stored(first.select(F.col("h.hub").alias("a"), F.col("set_key").alias("b"), (F.col("h.n") >= FAMILY * prefix_sql("size")).alias("kin")), "pairs")
+    links = stored(compare(first.select("a", "b"), texts), "linked")
     label = components(links)
     _release(spark)
 
-    # what is left: pairs in one list whose sets have different components
-    labelled = rows.select("token", "set_key", "size", "place").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
-    labelled = labelled.join(mixed, "token", "left_semi")
-    x = labelled.select("token", F.col("set_key").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    y = labelled.select("token", F.col("set_key").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+    # Families: sets that share much of their prefix with one hub, linked or not. All members are compared with those
+    # outside the family's commonest component; the members' texts are sent once for each chunk of sets to compare.
+    family = components(first.where("kin").select("a", "b")).select("set_key", F.col("label").alias("class"))
+    kin = family.join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    kin = stored(kin, "families")
+    main = kin.groupBy("class", "label").agg(F.count("*").alias("n")).groupBy("class").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    asks = kin.join(main, "class").where("label != main").select("class", F.col("set_key").alias("b"), "label")
+    links = stored(links.union(compare_classes(kin, asks, texts)), "linked")
+    _release(spark)
+
+    # What is left: sets in one list that have different components and families. A component of several sets is one
+    # partner, compared chunk by chunk with all of its members; single sets are paired with single sets.
+    labelled = rows.select("token", "set_key", "size", "place").join(kin.select("set_key", "class"), "set_key", "left").join(label, "set_key", "left")
+    labelled = labelled.withColumn("single", F.col("label").isNull()).withColumn("label", F.coalesce("label", "set_key")).withColumn("class", F.coalesce("class", "set_key"))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("class").alias("lc"), F.max("class").alias("hc")).where("lo != hi AND lc != hc").select("token")
+    labelled = stored(labelled.join(mixed, "token", "left_semi"), "mixed")
+    partners = labelled.where("NOT single").select("token", F.col("label").alias("of"), F.col("class").alias("of_class")).distinct()
+    wanted = labelled.join(partners, "token").where("label != of AND class != of_class").groupBy("set_key", "label", "of", "token").agg(F.lit(1).alias("one"))
+    wanted = wanted.groupBy(F.col("of").alias("class"), F.col("set_key").alias("b"), "label").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).drop("n")
+    alone = labelled.where("single")
+    x = alone.select("token", F.col("set_key").alias("a"), F.col("size").alias("sa"), F.col("place").alias("pa"), F.col("class").alias("ca"))
+    y = alone.select("token", F.col("set_key").alias("b"), F.col("size").alias("sb"), F.col("place").alias("pb"), F.col("class").alias("cb"))
     reachable = f"least(pa, pb) + least(sa - pa, sb - pb) >= {needed('sa', 'sb')}"
     beyond = lambda n: f"({n} - least({n}, {n} - ceil({PERCENT} * {n} / 100.0) + {SHARED}))"
     pairs = (
         x.join(y, "token")
-        .where(f"a < b AND la != lb AND 100 * least(sa, sb) >= {PERCENT} * greatest(sa, sb) AND {reachable}")
+        .where(f"a < b AND ca != cb AND 100 * least(sa, sb) >= {PERCENT} * greatest(sa, sb) AND {reachable}")
         .groupBy("a", "b", "sa", "sb")
         .agg(F.count("*").alias("n"))
         .where(f"n >= {SHARED} AND n + greatest({beyond('sa')}, {beyond('sb')}) >= {needed('sa', 'sb')}")
         .select("a", "b")
     )
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-    if more.head(1):
-        links = stored(links.union(compare(more, texts)), "linked")
-        label = components(links)
-        _release(spark)
+    pairs, wanted = stored(pairs.join(known, ["a", "b"], "left_anti"), "pairs"), stored(wanted, "wanted")
+    _release(spark)
+    members_of = label.select(F.col("label").alias("class"), "set_key", "label")
+    more = [compare(pairs, texts)] * bool(pairs.head(1)) + [compare_classes(members_of, wanted, texts)] * bool(wanted.head(1))
+    links = stored(reduce(DataFrame.union, more, links), "linked") if more else links
+    label = components(links)
+    _release(spark)
     return members, label
 
 
