@@ -35,6 +35,8 @@ LEAST_PAYLOAD = 100
 READ_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
 FILE_BYTES = 1 << 30
+#: Archive bytes that one reading task gets.
+TASK_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
 
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
@@ -160,9 +162,13 @@ def _reader(folder: str):
 
 
 def read(folder: str, index: DataFrame) -> DataFrame:
-    """The records of the (selected) index rows; a revisit's payload is null."""
+    """The records of the (selected) index rows; a revisit's payload is null.
+
+    The number of tasks follows from the bytes to read: index rows are too small to tell.
+    """
     places = index.select("file", "offset", "length")
-    return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(folder), RECORDS)
+    tasks = -(-(places.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame, **kw) -> DataFrame:
