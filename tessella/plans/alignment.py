@@ -16,9 +16,9 @@ TURNS = f"""p AS (SELECT u.conv_id AS c, u.turn AS t, {TOKENS.replace('text', 'u
 
 
 def turns(spark, sf_dir):
-    """(c, t, a, b): the first twelve words of both turns, as one sentence pair."""
+    """(c, t, a, b): all words of both turns, as one sentence pair."""
     c = table(spark, sf_dir, "conversations")
-    w = F.slice(text.latin_words(F.col("text")), 1, 12)
+    w = text.latin_words(F.col("text"))
     u = c.where("role = 'user'").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), w.alias("a"))
     s = c.where("role = 'assistant'").select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("t"), w.alias("b"))
     return u.join(s, ["c", "t"])
