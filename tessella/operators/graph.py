@@ -68,18 +68,21 @@ def bfs(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def shortest(edges: DataFrame, start, rounds: int = 20) -> DataFrame:
-    """(id, cost) by relaxing edges (src, dst, weight) until nothing changes, ``rounds`` times at most."""
-    e = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+def shortest(edges: DataFrame, start) -> DataFrame:
+    """(id, cost) by relaxing edges (src, dst, weight) until nothing changes; a negative cycle is an error."""
+    e = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     spark = edges.sparkSession
     best = spark.createDataFrame([(start,)], ["id"]).select(F.col("id").cast(edges.schema["src"].dataType), F.lit(0.0).alias("cost"))
-    for _ in range(rounds):
-        reach = best.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"))
-        after = cut(best.unionByName(reach).groupBy("id").agg(F.min("cost").alias("cost")))
-        changed = after.join(best.withColumnRenamed("cost", "old"), "id", "left").where("old IS NULL OR cost < old - 1e-12").head(1)
-        best = after
-        if not changed:
-            break
+    moved, most = best, None
+    while moved.head(1):
+        if most is None:
+            most = 1 + e.select("dst").distinct().count()
+        elif not most:
+            raise ValueError("a cycle has a negative weight")
+        most -= 1
+        reach = moved.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("weight")).alias("new"))
+        after = cut(best.join(reach, "id", "full").select("id", F.least("cost", "new").alias("cost"), (F.col("cost").isNull() | (F.col("new") < F.col("cost"))).alias("better")))
+        best, moved = after.select("id", "cost"), after.where("better").select("id", "cost")
     return best
 
 

@@ -83,3 +83,85 @@ def test_positions_and_assignment_use_all_words(spark, talk):
     got = {(r["c"], r["t"], r["s_idx"], r["t_idx"]): r["score"] for r in registry.QUERIES["position_scores"](spark, folder).collect()}
     assert got == pytest.approx(want, abs=2e-5)
     assert {(r["key"], r["s_idx"], r["t_idx"]) for r in registry.QUERIES["greedy_assignment"](spark, folder).collect()} == chosen
+
+
+@pytest.fixture(scope="module")
+def goods(spark, tmp_path_factory):
+    """Line items of all quantities and taxes: a chain of 30 ids beyond 40, a longer but cheaper way, random edges."""
+    rng = random.Random(5)
+    rows = [(i, i + 1, 2, 0.05) for i in range(1, 31)] + [(1, 100, 2, 0.0), (100, 31, 2, 0.0), (41, 81, 3, 0.02), (81, 41, 1, 0.03), (5, 5, 1, 0.02)]
+    rows += [(rng.randrange(1, 130), rng.randrange(1, 130), rng.randrange(1, 8), rng.randrange(11) / 100) for _ in range(120)]
+    rows = [(*r, float(rng.randrange(1, 51)), rng.randrange(9) / 100) for r in rows]
+    folder = str(tmp_path_factory.mktemp("goods"))
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_linenumber int, l_discount double, l_quantity double, l_tax double").write.parquet(f"{folder}/lineitem.parquet")
+    return folder, sorted({(s, d, ("causes", "before", "related_to")[n % 3], c * 10) for s, d, n, c, *_ in rows})
+
+
+def test_graph_holds_all_edges(spark, goods):
+    folder, edges = goods
+    run = lambda name: {tuple(r) for r in registry.QUERIES[name](spark, folder).collect()}
+    turned = {"before": "after"}
+    assert run("bidirectional_edges") == {(s, d, k) for s, d, k, _ in edges} | {(d, s, turned.get(k, k)) for s, d, k, _ in edges}
+    assert run("event_pattern") == {(s, d, f) for s, d, k, _ in edges for e, f, m, _ in edges if k == "causes" and m == "before" and d == e}
+    causes = collections.defaultdict(float)
+    for s, d, k, c in edges:
+        if k == "causes":
+            causes[d, s] = max(causes[d, s], c)
+    assert run("direct_causes") == {(d, s, round(c, 6)) for (d, s), c in causes.items()}
+
+
+def test_walks_use_all_edges(spark, goods):
+    folder, edges = goods
+    after = collections.defaultdict(set)
+    for s, d, *_ in edges:
+        after[s].add(d)
+    paths, level = set(), [(i,) for i in range(10)]
+    for _ in range(3):
+        level = [(*p, d) for p in level for d in after[p[-1]] if d not in p]
+        paths |= set(level)
+    got = registry.QUERIES["recursive_paths"](spark, folder).collect()
+    assert sorted((r["path"], r["length"]) for r in got) == sorted((">".join(map(str, p)), len(p) - 1) for p in paths)
+    far, front = {1: 0}, {1}
+    for n in range(1, 5):
+        front = {d for s in front for d in after[s]} - set(far)
+        far |= dict.fromkeys(front, n)
+    assert {r["id"]: r["distance"] for r in registry.QUERIES["bfs_reach"](spark, folder).collect()} == far
+
+
+def test_costs_are_least_over_paths_of_any_length(spark, goods):
+    folder, edges = goods
+    factor = {"causes": 0.8, "before": 1.0, "related_to": 1.5}
+    cost, moved = {1: 0.0}, True
+    while moved:
+        moved = False
+        for s, d, k, c in edges:
+            new = cost.get(s, math.inf) + (1 - c) * factor[k]
+            if new < cost.get(d, math.inf):
+                cost[d], moved = new, True
+    got = {r["id"]: r["cost"] for r in registry.QUERIES["shortest_paths"](spark, folder).collect()}
+    assert got == pytest.approx(cost, abs=2e-6)
+
+
+def test_ranks_cover_all_ids(spark, goods):
+    folder, edges = goods
+    weight, ids = collections.Counter((s, d) for s, d, *_ in edges), {i for e in edges for i in e[:2]}
+    total = collections.Counter()
+    for (s, _), w in weight.items():
+        total[s] += w
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(5):
+        got = collections.Counter()
+        for (s, d), w in weight.items():
+            got[d] += rank[s] * w / total[s]
+        lost = sum(r for i, r in rank.items() if i not in total)
+        rank = {i: 0.15 / len(ids) + 0.85 * (got[i] + lost / len(ids)) for i in ids}
+    assert {r["id"]: r["rank"] for r in registry.QUERIES["pagerank"](spark, folder).collect()} == pytest.approx(rank, abs=2e-8)
+
+
+def test_long_chains_converge_and_negative_cycles_are_refused(spark):
+    from tessella.operators import graph
+
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(25)], "src long, dst long, weight double")
+    assert {r["id"]: r["cost"] for r in graph.shortest(chain, 0).collect()} == {i: float(i) for i in range(26)}
+    with pytest.raises(ValueError, match="negative"):
+        graph.shortest(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.5)], "src long, dst long, weight double"), 1)
