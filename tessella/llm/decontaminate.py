@@ -12,8 +12,9 @@ read in blocks of at most BLOCK_BYTES of text, each block is broadcast and the
 documents pass through one scan for each block, in one stage.
 
 Defined results: null or word-less text has no words, no hits and is clean; an
-item without words is skipped; repeated items with equal text all count; an
-empty benchmark leaves every document clean; repeated document rows are judged
+item without words is skipped; the words of items with a null id are hit like
+others, all such items count once in n_items and add nothing to items_sha256;
+repeated items with equal text all count; an empty benchmark leaves every document clean; repeated document rows are judged
 one by one; other columns pass through untouched.
 """
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,7 +241,7 @@ def _scan(bc, text: str, report: str):
                             "n_words": int(sizes[d]),
                             "n_hit": sum(n for _, n in s),
                             "n_items": len(ids),
-                            "items_sha256": hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                            "items_sha256": hashlib.sha256(",".join(str(x) for x in ids if x is not None).encode()).hexdigest(),
                             "items": ids,
                             "spans": [x for pair in s for x in pair],
                             "longest_match": m,
@@ -256,7 +257,7 @@ def _scan(bc, text: str, report: str):
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
     """The benchmark's items in blocks of at most ``limit`` bytes of text, streamed partition by partition."""
     held, size = [], 0
-    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
         raw = row["t"].encode()
         if held and size + len(raw) > limit:
             yield held
@@ -334,9 +335,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    top = out.groupBy("item_id", "offset").agg(F.max("length").alias("top"))
+    top = Window.partitionBy("item_id", "offset")
     return (
-        out.join(top, ["item_id", "offset"])
+        out.withColumn("top", F.max("length").over(top))
         .where("length = top")
         .groupBy("item_id", "offset", "length")
         .agg(F.sum("places").alias("places"), F.min("doc_id").alias("doc_id"))

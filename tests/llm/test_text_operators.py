@@ -51,6 +51,16 @@ def test_decontamination(spark, docs, block_bytes):
     assert sorted(got, key=repr) == sorted(((t, *contamination_by_hand(t, items)) for _, t in rows), key=repr)
 
 
+def test_decontamination_searches_items_with_null_ids(spark, docs):
+    held = " ".join(f"v{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, held), (None, "short null item"), (7, held)], "item_id long, text string")
+    out, r = decontaminate.contamination(docs([(1, held), (2, "short null item"), (3, "clean")]), bench, block_bytes=60)
+    digest = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    got = {x["doc_id"]: (x[r]["n_hit"], x[r]["n_items"], x[r]["items_sha256"], x["bad"]) for x in out.withColumn("bad", decontaminate.is_contaminated(r)).collect()}
+    assert got == {1: (20, 2, digest("7"), True), 2: (3, 1, digest(""), True), 3: (0, 0, digest(""), False)}
+    assert [x["doc_id"] for x in decontaminate.decontaminate(docs([(1, held), (2, "short null item"), (3, "clean")]), bench).collect()] == [3]
+
+
 def test_decontamination_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs(EDGE), bench).count() == len(EDGE)
