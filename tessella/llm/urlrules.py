@@ -1,10 +1,12 @@
 """URL filters: host rules, and association rules mined from labelled URLs with Spark's FP-growth.
 
-A URL becomes a set of at most eleven tokens: its scheme, the last four host labels
-with their place, the first three path words with a letter, the names of its first
-three query parameters. (The bound keeps the number of item sets of a URL small.) FP-growth finds frequent token
-sets among labelled URLs; rules that end in "block" with enough confidence and
-support stay, less any that a shorter rule already covers. They are matched
+A URL becomes the set of its tokens: its scheme, all host labels with their place
+from the end, all path words with a letter, the names of all query parameters.
+FP-growth finds frequent token sets among labelled URLs; rules that end in "block"
+with enough confidence and support stay, less any that a shorter rule already
+covers. Tokens that no such rule of several tokens can hold are taken out
+beforehand, which loses no rule and keeps item sets few: those in too few blocked
+URLs, those in every URL, and those that are a rule by themselves. Rules are matched
 through an inverted index: each rule stands under its rarest token, the tokens of
 every URL are looked up, and a rule fits if the URL has all its tokens. Labels
 are what the host rules say of the pages they fit.
@@ -16,6 +18,8 @@ rule that is confident enough, allows all that the host rules leave open.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +38,7 @@ LEAST_SUPPORT = 0.005
 LEAST_CONFIDENCE = 0.95
 #: URLs that a rule's tokens must hold together, whatever their share.
 LEAST_URLS = 10
-BLOCK, ALLOW = "=block", "=allow"
+BLOCK = "=block"
 
 
 def host(url: Column) -> Column:
@@ -59,11 +63,11 @@ def host_rule(host_: Column, path_: Column, rules=HOST_RULES) -> tuple[Column, C
 def tokens(url: Column) -> Column:
     """The distinct tokens of a URL."""
     labels = F.reverse(F.split(host(url), r"\.", -1))
-    at = F.transform(F.slice(labels, 1, 4), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
+    at = F.transform(labels, lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x))
     lettered = F.filter(F.split(path(url), r"[^A-Za-z0-9]+", -1), lambda x: x.rlike("[A-Za-z]"))
-    words = F.transform(F.slice(lettered, 1, 3), lambda x: F.concat(F.lit("p:"), lower_ascii(x)))
+    words = F.transform(lettered, lambda x: F.concat(F.lit("p:"), lower_ascii(x)))
     names = F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit(r"[?&]([^=&#]+)"), F.lit(1))
-    query = F.transform(F.slice(names, 1, 3), lambda x: F.concat(F.lit("q:"), x))
+    query = F.transform(names, lambda x: F.concat(F.lit("q:"), x))
     scheme = F.array(F.concat(F.lit("s:"), lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1))))
     whole = F.array_distinct(F.concat(scheme, at, words, query))
     return F.when(url.isNotNull() & url.contains("://"), whole).otherwise(F.array().cast("array<string>"))
@@ -71,10 +75,18 @@ def tokens(url: Column) -> Column:
 
 def mine(labelled: DataFrame, n: int, url: str, label: str, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """Rules (items, confidence, support) for "block" from ``n`` labelled URLs, written to the shared folder; ``label`` is block or allow."""
-    sets = labelled.where(F.col(label).isin("block", "allow")).select(F.concat(F.array(F.concat(F.lit("="), F.col(label))), tokens(F.col(url))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_URLS / n)), minConfidence=confidence).fit(sets)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK) & ~F.array_contains("antecedent", ALLOW) & ~F.array_contains("antecedent", BLOCK))
-    rules = stored(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
+    sets = labelled.where(F.col(label).isin("block", "allow")).select((F.col(label) == "block").alias("bad"), tokens(F.col(url)).alias("items"))
+    least = min(1.0, max(support, LEAST_URLS / n))
+    each = sets.select("bad", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("k"), F.count_if("bad").alias("b"))
+    each = stored(each.where(F.col("b") >= math.ceil(least * n)), "url-tokens")
+    # a token that every URL holds changes no confidence; it can only be a rule where all tokens are
+    alone = each.where(F.col("b") / F.col("k") >= confidence).select(F.array("item").alias("items"), (F.col("b") / F.col("k")).alias("confidence"), (F.col("b") / n).alias("support"))
+    mixed = each.where((F.col("b") / F.col("k") < confidence) & (F.col("k") < n))
+    known = F.array(*[F.lit(r["item"]) for r in mixed.collect()]).cast("array<string>")
+    left = sets.select(F.concat(F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>")), F.array_intersect("items", known)).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=confidence).fit(left)
+    rules = model.associationRules.where(F.array_contains("consequent", BLOCK) & ~F.array_contains("antecedent", BLOCK))
+    rules = stored(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support").unionByName(alone), "rules")
     # a rule is left out if its items contain those of another: each smaller item set is looked up by its rarest item
     short = rules.select(F.col("items").alias("small"), F.explode("items").alias("item"))
     covered = (

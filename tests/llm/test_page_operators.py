@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,23 @@ def test_mined_rules_are_confident_and_applied(spark):
     assert [r[0] for r in urlrules.matched(new, rules, "url").collect()] == ["http://q.org/es/1"]
 
 
+def test_rules_see_all_tokens_of_a_url(spark):
+    rows = [(f"http://h.org/a/b/c/{'es' if i % 2 else 'de'}/{i}", "block" if i % 2 else "allow") for i in range(100)]
+    rows += [(f"http://{'bad' if i % 2 else 'good'}.a.b.c.org/x?a=1&b=2&c=3&{'spam' if i % 4 < 2 else 'ham'}={i}", "block" if i % 4 == 1 else "allow") for i in range(100)]
+    rules = urlrules.mine(spark.createDataFrame(rows, "url string, label string"), 200, "url", "label")
+    found = {tuple(r["items"]) for r in rules.collect()}
+    tokens = lambda u: {"s:http"} | {f"h{i}:{x}" for i, x in enumerate(u.split("/")[2].split(".")[::-1])} | {f"p:{w}" for w in u.split("?")[0].split("/")[3:] if not w.isdigit()} | {f"q:{q.split('=')[0]}" for q in u.split("?")[1:] for q in q.split("&")}
+    sets, want = [(tokens(u), lab == "block") for u, lab in rows], set()
+    for size in (1, 2, 3):
+        for items in {c for t, bad in sets if bad for c in itertools.combinations(sorted(t), size)}:
+            held = [bad for t, bad in sets if t.issuperset(items)]
+            if sum(held) >= 10 and sum(held) / len(held) >= 0.95 and not any(set(w) < set(items) for w in want):
+                want.add(items)
+    assert found == want and ("p:es",) in want and any("h4:bad" in w for w in want)
+    new = spark.createDataFrame([("http://h.org/a/b/c/es/1",), ("http://h.org/a/b/c/fr/1",)], "url string")
+    assert [r[0] for r in urlrules.matched(new, rules, "url").collect()] == ["http://h.org/a/b/c/es/1"]
+
+
 def test_url_filter_edges(spark):
     out, n = urlrules.judged(make(spark, [(1, None, ""), (2, "nothing", ""), (2, "nothing", "")]))
     assert sorted((r["page_id"], r[n["verdict"]]) for r in out.collect()) == [(1, "allow"), (2, "allow"), (2, "allow")]
