@@ -318,21 +318,26 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     return members, label
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_hash, size, label): the label is a set key, one for each component; null without words."""
+    members, label = join(docs, doc_id, text)
+    return members.join(label, "set_key", "left").select("doc_id", "text_hash", "size", F.coalesce("label", "set_key").alias("label"))
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable by links)."""
-    members, label = join(docs, doc_id, text)
-    keyed = members.join(label, "set_key", "left").select("doc_id", "text_hash", "size", F.coalesce("label", "set_key").alias("label"))
+    keyed = _keyed(docs, doc_id, text)
     least = keyed.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = keyed.join(least, "label", "left")
     return out.select("doc_id", "text_hash", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest doc_id; rows without words all stay."""
-    found = grouped(docs, doc_id, text)
-    # the first text of the smallest id stays where rows share that id
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("text_hash"))).alias("text_hash"))
-    gone = stored(found.where("n_shingles > 0").join(first.select(F.col("component_id").alias("c_"), F.col("text_hash").alias("h_")), F.col("component_id").eqNullSafe(F.col("c_"))).where("NOT (doc_id <=> component_id AND text_hash = h_)").select(F.col("doc_id").alias("gone_id_"), F.col("text_hash").alias("gone_hash_")).distinct(), "gone")
+    """One document of each group: the one with the smallest doc_id (null is the largest), then text hash; rows without words all stay."""
+    found = _keyed(docs, doc_id, text).where("label IS NOT NULL")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    gone = found.join(first, "label").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
+    gone = stored(gone.select(F.col("doc_id").alias("gone_id_"), F.col("text_hash").alias("gone_hash_")).distinct(), "gone")
     key, order = fresh(docs, "hash_"), fresh(docs, "order_")
     marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     left = marked.join(gone, F.col(f"`{doc_id}`").eqNullSafe(F.col("gone_id_")) & (F.col(key) == F.col("gone_hash_")), "left_anti")

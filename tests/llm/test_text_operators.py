@@ -291,6 +291,14 @@ def test_jaccard_keeps_one_of_each_group(spark, docs):
     assert jaccard.grouped(docs(rows).limit(0)).count() == 0
 
 
+def test_jaccard_keeps_texts_without_links_whatever_their_ids(spark, docs):
+    own = lambda c: " ".join(f"{c}{i}" for i in range(20))
+    rows = [(None, own("a")), (None, own("b")), (None, own("b")), (None, own("c") + " end"), (9, own("c") + " end"), (5, own("d")), (5, own("e")), (6, own("e")), (7, own("d")), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(docs(rows, True)).collect()]
+    want = [(None, own("a")), (None, own("b")), (9, own("c") + " end"), (5, own("d")), (5, own("e")), (None, None)]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_mixing(spark, docs):
     rng = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 1500))), rng.choice(["a", "b", "B", None, "é"])) for i in range(200)]
