@@ -8,7 +8,10 @@ with how page-specific its texts are; branches of low importance (the same few
 texts on most pages) are removed from each page. Elements that say what they are
 (nav, footer, aside, form, adverts, comments, hidden ones, ...) are removed
 everywhere, and where a page has an article (else a main) element, only its
-content counts.
+content counts. Where a page has no text of an article or main outside elements
+that only a class, id or role marks, such an element isn't removed if it holds an
+article or main, or over half of the page's text. Marks after has-, no- or with-
+don't count.
 
 Exact copies of a page count once in the tree. A path that holds much of a host's
 text is never removed: many near copies of one article are no template. The tree
@@ -54,6 +57,8 @@ NOISE = frozenset(
     "footer sidebar sidebars widget widgets cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social comment comments commentlist disqus respond replies reply related recommended recommendations pagination pager masthead toolbar search complementary contentinfo".split()
 )
+#: Marks that say something of the layout and not of the element's own content.
+QUALIFIED = re.compile(r"(?<![a-z0-9])(?:has|no|with)[-_]+[a-z0-9]+")
 #: Open elements that a start tag ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol menu dl table select article section div body".split())
@@ -62,11 +67,16 @@ _SCOPE = frozenset("ul ol menu dl table select article section div body".split()
 class Blocks(HTMLParser):
     """Collects (path, text, dropped, in article, in main) for each block, and the child tags of each path."""
 
-    def __init__(self) -> None:
+    def __init__(self, spared: frozenset = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.spared, self.tags = spared, 0
+        #: By the number of a marked element's start tag: characters, and whether it holds an article or main.
+        self.marked: dict[int, list] = {}
+        self.chars = 0
         self.out: list[tuple[str, str, bool, bool, bool]] = []
         self.layouts: dict[str, list[str]] = {}
         self.stack: list[tuple[str, str, bool, bool, bool]] = []
+        self.open: list[tuple[bool, tuple[int, ...]]] = []  # beside the stack: dropped without marks, marked elements around
         self.buffer: list[str] = []
         self.has_article = self.has_main = False
 
@@ -76,6 +86,11 @@ class Blocks(HTMLParser):
         if text:
             _, path, drop, article, main = self.stack[-1] if self.stack else ("", "", False, False, False)
             self.out.append((path, text, drop, article, main))
+            hard, marks = self.open[-1] if self.open else (False, ())
+            if not hard:
+                self.chars += len(text)
+                for k in marks:
+                    self.marked[k][0] += len(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -91,9 +106,18 @@ class Blocks(HTMLParser):
         values = {k: v or "" for k, v in attrs}
         marks = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower()
         _, path, drop, article, main = self.stack[-1] if self.stack else ("", "", False, False, False)
-        if not drop:
-            drop = tag in DROP or (tag == "header" and not (article or main)) or bool(marks and tag not in ("html", "body") and NOISE.intersection(re.split(r"[^a-z0-9]+", marks)))
-            drop = drop or "hidden" in values or values.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
+        self.tags += 1
+        hard, around = self.open[-1] if self.open else (False, ())
+        hard = hard or tag in DROP or (tag == "header" and not (article or main))
+        hard = hard or "hidden" in values or values.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
+        if not hard and (tag in ("article", "main") or values.get("role") == "main"):
+            for k in around:
+                self.marked[k][1] = True
+        marked = not hard and bool(marks and tag not in ("html", "body") and NOISE.intersection(re.split(r"[^a-z0-9]+", QUALIFIED.sub(" ", marks))))
+        if marked:
+            self.marked[self.tags] = [0, tag in ("article", "main") or values.get("role") == "main"]
+            around = (*around, self.tags)
+        drop = drop or hard or (marked and self.tags not in self.spared)
         if not drop:
             article, main = article or tag == "article", main or tag == "main" or values.get("role") == "main"
             self.has_article |= tag == "article"
@@ -104,12 +128,13 @@ class Blocks(HTMLParser):
         elif drop and not (self.stack and self.stack[-1][2]):
             self.flush()  # an inline element is left out of the block around it
         self.stack.append((tag, path, drop, article, main))
+        self.open.append((hard, around))
 
     def _close(self, tag: str, within: frozenset = frozenset()) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.flush()
-                del self.stack[i:]
+                del self.stack[i:], self.open[i:]
                 return
             if self.stack[i][0] in within:
                 return
@@ -123,7 +148,7 @@ class Blocks(HTMLParser):
             if self.stack[i][0] == tag:
                 if tag in BLOCK or (self.stack[i][2] and not (i and self.stack[i - 1][2])):
                     self.flush()
-                del self.stack[i:]
+                del self.stack[i:], self.open[i:]
                 return
 
     def handle_data(self, data: str) -> None:
@@ -131,7 +156,16 @@ class Blocks(HTMLParser):
 
 
 def parse(html: str) -> Blocks:
-    p = Blocks()
+    p = _parsed(html, frozenset())
+    if p.marked and not any((article or main) and not drop for _, _, drop, article, main in p.out):
+        spared = frozenset(k for k, (chars, holds) in p.marked.items() if chars and (holds or 2 * chars > p.chars))
+        if spared:
+            p = _parsed(html, spared)
+    return p
+
+
+def _parsed(html: str, spared: frozenset) -> Blocks:
+    p = Blocks(spared)
     p.feed(html)
     p.close()
     p.flush()

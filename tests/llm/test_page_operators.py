@@ -78,6 +78,23 @@ def test_html_extraction(spark):
     assert htmltext.extract(make(spark, rows).limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='content has-sidebar'><p>long own text</p><div class='sidebar'>side</div></div>", "long own text"),
+        ("<div class='post no-comments'><article><p>own</p></article></div>", "own"),
+        ("<div id='search-results'><article><p>own text</p></article></div><p>around the page</p>", "own text"),
+        ("<div class='widget'><div class='social'><p>most of the text of this page</p></div></div><p>rest</p>", "most of the text of this page\nrest"),
+        ("<article><div class='promo'><p>all that the article says</p></div></article>", "all that the article says"),
+        ("<article><p>own</p><div class='comments'><p>longer than the article by far</p></div></article>", "own"),
+        ("<article><p>own</p></article><div class='related'><article>teaser</article></div>", "own"),
+        ("<nav class='menu'><article>in a menu</article></nav><p>own</p>", "own"),
+    ],
+)
+def test_marked_wrappers_keep_the_article(html, want):
+    assert "\n".join(t for _, t in htmltext.main_blocks(htmltext.parse(html))) == want
+
+
 def test_style_tree_drops_what_all_pages_of_a_host_share(spark):
     body = lambda i: "<article>" + "".join(f"<p>own text {i} {j} of this page</p>" for j in range(5)) + "<div class='z1'>The same words everywhere</div></article>"
     rows = [(i, f"http://host.example/{i}", body(i)) for i in range(20)] + [(100, "http://other.example/1", body(7))]
