@@ -14,14 +14,13 @@ from tessella.llm.decontaminate import decontaminate
 from tessella.llm.jaccard import deduplicated
 from tessella.llm.mixing import mix_report
 from tessella.llm.pii import redact
-from tessella.llm.quality import judge, kept
+from tessella.llm.quality import filtered
 from tessella.llm.shared import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or a learned rule rejects go."""
-    out, stats, rules = judge(docs, table(spark, sf_dir, "labels"))
-    return out.where(kept(stats, rules)).select(*docs.columns)
+    return filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

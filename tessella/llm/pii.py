@@ -3,18 +3,26 @@
 The base patterns give spans with code point offsets: the text is split at the
 matches, and a match starts after all pieces and matches before it.
 
-Bootstrapping: base matches are the seed entities. The two words before an
-occurrence (letters lower-cased, digits as #) are its lexical pattern. All
-identifier-like tokens of the corpus with their patterns form a bipartite graph.
-In each round a pattern scores the mean of its instances' scores (plus-one
-smoothed), and an instance the noisy-or of its confident patterns; seeds stay at
-1. After ROUNDS rounds, confident patterns with enough distinct seeds mark their
-other instances: spans of kind "context". The graph holds rows of identifiers
-only, and both aggregations combine before they shuffle.
+Bootstrapping: base matches are the seed entities. The word before an occurrence,
+and the two words before it, are its lexical patterns (letters lower-cased, digits
+as #, without punctuation around a word). All identifier-like tokens of the corpus
+with their patterns form a bipartite graph. A pattern's confidence is the sum of
+its instances' scores over all places of its words in the corpus, identifiers or
+not, so common words before identifiers are no evidence. It is supported if
+LEAST_SEEDS different instances are sure. An instance scores the highest
+confidence of its supported patterns; seeds stay at 1. Scores only rise, and are
+computed until none rises any more. Sure patterns mark their other instances:
+spans of kind "context".
+
+Patterns that could not be sure if all of their instances were are dropped before
+the rounds, so no frequent word is a join key in them; all aggregations combine
+before they shuffle.
 
 Defined results: null text is empty and has no spans; repeated rows get the same
-spans; equal texts under one id share a key; an empty table gives an empty
-result; other columns pass through untouched.
+spans; equal texts under one id share a key; rows with a null id are told apart by
+their text; an empty table gives an empty result; a context word must lie whole in
+the CONTEXT_CHARS code points before the identifier, or there is no pattern; ties
+don't arise, as all sure patterns count; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh, stored
+from .shared import Scratch, fresh, stored
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "context")
@@ -40,10 +48,13 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: A token with a digit or @.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LEAST_DIGITS = 5
-CONTEXT_CHARS = 64
-ROUNDS = 3
+CONTEXT_CHARS = 256
 LEAST_CONFIDENCE = 0.8
 LEAST_SEEDS = 3
+#: A rise of a score below this counts as none.
+LEAST_RISE = 1e-6
+#: Texts without it have no base span and no candidate.
+MAY = r"@|\+[0-9]|[0-9]\.[0-9]|[0-9](?:\S*?[0-9]){4}|[0-9](?:[\x20-]?[0-9]){15}"
 _CHUNK = 64
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -112,58 +123,95 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9]"), free).otherwise(F.array().cast(_SPAN))
 
 
-def pattern_of(text: Column, start: Column) -> Column:
-    """The two words before a place, letters lower-cased and digits as #; null where there are fewer."""
-    left = F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)), F.least(start, F.lit(CONTEXT_CHARS)))
-    two = F.regexp_extract(left, r"(\S+\s+\S+)[^\S\n]*[^\w\s]*$", 1)
-    return F.when(two != "", F.regexp_replace(F.regexp_replace(F.lower(two), "[0-9]", "#"), r"\s+", " "))
+def normal_words(text: Column) -> Column:
+    """The words of a text as patterns have them: lower case, digits as #, no punctuation around them."""
+    plain = F.translate(F.lower(text), "0123456789", "#" * 10)
+    plain = F.regexp_replace(plain, r"(?<!\S)[^\p{L}\p{N}\s#]++|(?<![^\p{L}\p{N}\s#])[^\p{L}\p{N}\s#]++(?!\S)", "")
+    return F.split(plain, r"\s+", -1)
+
+
+def patterns_of(text: Column, start: Column) -> Column:
+    """The patterns of a place: the word before it, and the two words before it, where they are there."""
+    from_ = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+    left = F.substring(text, from_ + 1, start - from_)
+    # what is attached to the identifier, like a bracket, is no word
+    left = F.regexp_replace(left, r"[^\p{L}\p{N}\s]+$", "")
+    # a word that may begin before the window is left out
+    whole = F.when(from_ > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
+
+    def build(words: Column) -> Column:
+        one, two = F.try_element_at(words, F.lit(-1)), F.try_element_at(words, F.lit(-2))
+        good = lambda w: w.isNotNull() & (w != "")
+        return F.filter(F.array(F.when(good(one), one), F.when(good(one) & good(two), F.concat(two, F.lit(" "), one))), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(normal_words(F.rtrim(F.regexp_replace(whole, r"\s", " ")))), build), F.lit(0))
 
 
 def occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """One row for each row of ``docs``: id_, key_ (hash of the text), base spans, and seen_ (spans with patterns)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.select(F.col(doc_id).alias("id_"), t.alias("t_"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = docs.select(F.col(f"`{doc_id}`").alias("id_"), t.alias("t_"))
     out = out.withColumn("base_", base_spans(F.col("t_")))
     out = out.withColumn("free_", candidates(F.col("t_"), F.col("base_")))
     seen = F.transform(
         F.concat("base_", "free_"),
-        lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), pattern_of(F.col("t_"), x["start"]).alias("pattern")),
+        lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), patterns_of(F.col("t_"), x["start"]).alias("patterns")),
     )
     slim = F.transform("base_", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return out.select("id_", F.xxhash64("t_").alias("key_"), slim.alias("base_"), seen.alias("seen_"))
 
 
-def discovered(rows: DataFrame) -> DataFrame:
-    """(id_, key_, found_): the context spans that confident patterns find, of ``rows`` as occurrences() gives them."""
-    seen = rows.where(F.size("seen_") > 0).select("id_", "key_", F.explode("seen_").alias("x")).select("id_", "key_", "x.*").where("pattern IS NOT NULL")
-    edges = stored(seen.groupBy("pattern", "value").agg(F.max((F.col("kind") != "context").cast("double")).alias("seed")), "edges")
-    instances = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    scored = edges.join(instances.withColumnRenamed("seed", "score"), "value").select("pattern", "value", "score", (F.col("score") == 1.0).cast("int").alias("is_seed"))
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("is_seed").alias("seeds"))
-        known = edges.join(patterns.where(F.col("seeds") >= LEAST_SEEDS), "pattern")
-        doubt = F.sum(F.log1p(-F.least("confidence", F.lit(0.999999))))
-        scores = known.groupBy("value").agg((1 - F.exp(doubt)).alias("reached"))
-        scored = stored(
-            edges.join(instances, "value")
-            .join(scores, "value", "left")
-            .select("pattern", "value", F.greatest(instances["seed"], F.coalesce("reached", F.lit(0.0))).alias("score"), (instances["seed"] == 1.0).cast("int").alias("is_seed")),
-            "scores",
-        )
-    good = patterns.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern")
-    found = seen.where("kind = 'context'").join(good, "pattern", "left_semi")
+def places(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(pattern, places): how often the words of each pattern of ``wanted`` stand in the corpus."""
+    words = docs.select(normal_words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w"))
+    each = words.select(F.explode(F.expr("flatten(transform(w, (x, i) -> IF(i > 0, array(x, concat(w[i - 1], ' ', x)), array(x))))")).alias("pattern"))
+    return each.join(wanted.select("pattern"), "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
+
+
+def sure_patterns(rows: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+    """(pattern, confidence): the patterns that are sure when no score rises any more; ``rows`` as occurrences() gives them."""
+    keep = lambda df, name: stored(df, name, scratch)
+    seen = rows.where(F.size("seen_") > 0).select(F.explode("seen_").alias("x")).select("x.kind", "x.value", F.explode("x.patterns").alias("pattern"))
+    edges = keep(seen.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max((F.col("kind") != "context").cast("int")).alias("seed")), "edges")
+    wanted = keep(edges.groupBy("pattern").agg(F.sum("n").alias("n"), F.count("*").alias("different")).where(F.col("different") >= LEAST_SEEDS), "wanted")
+    total = F.greatest("n", F.coalesce("places", F.lit(0)))
+    viable = wanted.join(places(docs, wanted, text), "pattern", "left").withColumn("places", total)
+    viable = keep(viable.where(F.col("n") / (F.col("places") + 1) >= LEAST_CONFIDENCE).select("pattern", "places"), "viable")
+    # an identifier that is a seed somewhere is one everywhere
+    seeds = edges.groupBy("value").agg(F.max("seed").alias("is_seed")).where("is_seed = 1")
+    scores = edges.join(viable, "pattern").join(seeds, "value", "left")
+    scores = keep(scores.withColumn("score", F.coalesce(F.col("is_seed"), F.lit(0)).cast("double")).drop("is_seed"), "scores")
+    while True:
+        confident = scores.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.max("places") + 1)).alias("confidence"), F.count_if(F.col("score") >= LEAST_CONFIDENCE).alias("sure"))
+        confident = keep(confident.where(F.col("sure") >= LEAST_SEEDS).select("pattern", "confidence"), "patterns")
+        reached = scores.join(confident, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
+        after = scores.join(reached, "value", "left").withColumn("rise", F.greatest(F.coalesce("reached", F.lit(0.0)) - F.col("score"), F.lit(0.0)))
+        scores = keep(after.withColumn("score", F.col("score") + F.col("rise")).drop("reached"), "scores")
+        risen = scores.where(F.col("rise") > LEAST_RISE).head(1)
+        scores = scores.drop("rise")
+        if not risen:
+            return confident.where(F.col("confidence") >= LEAST_CONFIDENCE)
+
+
+def discovered(rows: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+    """(id_, key_, found_): the context spans that sure patterns find, of ``rows`` as occurrences() gives them."""
+    good = sure_patterns(rows, docs, text, scratch).select("pattern")
+    seen = rows.where(F.size("seen_") > 0).select("id_", "key_", F.explode("seen_").alias("x")).where("x.kind = 'context'").select("id_", "key_", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
+    found = seen.join(good, "pattern", "left_semi")
     return found.groupBy("id_", "key_").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found_"))
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: id_, key_, and spans_ (kind, start, end): base ones by kind and start, then those of the method."""
-    rows = stored(occurrences(docs, doc_id, text), "spans")
-    found = discovered(rows)
+    scratch = Scratch(docs.sparkSession)
+    rows = stored(occurrences(docs, doc_id, text), "spans", scratch)
+    found = discovered(rows, docs, text, scratch)
     joined = rows.alias("r").join(found.alias("f"), F.col("r.id_").eqNullSafe(F.col("f.id_")) & (F.col("r.key_") == F.col("f.key_")), "left")
     more = F.transform("f.found_", lambda x: F.struct(F.lit("context").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return joined.select("r.id_", "r.key_", F.concat("r.base_", F.coalesce(more, none)).alias("spans_"))
+    out = stored(joined.select("r.id_", "r.key_", F.concat("r.base_", F.coalesce(more, none)).alias("spans_")), "detected")
+    scratch.drop()
+    return out
 
 
 def say(spans: Column) -> Column:
@@ -192,12 +240,14 @@ def redact_text(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with all spans redacted in ``text``; null stays null. Rows without spans meet no partner in the join."""
+    """``docs`` with all spans redacted in ``text``; null stays null. Only texts that may hold a span take part in the join."""
     hits = detect(docs, doc_id, text).where(F.size("spans_") > 0).groupBy("id_", "key_").agg(F.first("spans_").alias("spans_"))
     key = fresh(docs, "key_")
-    left = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    may = F.coalesce(F.col(f"`{text}`").rlike(MAY), F.lit(False))
+    left = docs.where(may).withColumn(key, F.xxhash64(F.col(f"`{text}`")))
     names = {n: fresh(left, n) for n in ("hit_id_", "hit_key_", "hit_spans_")}
     hits = hits.select(F.col("id_").alias(names["hit_id_"]), F.col("key_").alias(names["hit_key_"]), F.col("spans_").alias(names["hit_spans_"]))
     out = left.join(hits, F.col(f"`{doc_id}`").eqNullSafe(F.col(names["hit_id_"])) & (F.col(key) == F.col(names["hit_key_"])), "left")
     spans = F.coalesce(F.col(names["hit_spans_"]), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-    return out.withColumn(text, redact_text(F.col(f"`{text}`"), spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return out.withColumn(text, redact_text(F.col(f"`{text}`"), spans)).select(*columns).unionByName(docs.where(~may).select(*columns))

@@ -11,7 +11,10 @@ The decision list is learned by sequential covering over all labelled documents:
 a rule grows by the threshold that gains most (FOIL gain) on two thirds of them,
 is pruned back on the other third, and what it covers leaves the training set.
 Each growing step is one small aggregation (feature, bin) -> counts; the driver
-holds those counts only. The result is a CASE WHEN over the statistics.
+holds those counts only. The result is a CASE WHEN over the statistics. A rule
+grows until it covers no good document or no threshold gains; rules are added
+until one, pruned, is less than LEAST_PRECISION precise on the pruning third, or
+none covers LEAST_COVER bad documents. There is no other limit to either.
 
 Defined results: null text has no words and fails the base rule; labels without
 a quality or a document are skipped, several labels of a document count as the
@@ -28,14 +31,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, fresh, stored
+from .shared import SPACE, Scratch, fresh, stored
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Features of the learned rules, from the statistics (see _features).
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share", "digit_share")
 BINS = 32
-MOST_RULES = 8
-MOST_CONDITIONS = 3
 LEAST_PRECISION = 0.95
 LEAST_COVER = 5
 
@@ -140,7 +141,8 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
     marks = labels.where(F.col(label).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("k_")).agg((F.min(label) == 0).cast("int").alias("bad_"))
     features = _features(name)
     flat = stats.where(~base_failed(name)).select(F.col(doc_id).alias("k_"), *[c.alias(f) for f, c in features.items()])
-    rows = stored(flat.join(marks, "k_").withColumn("part_", F.pmod(F.xxhash64("k_"), F.lit(3)) == 0), "labelled")
+    scratch = Scratch(stats.sparkSession)
+    rows = stored(flat.join(marks, "k_").withColumn("part_", F.pmod(F.xxhash64("k_"), F.lit(3)) == 0), "labelled", scratch)
     points = [i / BINS for i in range(1, BINS)]
     found = rows.agg(*[F.percentile_approx(F.when(F.col("bad_") == side, F.col(f)), points, 10_000).alias(f"{f}_{side}") for f in FEATURES for side in (0, 1)], F.count("*").alias("n")).first()
     if not found["n"]:
@@ -148,7 +150,7 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
     cuts = {f: sorted({*(found[f"{f}_0"] or ()), *(found[f"{f}_1"] or ())}) for f in FEATURES}
     # the bin of a value is the number of cuts at or below it
     bins = {f: sum(((F.col(f) >= c).cast("int") for c in cuts[f]), F.lit(0)) for f in FEATURES}
-    rows = stored(rows.select("bad_", "part_", *[b.cast("int").alias(f) for f, b in bins.items()]), "binned")
+    rows = stored(rows.select("bad_", "part_", *[b.cast("int").alias(f) for f, b in bins.items()]), "binned", scratch)
 
     def counts(where: Column) -> dict:
         """(feature, bin, prune part) -> (bad, good), of the rows that remain."""
@@ -163,9 +165,9 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
         return out
 
     remaining, out = F.lit(True), DecisionList()
-    for _ in range(MOST_RULES):
+    while True:
         rule, kept = [], []
-        for _ in range(MOST_CONDITIONS):
+        while True:
             table = counts(remaining & fits(rule))
             total = [sum(v[i] for (f, _, part), v in table.items() if f == FEATURES[0] and not part) for i in (0, 1)]
             if not total[0] or (rule and not total[1]):
@@ -196,15 +198,25 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
         rule = rule[:size]
         remaining &= ~fits(rule)
         out.rules.append(tuple(Condition(f, up, float(cuts[f][k])) for f, up, k in rule))
+    scratch.drop()
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = True) -> tuple[DataFrame, str, DecisionList]:
-    """``docs`` with statistics (written once to the shared folder), the column's name and the learned rules."""
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> tuple[DataFrame, str, DecisionList]:
+    """``docs`` without the text and with statistics (written once to the shared folder), the column's name and the learned rules."""
     out, name = statistics(docs, text)
-    out = stored(out if keep_text else out.drop(text), "statistics")
+    out = stored(out.drop(text), "statistics", scratch)
     return out, name, learn(out, name, labels, doc_id)
 
 
 def kept(name: str, rules: DecisionList) -> Column:
     return ~base_failed(name) & rules.rejected_by(name).isNull()
+
+
+def filtered(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The documents that neither the base rule nor a learned rule rejects. Texts are read twice, and neither stored nor shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    rules = judge(docs, labels, text, doc_id, scratch)[2]
+    scratch.drop()
+    out, name = statistics(docs, text)
+    return out.where(kept(name, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])

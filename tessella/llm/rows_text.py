@@ -125,7 +125,7 @@ def op2_pii_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, name, rules = judge(docs, table(spark, sf_dir, "labels"), keep_text=False)
+    out, name, rules = judge(docs, table(spark, sf_dir, "labels"))
     s = F.col(name)
     return out.select(
         "doc_id",

@@ -117,6 +117,58 @@ def test_pii_bootstrapping_finds_unseen_identifiers(spark, docs):
     assert got[101] == ""
 
 
+#: Contexts of identifiers, half of them met by seeds, and contexts of numbers that name nobody.
+ASKS = ["reach me on line {}", "my badge number is {} since", "account no. {} was closed", "(ref: {})", "signed, {}"]
+PLAIN = ["an order of {} parts", "about {} people came", "the sum was {} in all", "in {} words"]
+
+
+def planted(n):
+    """Rows with seeds and unseen identifiers in equal contexts, and with plain numbers; (rows, {doc_id: value or None})."""
+    rows, want = [], {}
+    for i in range(n):
+        ask = ASKS[i % len(ASKS)]
+        rows.append((1_000_000 + i, "well then " + ask.format(f"+1 ({200 + i % 700}) 555-{1000 + i}") + " or so"))
+        value = f"{i:04d}-{77_000 + i}" if i % 2 else f"K{i:03d}/{91_000 + i}"
+        if i % 5 == 0:
+            want[2_000_000 + i] = value
+            rows.append((2_000_000 + i, "if need be " + ask.format(value) + " for it"))
+        rows.append((3_000_000 + i, "there is " + PLAIN[i % len(PLAIN)].format(50_000 + i)))
+        want[3_000_000 + i] = None
+    return rows, want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_pii_patterns_find_planted_identifiers_among_real_texts(spark, docs, sf):
+    rows, want = planted(150)
+    real = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    whole = real.select("doc_id", "text").union(docs(rows).select("doc_id", "text"))
+    texts = dict(rows)
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_report(whole).collect()}
+    right = wrong = 0
+    for doc_id, spans in found.items():
+        for kind, start, end in (x.split(":") for x in spans.split(",") if x):
+            if kind == "context":
+                good = want.get(doc_id) is not None and texts[doc_id][int(start) : int(end)] == want[doc_id]
+                right, wrong = right + good, wrong + (not good)
+    assert right >= 0.9 * sum(v is not None for v in want.values())
+    assert wrong <= 0.1 * right
+
+
+def test_pii_empty_table_null_ids_and_long_words(spark, docs):
+    assert pii.pii_report(docs([]).limit(0)).count() == 0
+    rows = [(None, "x@y.zz"), (None, None), (None, "x@y.zz"), (None, "w" * 5000 + " " + "v" * 5000 + " 123456")]
+    got = sorted((r["n_email"], r["spans"]) for r in pii.pii_report(docs(rows, True)).collect())
+    assert got == [(0, ""), (0, ""), (1, "email:0:6"), (1, "email:0:6")]
+    assert sorted(r["text"] or "" for r in pii.redact(docs(rows, True)).collect())[1:3] == ["[EMAIL]", "[EMAIL]"]
+
+
+def test_pii_patterns_are_whole_words(spark):
+    texts = ["call me: +1", "a (+1", "+1", " . +1", "x" * 300 + " +1", "me at\n+1", "phone:+1", "No. 5, Line +1"]
+    df = spark.createDataFrame([(t, t.index("+1")) for t in texts], "t string, p int")
+    got = [sorted(r[0]) for r in df.select(pii.patterns_of(F.col("t"), F.col("p"))).collect()]
+    assert got == [["call me", "me"], ["a"], [], [], [], ["at", "me at"], ["phone"], ["# line", "line"]]
+
+
 def test_redaction(spark, docs):
     rows = [(1, "a x@y.zz b 1.2.3.4"), (2, None), (3, "clean 😀 text"), (4, "😀 x@y.zz 😀")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs(rows, True)).collect()}
