@@ -1,47 +1,64 @@
 """Main text of web pages with a site style tree.
 
-Every page is parsed into blocks, each with its path of structural elements (tag
-and class). The blocks of all pages of a host are merged into a style tree: for
-each path the number of pages by child layout (presentation) and by text
-(content). A path's importance combines the entropy of its layouts over pages
-with how page-specific its texts are; branches of low importance (the same few
-texts on most pages) are removed from each page. Elements that say what they are
-(nav, footer, aside, form, adverts, comments, hidden ones, ...) are removed
-everywhere, and where a page has an article (else a main) element, only its
-content counts. Where a page has no text of an article or main outside elements
-that only a class, id or role marks, such an element isn't removed if it holds an
-article or main, or over half of the page's text. Marks after has-, no- or with-
-don't count.
-
-Exact copies of a page count once in the tree. A path that holds much of a host's
-text is never removed: many near copies of one article are no template. The tree
-is counted with aggregations that combine before they shuffle; no host's pages
-meet in one task.
+Every page is parsed once into blocks, each with the path of structural elements
+(tag and class) that it hangs from. The pages of a host are merged into a style
+tree: for each path the layouts of its children (presentation) and the texts
+(content), with the number of different pages that show them. A text that k of m
+different pages show has the importance 1 - log k / log m, one minus its entropy.
+A path's importance is the mean of its texts' and, with weight 1 - CONTENT_WEIGHT,
+the entropy of its layouts over log m. From each page go the texts of low
+importance that LEAST_PAGES pages show at least, and the paths of low importance.
+Hosts with fewer different pages back off to the tree over all hosts: there a path
+goes if its last element has a class, and it is of low importance on the mean of
+LEAST_HOSTS hosts at least.
+
+Exact copies of a page count once. Near copies are no template: a page that the
+tree would take more than MOST_LOSS of its text from keeps all of it, and a path's
+mean counts each of its texts once.
+
+What an element says of itself is evidence too. Elements that by their tag are
+something else than the article (nav, footer, aside, form, script, hidden ones,
+...) go, and where a page has an article (else a main) element, only its content
+counts. A class, id or role made of noise words and words of structure only
+(comments, cookie-notice, site-footer) says as much, unless the element holds an
+article or main, or over half of the page's text, where the page has no text of an
+article or main outside such elements. A name that only contains a noise word
+(related-science) is weak evidence: such a block goes at a higher importance. Marks
+after has-, no- or with- don't count.
+
+Counts combine before they shuffle; no host's pages meet in one task. A path is a
+64-bit number made of its parent's, so deep pages take linear time and memory.
 
 Defined results: null html gives an empty text; a page without main content gives
 an empty text; a null URL belongs to the empty host; repeated rows are extracted
-alike; unclosed or stray tags are tolerated.
+alike; ties don't arise; unclosed or stray tags are tolerated.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, stored
+from .shared import Scratch, fresh, stored
 from .urlrules import host
 
-LEAST_PAGES = 8
+#: Different pages that must show a text, or make up a host, before it is judged by itself.
+LEAST_PAGES = 4
+#: Hosts that must tell of a path before others back off to it.
+LEAST_HOSTS = 3
 LEAST_IMPORTANCE = 0.25
-#: A path that holds a larger share of its host's text than this is never removed.
-MOST_SHARE = 0.2
+#: What blocks with weak evidence against them must reach.
+MARKED_IMPORTANCE = 0.6
 CONTENT_WEIGHT = 0.9
+MOST_LOSS = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -57,6 +74,11 @@ NOISE = frozenset(
     "footer sidebar sidebars widget widgets cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social comment comments commentlist disqus respond replies reply related recommended recommendations pagination pager masthead toolbar search complementary contentinfo".split()
 )
+#: Words that say where something stands, not what it is.
+STRUCTURE = frozenset(
+    "site page post entry article main content section area container wrapper wrap inner outer box block list item items group row col column header head title body text "
+    "link links button buttons bar top bottom left right center fixed sticky global primary secondary small large mobile desktop form field input icon icons logo image the of and".split()
+)
 #: Marks that say something of the layout and not of the element's own content.
 QUALIFIED = re.compile(r"(?<![a-z0-9])(?:has|no|with)[-_]+[a-z0-9]+")
 #: Open elements that a start tag ends.
@@ -64,38 +86,77 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _SCOPE = frozenset("ul ol menu dl table select article section div body".split())
 
 
+def says_noise(marks: str) -> tuple[bool, bool]:
+    """Whether a name among class, id and role is made of noise and structure words only, and whether any holds a noise word."""
+    strong = weak = False
+    for name in QUALIFIED.sub(" ", marks).split():
+        words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+        if NOISE.intersection(words):
+            weak = True
+            strong |= all(w in NOISE or w in STRUCTURE for w in words)
+    return strong, weak
+
+
+class Element:
+    """An open element."""
+
+    __slots__ = ("tag", "path", "drop", "article", "main", "hard", "mark", "weak", "classed")
+
+    def __init__(self, tag: str, path: int, drop: bool, article: bool, main: bool, hard: bool, mark: int, weak: bool, classed: bool) -> None:
+        self.tag, self.path, self.drop, self.article, self.main = tag, path, drop, article, main
+        #: Dropped whatever its names are; the nearest strongly marked element around (0: none); weakly marked around.
+        self.hard, self.mark, self.weak, self.classed = hard, mark, weak, classed
+
+
+_ROOT = Element("", 0, False, False, False, False, 0, False, False)
+
+
+class Block:
+    """A stretch of text between structural tags, and what its element says."""
+
+    __slots__ = ("path", "text", "drop", "article", "main", "weak", "classed")
+
+    def __init__(self, at: Element, text: str) -> None:
+        self.path, self.text, self.drop, self.article, self.main, self.weak, self.classed = at.path, text, at.drop, at.article, at.main, at.weak, at.classed
+
+
 class Blocks(HTMLParser):
-    """Collects (path, text, dropped, in article, in main) for each block, and the child tags of each path."""
+    """Collects the blocks of a page, and the child tags of each path."""
 
     def __init__(self, spared: frozenset = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.spared, self.tags = spared, 0
-        #: By the number of a marked element's start tag: characters, and whether it holds an article or main.
+        #: By the number of a strongly marked element's start tag: characters, whether it holds an article or main, the mark around.
         self.marked: dict[int, list] = {}
         self.chars = 0
-        self.out: list[tuple[str, str, bool, bool, bool]] = []
-        self.layouts: dict[str, list[str]] = {}
-        self.stack: list[tuple[str, str, bool, bool, bool]] = []
-        self.open: list[tuple[bool, tuple[int, ...]]] = []  # beside the stack: dropped without marks, marked elements around
+        self.out: list[Block] = []
+        self.layouts: dict[int, dict[str, None]] = {}
+        self.stack: list[Element] = []
+        self.open: Counter = Counter()
         self.buffer: list[str] = []
         self.has_article = self.has_main = False
 
+    @property
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else _ROOT
+
     def flush(self) -> None:
+        if not self.buffer:
+            return
         text = " ".join("".join(self.buffer).split())
         self.buffer = []
         if text:
-            _, path, drop, article, main = self.stack[-1] if self.stack else ("", "", False, False, False)
-            self.out.append((path, text, drop, article, main))
-            hard, marks = self.open[-1] if self.open else (False, ())
-            if not hard:
+            at = self.top
+            self.out.append(Block(at, text))
+            if not at.hard:
                 self.chars += len(text)
-                for k in marks:
-                    self.marked[k][0] += len(text)
+                if at.mark:
+                    self.marked[at.mark][0] += len(text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
             self.flush()
-            if any(t == "p" for t, *_ in self.stack):
+            if self.open["p"]:
                 self._close("p")
             for t in _ENDS.get(tag, ()):
                 self._close(t, _SCOPE)
@@ -104,61 +165,82 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         values = {k: v or "" for k, v in attrs}
-        marks = " ".join(values.get(k, "") for k in ("class", "id", "role")).lower()
-        _, path, drop, article, main = self.stack[-1] if self.stack else ("", "", False, False, False)
+        at = self.top
         self.tags += 1
-        hard, around = self.open[-1] if self.open else (False, ())
-        hard = hard or tag in DROP or (tag == "header" and not (article or main))
+        hard = at.hard or tag in DROP or (tag == "header" and not (at.article or at.main))
         hard = hard or "hidden" in values or values.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", values.get("style", "")))
-        if not hard and (tag in ("article", "main") or values.get("role") == "main"):
-            for k in around:
-                self.marked[k][1] = True
-        marked = not hard and bool(marks and tag not in ("html", "body") and NOISE.intersection(re.split(r"[^a-z0-9]+", QUALIFIED.sub(" ", marks))))
-        if marked:
-            self.marked[self.tags] = [0, tag in ("article", "main") or values.get("role") == "main"]
-            around = (*around, self.tags)
-        drop = drop or hard or (marked and self.tags not in self.spared)
+        leads = tag in ("article", "main") or values.get("role") == "main"
+        if not hard and leads and at.mark:
+            self.marked[at.mark][1] = True
+        strong = weak = False
+        if not hard and tag not in ("html", "body") and any(k in values for k in ("class", "id", "role")):
+            strong, weak = says_noise(" ".join(values.get(k, "") for k in ("class", "id", "role")).lower())
+        mark = at.mark
+        if strong:
+            self.marked[self.tags] = [0, leads, mark]
+            mark = self.tags
+        drop = at.drop or hard or (strong and self.tags not in self.spared)
+        article, main = at.article, at.main
         if not drop:
             article, main = article or tag == "article", main or tag == "main" or values.get("role") == "main"
             self.has_article |= tag == "article"
             self.has_main |= main
+        path, classed = at.path, at.classed
         if tag in BLOCK:
-            self.layouts.setdefault(path, []).append(tag)
-            path = f"{path}/{tag}" + (f".{values['class']}" if values.get("class") else "")
-        elif drop and not (self.stack and self.stack[-1][2]):
+            self.layouts.setdefault(path, {})[tag] = None
+            classed = bool(values.get("class"))
+            path = xxhash.xxh64_intdigest(f"{path}/{tag}.{values.get('class', '')}".encode("utf-8", "surrogatepass")) >> 1
+        elif drop and not at.drop:
             self.flush()  # an inline element is left out of the block around it
-        self.stack.append((tag, path, drop, article, main))
-        self.open.append((hard, around))
+        self.stack.append(Element(tag, path, drop, article, main, hard, mark, at.weak or weak, classed))
+        self.open[tag] += 1
+
+    def _cut(self, size: int) -> None:
+        for e in self.stack[size:]:
+            self.open[e.tag] -= 1
+        del self.stack[size:]
 
     def _close(self, tag: str, within: frozenset = frozenset()) -> None:
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self.flush()
-                del self.stack[i:], self.open[i:]
+                self._cut(i)
                 return
-            if self.stack[i][0] in within:
+            if self.stack[i].tag in within:
                 return
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.buffer.append(" ")
-        if tag in VOID:
+        if tag in VOID or not self.open[tag]:
             return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in BLOCK or (self.stack[i][2] and not (i and self.stack[i - 1][2])):
+            if self.stack[i].tag == tag:
+                if tag in BLOCK or (self.stack[i].drop and not (i and self.stack[i - 1].drop)):
                     self.flush()
-                del self.stack[i:], self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
 
+    def end(self) -> None:
+        """What marked elements hold counts for the marked ones around them."""
+        self.close()
+        self.flush()
+        for k in sorted(self.marked, reverse=True):
+            chars, holds, around = self.marked[k]
+            if around:
+                self.marked[around][0] += chars
+                self.marked[around][1] |= holds
+
 
 def parse(html: str) -> Blocks:
     p = _parsed(html, frozenset())
-    if p.marked and not any((article or main) and not drop for _, _, drop, article, main in p.out):
-        spared = frozenset(k for k, (chars, holds) in p.marked.items() if chars and (holds or 2 * chars > p.chars))
+    if p.marked and not any((b.article or b.main) and not b.drop for b in p.out):
+        spared = frozenset(k for k, (chars, holds, _) in p.marked.items() if chars and (holds or 2 * chars > p.chars))
         if spared:
             p = _parsed(html, spared)
     return p
@@ -167,79 +249,100 @@ def parse(html: str) -> Blocks:
 def _parsed(html: str, spared: frozenset) -> Blocks:
     p = Blocks(spared)
     p.feed(html)
-    p.close()
-    p.flush()
+    p.end()
     return p
 
 
-def main_blocks(p: Blocks) -> list[tuple[str, str]]:
-    """(path, text) of the blocks of the article, else of main, else of the page, without dropped elements."""
-    return [(path, text) for path, text, drop, article, main in p.out if not drop and (article or not p.has_article) and (main or p.has_article or not p.has_main)]
-
-
-_NODES = "host string, page long, path string, layout string, content string, chars long"
-
-
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("path", pa.string()), ("layout", pa.string()), ("content", pa.string()), ("chars", pa.int64())])
-    for batch in batches:
-        hosts, pages, htmls = (batch.column(n) for n in ("host", "page", "html"))
-        for at in range(0, len(batch), 256):
-            rows = []
-            for i in range(at, min(at + 256, len(batch))):
-                p = parse(htmls[i].as_py() or "")
-                for path, text in main_blocks(p):
-                    kinds = list(dict.fromkeys(p.layouts.get(path, ())))
-                    rows.append({"host": hosts[i].as_py(), "page": pages[i].as_py(), "path": path, "layout": ",".join(kinds), "content": text, "chars": len(text)})
-            yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, paths): for hosts with at least LEAST_PAGES different pages, the paths of low importance."""
-    t = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(host(F.col(url)).alias("host"), F.xxhash64(t).alias("page"), t.alias("html")).mapInArrow(_nodes, _NODES)
-    content = F.xxhash64("content").alias("content")
-    nodes = stored(rows.select("host", "page", "path", F.xxhash64("layout").alias("layout"), content, "chars").distinct(), "nodes")
-    sizes = nodes.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
-    weights = nodes.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    whole = weights.groupBy("host").agg(F.sum("chars").alias("all_chars"))
-    per_text = nodes.groupBy("host", "path", "content").agg(F.count("*").alias("k")).join(sizes, "host")
-    content_importance = per_text.groupBy("host", "path").agg((1 - F.avg(F.log("k") / F.log("m"))).alias("content"))
-    per_layout = nodes.select("host", "path", "layout", "page").distinct().groupBy("host", "path", "layout").agg(F.count("*").alias("k")).join(sizes, "host")
-    total = per_layout.groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("m").alias("m"))
-    layout_importance = total.select("host", "path", F.greatest((F.log("n") - F.col("klogk") / F.col("n")) / F.log("m"), F.lit(0.0)).alias("layout"))
-    return (
-        content_importance.join(layout_importance, ["host", "path"])
-        .join(weights, ["host", "path"])
-        .join(whole, "host")
-        .where(F.col("chars") <= MOST_SHARE * F.col("all_chars"))
-        .where(CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("layout") < LEAST_IMPORTANCE)
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("paths"))
-    )
-
-
-def _texts(html: str, name: str, drop: str):
+def main_blocks(p: Blocks) -> list[Block]:
+    """The blocks of the article, else of main, else of the page, without dropped elements."""
+    return [b for b in p.out if not b.drop and (b.article or not p.has_article) and (b.main or p.has_article or not p.has_main)]
+
+
+_BLOCK = pa.struct([("path", pa.int64()), ("layout", pa.int64()), ("content", pa.int64()), ("weak", pa.bool_()), ("classed", pa.bool_())])
+_SHAPES = T.ArrayType(
+    T.StructType().add("path", "long").add("layout", "long").add("content", "long").add("weak", "boolean").add("classed", "boolean")
+)
+
+
+def _number(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def _pages(html: str, names: dict[str, str]):
+    """Columns in place of the html: the page's blocks as shapes and texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                texts = []
-                for raw, gone in zip(batch.column(html).to_pylist(), batch.column(drop).to_pylist(), strict=True):
-                    lost = set(gone or ())
-                    texts.append("\n".join(t for p, t in main_blocks(parse(raw or "")) if p not in lost))
-                kept = [i for i, n in enumerate(batch.schema.names) if n != drop]
-                columns = [batch.column(i) for i in kept] + [pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[i] for i in kept] + [name])
+            for at in range(0, len(whole), 128):
+                batch = whole.slice(at, 128)
+                shapes, texts = [], []
+                for raw in batch.column(html):
+                    p = parse(raw.as_py() or "")
+                    blocks = main_blocks(p)
+                    layout = {b.path: _number(",".join(p.layouts.get(b.path, ()))) for b in blocks}
+                    shapes.append([{"path": b.path, "layout": layout[b.path], "content": _number(b.text), "weak": b.weak, "classed": b.classed} for b in blocks])
+                    texts.append([b.text for b in blocks])
+                kept = [n for n in batch.schema.names if n != html]
+                new = [pa.array(shapes, pa.list_(_BLOCK)), pa.array(texts, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], [*kept, names["shapes"], names["texts"]])
 
     return run
 
 
+def style_tree(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Importance by (host, path, content), by (host, path), and by path over all hosts.
+
+    ``blocks``: host, key (of the page), path, layout, content. Only hosts with
+    LEAST_PAGES different pages tell anything.
+    """
+    keep = lambda df, name: stored(df, name, scratch)
+    sizes = blocks.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    shown = blocks.select("host", "path", "content", "key").distinct().groupBy("host", "path", "content").agg(F.count("*").alias("k"))
+    texts = keep(shown.join(sizes, "host").withColumn("importance", 1 - F.log("k") / F.log("m")), "texts")
+    layouts = blocks.select("host", "path", "layout", "key").distinct().groupBy("host", "path", "layout").agg(F.count("*").alias("k")).join(sizes, "host")
+    total = layouts.groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("m").alias("m"))
+    layout = total.select("host", "path", F.greatest((F.log("n") - F.col("klogk") / F.col("n")) / F.log("m"), F.lit(0.0)).alias("layout"))
+    content = texts.groupBy("host", "path").agg(F.avg("importance").alias("content"), F.max("m").alias("m"), F.sum("k").alias("k"))
+    paths = content.join(layout, ["host", "path"]).withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("layout"))
+    paths = keep(paths, "paths")
+    everywhere = paths.where(F.col("k") >= LEAST_PAGES).groupBy("path").agg(F.avg("importance").alias("importance"), F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
+    return texts.where(F.col("k") >= LEAST_PAGES), paths.where(F.col("k") >= LEAST_PAGES), everywhere
+
+
+def _lost(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, lost): the places of the blocks that the tree removes, for pages that lose any; ``pages``: key, host, shapes."""
+    blocks = pages.select("key", "host", F.posexplode("shapes").alias("at", "x")).select("key", "host", "at", "x.*")
+    blocks = blocks.distinct()  # copies of a page are one
+    texts, paths, everywhere = style_tree(blocks, scratch)
+    low = F.col("importance") < F.when(F.col("weak"), MARKED_IMPORTANCE).otherwise(LEAST_IMPORTANCE)
+    least = F.col("importance") < MARKED_IMPORTANCE
+    by_text = blocks.join(texts.where(least).select("host", "path", "content", "importance"), ["host", "path", "content"]).where(low).select("key", "at")
+    by_path = blocks.join(paths.where(least).select("host", "path", "importance"), ["host", "path"]).where(low).select("key", "at")
+    known = paths.select("host", "path")
+    others = blocks.where("classed").join(everywhere.where(least).select("path", "importance"), "path").where(low).join(known, ["host", "path"], "left_anti").select("key", "at")
+    return by_text.union(by_path).union(others).groupBy("key").agg(F.collect_set("at").alias("lost"))
+
+
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, str]:
-    """``pages`` with a column of the main text, and its name."""
-    tree = stored(style_tree(pages, url, html), "style-tree")
-    name, key, drop = fresh(pages, "text"), fresh(pages, "host_"), fresh(pages, "drop_")
-    out = pages.withColumn(key, host(F.col(url)))
-    out = out.join(tree.select(F.col("host").alias(key), F.col("paths").alias(drop)), key, "left").drop(key)
-    schema = T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())])
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], drop).mapInArrow(_texts(html, name, drop), schema), name
+    """``pages`` with a column of the main text in place of the html, and its name."""
+    scratch = Scratch(pages.sparkSession)
+    taken = pages
+    names = {}
+    for n in ("shapes", "texts", "key", "host_"):
+        names[n] = fresh(taken, n)
+        taken = taken.withColumn(names[n], F.lit(None))
+    own = [c for c in pages.columns if c != html]
+    keyed = pages.withColumn(names["host_"], host(F.col(f"`{url}`"))).withColumn(names["key"], F.xxhash64(names["host_"], F.coalesce(F.col(f"`{html}`"), F.lit(""))))
+    fields = [f for f in keyed.schema.fields if f.name != html]
+    schema = T.StructType(fields).add(names["shapes"], _SHAPES).add(names["texts"], T.ArrayType(T.StringType()))
+    parsed = stored(keyed.mapInArrow(_pages(html, names), schema), "pages", scratch)
+    lost = _lost(parsed.select(*[F.col(names[n]).alias(a) for n, a in (("key", "key"), ("host_", "host"), ("shapes", "shapes"))]), scratch)
+    name, gone = fresh(pages, "text"), fresh(taken, "lost")
+    out = parsed.join(lost.select(F.col("key").alias(names["key"]), F.col("lost").alias(gone)), names["key"], "left")
+    texts = F.col(names["texts"])
+    left = F.filter(texts, lambda _, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
+    chars = lambda a: F.length(F.array_join(a, ""))
+    blocks = F.when(chars(left) >= (1 - MOST_LOSS) * chars(texts), left).otherwise(texts)
+    out = stored(out.select(*[F.col(f"`{c}`") for c in own], F.array_join(blocks, "\n").alias(name)), "extracted")
+    scratch.drop()
+    return out, name

@@ -3,10 +3,14 @@
 import collections
 import hashlib
 import itertools
+import time
+import random
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import Scratch
 from tessella.llm import htmltext, urlrules, warc
 from tessella.llm.shared import table
 
@@ -92,7 +96,7 @@ def test_html_extraction(spark):
     ],
 )
 def test_marked_wrappers_keep_the_article(html, want):
-    assert "\n".join(t for _, t in htmltext.main_blocks(htmltext.parse(html))) == want
+    assert "\n".join(b.text for b in htmltext.main_blocks(htmltext.parse(html))) == want
 
 
 def test_style_tree_drops_what_all_pages_of_a_host_share(spark):
@@ -105,6 +109,64 @@ def test_style_tree_drops_what_all_pages_of_a_host_share(spark):
     assert "same words" in got[100] and "same words" in got[200]
 
 
+def shares(n, own, template, width=5):
+    """``n`` pages with ``width`` paragraphs of their own and one shared block in a neutral element."""
+    return ["<body>" + "".join(f"<p>{own} number {i} paragraph {j} with words of its own and more</p>" for j in range(width)) + template + "</body>" for i in range(n)]
+
+
+def test_style_tree_tells_template_from_near_copies(spark):
+    notice = "<div class='zz'><p>" + "We put this long line on all of our pages, whatever they say. " * 5 + "</p></div>"
+    rows = [(i, "http://a.example/", h) for i, h in enumerate(shares(6, "a", notice, 8))]
+    # near copies of one article, in which only a short line differs
+    article = "".join(f"<p>The {w} paragraph of an article that many addresses show.</p>" for w in ("first", "second", "third"))
+    rows += [(100 + i, "http://b.example/", f"<body>{article}<p>seen {i} times</p></body>") for i in range(30)]
+    # the same path as article text
+    rows += [(200 + i, "http://c.example/", h) for i, h in enumerate(shares(8, "c", "<p>Read our other pages too.</p>"))]
+    out, name = htmltext.extract(make(spark, rows))
+    got = {r["page_id"]: r[name] for r in out.collect()}
+    assert all("all of our pages" not in got[i] and got[i].count("\n") == 7 for i in range(6))
+    assert all(got[100 + i].count("\n") == 3 and got[100 + i].endswith(f"seen {i} times") for i in range(30))
+    assert all("Read our" not in got[200 + i] and got[200 + i].count("\n") == 4 for i in range(8))
+
+
+def test_small_hosts_back_off_to_all_hosts(spark):
+    box = "<div class='zz-box'>Join the {} club now</div>"
+    rows = [(100 * h + i, f"http://h{h}.example/{i}", page) for h in range(4) for i, page in enumerate(shares(5, f"h{h}", box.format(f"h{h}")))]
+    rows += [(1000, "http://single.example/", shares(1, "single", box.format("single"))[0]), (1001, "http://single2.example/", "<body><div class='related-science'><p>prose of the page</p></div><p>and more</p></body>")]
+    out, name = htmltext.extract(make(spark, rows))
+    got = {r["page_id"]: r[name] for r in out.collect()}
+    assert not any("club" in t for t in got.values())
+    assert got[1000].count("\n") == 4 and got[1001] == "prose of the page\nand more"
+
+
+def test_style_tree_importance_by_hand(spark):
+    rng = random.Random(3)
+    rows = [(f"h{rng.randrange(4)}", rng.randrange(12), rng.randrange(3), rng.randrange(2), rng.randrange(5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "host string, key long, path long, layout long, content long")
+    texts, paths, everywhere = htmltext.style_tree(df, Scratch(spark))
+    m = {h: len({r[1] for r in rows if r[0] == h}) for h in {r[0] for r in rows}}
+    want_texts, want_paths = {}, {}
+    for h, p in {(r[0], r[2]) for r in rows}:
+        shown = {c: len({r[1] for r in rows if r[0] == h and r[2] == p and r[4] == c}) for c in {r[4] for r in rows if r[0] == h and r[2] == p}}
+        laid = [len({r[1] for r in rows if r[0] == h and r[2] == p and r[3] == x}) for x in {r[3] for r in rows if r[0] == h and r[2] == p}]
+        single = {c: 1 - math.log(k) / math.log(m[h]) for c, k in shown.items()}
+        want_texts |= {(h, p, c): single[c] for c, k in shown.items() if k >= htmltext.LEAST_PAGES}
+        entropy = -sum(k / sum(laid) * math.log(k / sum(laid)) for k in laid) / math.log(m[h])
+        want_paths[h, p] = 0.9 * sum(single.values()) / len(single) + 0.1 * entropy
+    assert {(r["host"], r["path"], r["content"]): r["importance"] for r in texts.collect()} == pytest.approx(want_texts)
+    assert {(r["host"], r["path"]): r["importance"] for r in paths.collect()} == pytest.approx(want_paths)
+    assert {r["path"]: r["importance"] for r in everywhere.collect()} == pytest.approx({p: sum(want_paths[h, p] for h in m) / len(m) for p in range(3)})
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.process_time()
+    deep = "".join(f"<div class='c{i % 3}'>" for i in range(30_000)) + "text" + "</p>" * 1000
+    assert [b.text for b in htmltext.main_blocks(htmltext.parse(deep))] == ["text"]
+    marked = "<div class='ad'>" * 30_000 + "text"
+    assert [b.text for b in htmltext.main_blocks(htmltext.parse(marked))] == ["text"]
+    assert time.process_time() - start < 20
+
+
 URLS = [
     "http://example.com/en/1", "http://a.example.com/en/1", "http://www.example.com/en/", "http://x.www.example.com/en/q", "http://notexample.com/en/", "http://a.net/es/1", "http://NET/fr/",
     "http://net.org/fr/", "http://b.com", "http://b.com/", "http://b.com?x=/en/", "no scheme", None, "://", "http://", "a://b://c/d", "http://H.COM/P?q#f", "http://example.com/EN/", "http://x.net#/es/", "x://y.net/es/\nz",
