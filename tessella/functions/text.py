@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Stop words of the search index.
 STOP_WORDS = (
-    "the and or but in on at to for of with by a an is are was were be been have has had do does did will would could should may might "
-    "can shall must ought said says he she it they them their his her its this that these those i you we us me him"
-).split()
+    "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "a", "an", "is", "are", "was",
+    "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "can", "shall", "must", "ought", "said", "says", "he", "she", "it", "they", "them", "their", "his",
+    "her", "its", "this", "that", "these", "those", "i", "you", "we", "us", "me", "him",
+)
 # Suffixes of the simple stemmer, tried in this order.
 STEM_SUFFIXES = ("ing", "ed", "er", "est", "ly", "s")
 # Spellings made equal before texts are compared.

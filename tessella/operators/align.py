@@ -14,6 +14,10 @@ NULL_WORD = "NULL"
 # Weights and bonuses of the ensemble.
 METHOD_WEIGHTS = {"statistical": 0.3, "neural": 0.25, "morphological": 0.2, "position": 0.1, "lexicon": 0.15}
 AGREEMENT_BONUS = 0.15
+PAIR_FACTOR = 1.1
+THREE_FACTOR = 1.15
+STATISTICAL_FACTOR = 1.05
+LEAST_SCORE = 0.05
 
 
 def cooccurrence(pairs: DataFrame, src: str, tgt: str) -> DataFrame:
@@ -40,7 +44,8 @@ def ibm1(pairs: DataFrame, src: str, tgt: str, rounds: int = 10, tolerance: floa
     beforehand with their counts, which keeps the sums and shortens the rows.
     """
     source = F.concat(F.array(F.lit(NULL_WORD)), F.col(src)) if with_null else F.col(src)
-    rows = pairs.withColumn("_id", F.monotonically_increasing_id()).select("_id", source.alias("a"), F.col(tgt).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0))
+    # the numbers are written once, as both branches below must agree on them
+    rows = cut(pairs.withColumn("_id", F.monotonically_increasing_id()).select("_id", source.alias("a"), F.col(tgt).alias("b")).where((F.size("a") > 0) & (F.size("b") > 0)))
     a = rows.select("_id", F.explode("a").alias("s")).groupBy("_id", "s").agg(F.count("*").alias("ns"))
     b = rows.select("_id", F.explode("b").alias("t")).groupBy("_id", "t").agg(F.count("*").alias("nt"))
     cells = cut(a.join(b, "_id"))
@@ -77,37 +82,70 @@ def position_scores(pairs: DataFrame, key: str, src: str, tgt: str) -> DataFrame
     return a.join(b, key).withColumn("score", F.least(near * 0.5 * F.when(edge, 1.2).otherwise(1.0), F.lit(0.5))).select(key, "s_idx", "t_idx", "score")
 
 
-def greedy(scores: DataFrame, key: str, score: str = "score") -> DataFrame:
-    """One-to-one pairs of each key, best score first (then smaller source, then smaller target).
-
-    The choice depends on all earlier ones of the key, so a key's candidates meet
-    in one Arrow group: a sentence's, never a corpus's.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_s, used_t, keep = set(), set(), []
-        for i, (s, t) in enumerate(zip(pdf.s_idx, pdf.t_idx, strict=True)):
-            if s not in used_s and t not in used_t:
-                used_s.add(s)
-                used_t.add(t)
-                keep.append(i)
-        return pdf.iloc[keep]
+def _assigned(scores: DataFrame, key: str, score: str, choose, digits: int | None = None) -> DataFrame:
+    """The rows of each key that ``choose`` picks from its (source, target, score) lists; a key's candidates meet in one Arrow group: a sentence's, never a corpus's."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return one(pdf.sort_values(["_score", "s_idx", "t_idx"], ascending=[False, True, True]))[[key, "s_idx", "t_idx", "_score"]]
+        values = pdf._score if digits is None else pdf._score.round(digits)
+        return pdf.iloc[choose(pdf.s_idx.tolist(), pdf.t_idx.tolist(), values.tolist())][[key, "s_idx", "t_idx", "_score"]]
 
     cols = scores.select(key, F.col("s_idx").cast("long"), F.col("t_idx").cast("long"), F.col(score).cast("double").alias("_score"))
     kind = cols.schema[key].dataType.simpleString()
     return cols.groupBy(key).applyInPandas(run, f"{key} {kind}, s_idx long, t_idx long, _score double").withColumnRenamed("_score", score)
 
 
-def ensemble(scores: DataFrame, keys: list[str], weights: dict[str, float] | None = None) -> DataFrame:
-    """One score for each pair from rows (keys, method, score): weighted sum, bonus for agreement, factors by number of methods, at most 1."""
+def greedy(scores: DataFrame, key: str, score: str = "score") -> DataFrame:
+    """One-to-one pairs of each key, best score first (then smaller source, then smaller target)."""
+
+    def best_first(sources: list, targets: list, values: list) -> list[int]:
+        used_s, used_t, keep = set(), set(), []
+        for i in sorted(range(len(values)), key=lambda i: (-values[i], sources[i], targets[i])):
+            if sources[i] not in used_s and targets[i] not in used_t:
+                used_s.add(sources[i])
+                used_t.add(targets[i])
+                keep.append(i)
+        return keep
+
+    return _assigned(scores, key, score, best_first)
+
+
+def by_source(scores: DataFrame, key: str, score: str = "score", least: float = LEAST_SCORE) -> DataFrame:
+    """One-to-one pairs of each key, source by source: the source with the best score chooses first (then the larger one),
+    and takes its best target that is left (then the smaller one) if that scores more than ``least``. Scores that are
+    sums in no fixed order are compared to 12 digits."""
+
+    def in_turn(sources: list, targets: list, values: list) -> list[int]:
+        own: dict = {}
+        for i, s in enumerate(sources):
+            own.setdefault(s, []).append(i)
+        used, keep = set(), []
+        for s in sorted(own, key=lambda s: (max(values[i] for i in own[s]), s), reverse=True):
+            left = [i for i in own[s] if targets[i] not in used]
+            best = min(left, key=lambda i: (-values[i], targets[i]), default=None)
+            if best is not None and values[best] > least:
+                used.add(targets[best])
+                keep.append(best)
+        return keep
+
+    return _assigned(scores, key, score, in_turn, 12)
+
+
+def ensemble(scores: DataFrame, key: str, weights: dict[str, float] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """(key, s_idx, t_idx, base, methods, agreement, confidence) from rows (key, s_idx, t_idx, method, score).
+
+    Weighted scores are summed by pair and pairs assigned source by source. The
+    base then grows with the number of methods that agree and with how close their
+    scores are, and by factors for what agrees; 1 at most.
+    """
     w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in (weights or METHOD_WEIGHTS).items() for x in p]), F.col("method")), F.lit(0.1))
-    g = scores.groupBy(*keys).agg(F.sum(w * F.col("score")).alias("base"), F.count_distinct("method").alias("methods"), (F.max("score") - F.min("score")).alias("spread"))
-    bonus = F.when(F.col("methods") > 1, AGREEMENT_BONUS * (F.col("methods") - 1) * (1 - F.col("spread"))).otherwise(0.0)
-    factor = F.when(F.col("methods") >= 3, 1.15).when(F.col("methods") == 2, 1.1).otherwise(1.0)
-    return g.withColumn("score", F.least((F.col("base") + bonus) * factor, F.lit(1.0)))
+    g = scores.groupBy(key, "s_idx", "t_idx").agg(F.sum(w * F.col("score")).alias("base"), F.collect_set("method").alias("names"), (F.max("score") - F.min("score")).alias("spread"))
+    chosen = by_source(g, key, "base", least).drop("base")
+    n = F.size("names")
+    has = lambda m: F.array_contains("names", m)
+    several = (1 + AGREEMENT_BONUS * (n - 1) * (1 - F.col("spread"))) * F.when(has("statistical") & has("morphological"), PAIR_FACTOR).otherwise(1.0) * F.when(n >= 3, THREE_FACTOR).otherwise(1.0)
+    value = F.col("base") * F.when(n > 1, several).otherwise(1.0) * F.when(has("statistical"), STATISTICAL_FACTOR).otherwise(1.0)
+    out = g.join(chosen, [key, "s_idx", "t_idx"]).withColumn("methods", n.cast("long")).withColumn("agreement", F.when(n > 1, 1 - F.col("spread")).otherwise(1.0))
+    return out.withColumn("confidence", F.least(value, F.lit(1.0))).select(key, "s_idx", "t_idx", "base", "methods", "agreement", "confidence")
 
 
 def calibrated(scores: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +15,17 @@ CAUSAL = ("causes", "enables", "prophesies", "fulfills")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the shared folder of the session, or to one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
+    """``df`` checkpointed to the shared folder of the session; in local mode only, to one of our own where none is set."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="graph-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -86,20 +95,29 @@ def shortest(edges: DataFrame, start) -> DataFrame:
     return best
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) over edges (src, dst, weight); the rank of vertices without a way out is dealt evenly."""
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """(id, rank) over edges (src, dst, weight); the rank of vertices without a way out is dealt evenly.
+
+    Ends when the ranks together move by less than ``tolerance`` for each vertex, at the latest after ``rounds``.
+    """
     e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     ids = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     n = ids.count()
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
-    rank = ids.withColumn("rank", F.lit(1.0 / n))
+    rank = ids.withColumn("rank", F.lit(1.0 / n)) if n else ids.withColumn("rank", F.lit(0.0))
+    before = rank.withColumnRenamed("rank", "old")
     for i in range(rounds):
         given = rank.join(shares, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = rank.join(out, F.col("id") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         rank = ids.join(given, "id", "left").join(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         if i % 3 == 2:
             rank = cut(rank)
+            if tolerance and i + 1 < rounds:
+                moved = rank.join(before, "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+                if moved is None or moved < tolerance * n:
+                    break
+            before = rank.withColumnRenamed("rank", "old")
     return rank
 
 

@@ -11,7 +11,7 @@ from ..operators import align, quality, search, topics
 from .base import query, table
 from .text import TOKENS
 
-TURNS = f"""p AS (SELECT u.conv_id AS c, u.turn AS t, {TOKENS.replace('text', 'u.text')}[1:12] AS a, {TOKENS.replace('text', 's.text')}[1:12] AS b
+TURNS = f"""p AS (SELECT u.conv_id AS c, u.turn AS t, {TOKENS.replace('text', 'u.text')} AS a, {TOKENS.replace('text', 's.text')} AS b
   FROM conversations u JOIN conversations s ON u.conv_id = s.conv_id AND s.turn = u.turn + 1 WHERE u.role = 'user' AND s.role = 'assistant')"""
 
 
@@ -85,10 +85,37 @@ def _scores(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_returnflag").alias("f"), m.alias("method"), (F.col("l_discount") * 10).alias("score"))
 
 
-@query(f"""WITH {SCORES}, g AS (SELECT o, f, sum({WEIGHT} * s) AS base, count(DISTINCT m) AS methods, max(s) - min(s) AS spread FROM v GROUP BY o, f)
-  SELECT o, f, methods, round(least(1, (base + CASE WHEN methods > 1 THEN 0.15 * (methods - 1) * (1 - spread) ELSE 0 END) * CASE WHEN methods >= 3 THEN 1.15 WHEN methods = 2 THEN 1.1 ELSE 1 END), 6) AS score FROM g""")
+#: Line items of an order as one sentence: sources by supplier, targets by part, three methods.
+VOTES = """v AS (SELECT l_orderkey AS o, CAST(l_suppkey % 3 AS BIGINT) AS i, CAST(l_partkey % 3 AS BIGINT) AS j, CASE l_linenumber % 3 WHEN 0 THEN 'statistical' WHEN 1 THEN 'morphological' ELSE 'lexicon' END AS m, l_discount * 10 AS s FROM lineitem),
+  b AS (SELECT o, i, j, sum(CASE m WHEN 'statistical' THEN 0.3 WHEN 'morphological' THEN 0.2 ELSE 0.15 END * s) AS base, count(DISTINCT m) AS n, max(s) - min(s) AS spread, bool_or(m = 'statistical') AS st, bool_or(m = 'morphological') AS mo FROM v GROUP BY o, i, j)"""
+
+
+def _votes(spark, sf_dir):
+    m = F.when(F.col("l_linenumber") % 3 == 0, "statistical").when(F.col("l_linenumber") % 3 == 1, "morphological").otherwise("lexicon")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_suppkey") % 3).alias("s_idx"), (F.col("l_partkey") % 3).alias("t_idx"), m.alias("method"), (F.col("l_discount") * 10).alias("score"))
+
+
+#: Each source in turn takes its best target that is left, in SQL as a recursion over the sources of an order.
+IN_TURN = """c AS (SELECT o, i, list({'j': j, 'base': round(base, 12)} ORDER BY round(base, 12) DESC, j) AS cand, max(round(base, 12)) AS top FROM b GROUP BY o, i),
+  r AS (SELECT o, i, cand, row_number() OVER (PARTITION BY o ORDER BY top DESC, i DESC) AS k FROM c),
+  t AS (SELECT o, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT o FROM r)
+    UNION ALL SELECT o, k, i, CASE WHEN p.base > 0.05 THEN p.j END, CASE WHEN p.base > 0.05 THEN list_append(used, p.j) ELSE used END
+    FROM (SELECT t.o, r.k, r.i, used, list_filter(cand, lambda x : NOT list_contains(used, x.j))[1] AS p FROM t JOIN r ON r.o = t.o AND r.k = t.k + 1))"""
+
+
+@query(f"""WITH RECURSIVE {VOTES}, {IN_TURN}
+  SELECT o, i, j, n AS methods, round(least(1, base * CASE WHEN n > 1 THEN (1 + 0.15 * (n - 1) * (1 - spread)) * CASE WHEN st AND mo THEN 1.1 ELSE 1 END * CASE WHEN n >= 3 THEN 1.15 ELSE 1 END ELSE 1 END * CASE WHEN st THEN 1.05 ELSE 1 END), 6) AS confidence
+  FROM t JOIN b USING (o, i, j)""")
 def ensemble_weighted_vote(spark, sf_dir):
-    return align.ensemble(_scores(spark, sf_dir), ["o", "f"]).select("o", "f", "methods", F.round("score", 6).alias("score"))
+    e = align.ensemble(_votes(spark, sf_dir), "o")
+    return e.select("o", F.col("s_idx").alias("i"), F.col("t_idx").alias("j"), "methods", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH RECURSIVE {VOTES}, {IN_TURN} SELECT o, i, j, round(base, 6) AS score FROM t JOIN b USING (o, i, j)")
+def assignment_by_source(spark, sf_dir):
+    w = F.when(F.col("method") == "statistical", 0.3).when(F.col("method") == "morphological", 0.2).otherwise(0.15)
+    summed = _votes(spark, sf_dir).groupBy("o", "s_idx", "t_idx").agg(F.sum(w * F.col("score")).alias("score"))
+    return align.by_source(summed, "o").select("o", F.col("s_idx").alias("i"), F.col("t_idx").alias("j"), F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {SCORES}, g AS (SELECT o, f, max(s) + CASE WHEN count(DISTINCT m) >= 2 THEN least(count(DISTINCT m) / 5, 0.3) ELSE 0 END + CASE WHEN bool_or(m = 'lexicon') THEN 0.3 ELSE 0 END AS raw FROM v GROUP BY o, f)
