@@ -10,6 +10,13 @@ that lie close together become one read of at most READ_BYTES.
 
 Of records with equal payloads of at least LEAST_PAYLOAD bytes, the one with the
 smallest page_id is a response, the others are revisits of it without a payload.
+Which is which is decided on ids and digests; payloads are then joined to the
+decision by id and digest, so many copies of a page never meet in one task.
+
+Record ids are random UUIDs. A target URI is kept as it is; one with a line break,
+which a header can't hold, has it percent-encoded there and is kept whole, as JSON,
+in a header of our own, as are page ids. A revisit names its response by target
+URI, payload digest and page id.
 
 Defined results: null html is an empty payload; a null URL has no target header;
 repeated rows with the smallest page_id of a payload are all responses; records
@@ -19,6 +26,7 @@ whose page_id is null revisit the smallest id, or are responses if there is none
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -38,6 +46,8 @@ FILE_BYTES = 1 << 30
 #: Archive bytes that one reading task gets.
 TASK_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
+#: Begins the names of our own headers.
+OWN = "Tessella-"
 
 INDEX = "page_id long, url string, file string, offset long, length long, digest string, record_type string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -47,25 +57,24 @@ def _uri(path: str) -> str:
     return re.sub(r"^file:/+", "file:///", path)
 
 
-def _id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _line(text: str) -> str:
+    return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None = None, revisit: bool = False, refers_uri: str | None = None) -> bytes:
     """One record as a gzip member. The HTTP header keeps the full payload's length for revisits too."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_id(page_id)}",
-        f"WARC-Date: {DATE}",
-        *([] if url is None else ["WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")]),
-        f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Refers-To: {_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
-        "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
-    ]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {_line(url)}")
+        if _line(url) != url:
+            head.append(f"{OWN}Target-URI: {json.dumps(url)}")
+    head.append(f"{OWN}Page: {json.dumps(page_id)}")
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {DATE}", f"{OWN}Refers-To-Page: {json.dumps(refers_to)}"]
+        head += [f"WARC-Refers-To-Target-URI: {_line(refers_uri)}"] if refers_uri is not None else []
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -78,13 +87,12 @@ def parse(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    number = lambda s: None if s is None or s == _id(None) else int(s[len("<urn:page:") : -1])
-    url = fields.get("WARC-Target-URI")
+    whole = fields.get(f"{OWN}Target-URI")
     out = {
-        "page_id": number(fields["WARC-Record-ID"]),
-        "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
+        "page_id": json.loads(fields[f"{OWN}Page"]),
+        "url": fields.get("WARC-Target-URI") if whole is None else json.loads(whole),
         "record_type": fields["WARC-Type"],
-        "refers_to": number(fields.get("WARC-Refers-To")),
+        "refers_to": json.loads(fields.get(f"{OWN}Refers-To-Page", "null")),
         "payload_bytes": size,
         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
         "payload": None if fields["WARC-Type"] == "revisit" else payload,
@@ -103,10 +111,11 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows = []
-                columns = [batch.column(n) for n in ("page_id", "url", "payload", "digest", "refers_to", "revisit")]
+                columns = [batch.column(n) for n in ("page_id", "url", "payload", "digest", "refers_to", "refers_uri")]
                 for i in range(len(batch)):
-                    page_id, url, payload, digest, refers_to, revisit = (c[i].as_py() for c in columns)
-                    raw = record(page_id, url, payload or b"", digest, refers_to, revisit)
+                    page_id, url, payload, digest, refers_to, refers_uri = (c[i].as_py() for c in columns)
+                    revisit = refers_to is not None
+                    raw = record(page_id, url, payload or b"", digest, refers_to, revisit, refers_uri)
                     if sink is None or at + len(raw) > FILE_BYTES:
                         if sink is not None:
                             sink.close()
@@ -126,14 +135,14 @@ def _writer(folder: str):
 
 def write(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> tuple[str, DataFrame]:
     """Write ``pages``; returns the archives' folder and the index."""
-    payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"))
+    payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    slim = rows.where(F.length("payload") >= LEAST_PAYLOAD).select("page_id", "url", "digest")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_uri"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    again = slim.join(first, "digest").where("NOT page_id <=> refers_to").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to", "refers_uri").distinct()
+    rows = rows.join(again, rows["page_id"].eqNullSafe(again["p"]) & (rows["digest"] == again["d"]), "left").drop("p", "d")
     folder = _uri(f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
-    rows = rows.withColumn("revisit", revisit)
     return folder, stored(rows.mapInArrow(_writer(folder), INDEX), "warc-index")
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import time
+import zlib
 import random
 import math
 
@@ -44,6 +45,20 @@ def test_warc_round_trip(spark):
     assert got == want
 
 
+def test_warc_headers_are_right_for_other_readers(spark):
+    rows = [(1, "http://a.com/x%20y", "x" * 200), (2, "http://b.com/", "x" * 200), (2, "http://b.com/", "x" * 200), (None, "http://c.com/a\nb%0A", "short"), (None, "u", "short")]
+    folder, index = warc.write(make(spark, rows))
+    heads = []
+    for r in index.collect():
+        with open(folder.removeprefix("file://") + "/" + r["file"], "rb") as f:
+            f.seek(r["offset"])
+            heads.append(zlib.decompress(f.read(r["length"]), 31).split(b"\r\n\r\n")[0].decode())
+    field = lambda h, n: [x.split(": ", 1)[1] for x in h.split("\r\n") if x.startswith(n + ": ")]
+    assert sorted(x for h in heads for x in field(h, "WARC-Target-URI")) == ["http://a.com/x%20y", "http://b.com/", "http://b.com/", "http://c.com/a%0Ab%0A", "u"]
+    assert len({x for h in heads for x in field(h, "WARC-Record-ID")}) == 5
+    assert [x for h in heads for x in field(h, "WARC-Refers-To-Target-URI")] == ["http://a.com/x%20y"] * 2
+
+
 def test_warc_selected_reads(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "READ_BYTES", 5000)
     folder, index = warc.write(pages)
@@ -224,6 +239,19 @@ def test_rules_see_all_tokens_of_a_url(spark):
     assert [r[0] for r in urlrules.matched(new, rules, "url").collect()] == ["http://h.org/a/b/c/es/1"]
 
 
+def test_rules_are_confirmed_on_urls_held_out(spark):
+    rng = random.Random(2)
+    rows = [(f"http://h{i % 9}.{'net' if i % 3 else 'org'}/{'spam' if i % 2 else 'news'}/{rng.randrange(10**6)}", "block" if i % 2 else "allow") for i in range(600)]
+    rows += [(f"http://odd{i}.net/x/{i}", "block") for i in range(3)]
+    df = spark.createDataFrame(rows, "url string, label string")
+    got = urlrules.learned(df, "url", "label").collect()
+    assert [r["items"] for r in got] == [["p:spam"]] and got[0]["fitted"] > 50 and got[0]["precision"] == 1.0
+    # tokens of the last label alone are no rule, however sure
+    tld = spark.createDataFrame([(f"http://h{i}.{'net' if i % 2 else 'com'}/{i}", "block" if i % 2 else "allow") for i in range(200)], "url string, label string")
+    assert urlrules.learned(tld, "url", "label").count() == 0
+    assert urlrules.learned(tld.limit(0), "url", "label").count() == 0
+
+
 def test_url_filter_edges(spark):
     out, n = urlrules.judged(make(spark, [(1, None, ""), (2, "nothing", ""), (2, "nothing", "")]))
     assert sorted((r["page_id"], r[n["verdict"]]) for r in out.collect()) == [(1, "allow"), (2, "allow"), (2, "allow")]

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -333,6 +334,37 @@ def test_jaccard_components(spark, docs, real):
     assert got == components_by_hand(rows)
 
 
+def test_jaccard_cells_find_what_hubs_miss(spark, docs, monkeypatch):
+    """A hot passage in a third of all sets, links between sets of different hubs, cells dealt by hash groups."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "FAMILY", 0.6)
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(400)}"
+    passage = [word() for _ in range(30)]
+    rows = [(i, " ".join(passage + [word() for _ in range(rng.randrange(5, 30))])) for i in range(120)]
+    chain = [f"c{k}" for k in range(60)]
+    for i in range(40):  # each differs a little from the one before
+        chain = chain[:]
+        chain[rng.randrange(60)] = word()
+        rows.append((1000 + i, " ".join(chain)))
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.grouped(docs(rows, True)).collect())
+    assert got == components_by_hand(rows)
+
+
+def test_jaccard_many_near_copies(spark, docs):
+    rows = near_copies(1000)
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.grouped(docs(rows)).collect()) == components_by_hand(rows)
+
+
+def test_deduplication_with_clashing_names(spark, docs):
+    df = docs([*near_copies(5), (1, None), (1, None)])
+    names = ("gone_id_", "gone_hash_", "hash_", "order_", "kind", "label", "doc_id_", "set_key")
+    wide = df.select("*", *[F.lit(n).alias(n) for n in names])
+    assert jaccard.deduplicated(wide).columns == wide.columns
+    assert jaccard.deduplicated(wide).count() == jaccard.deduplicated(df).count()
+
+
 def test_jaccard_keeps_one_of_each_group(spark, docs):
     rows = [*EDGE, *near_copies(20)]
     kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(docs(rows, True)).collect()]
@@ -383,6 +415,34 @@ def test_mixing_targets_and_tree():
     assert (quotas.sum(0) == counts).all() and np.ptp(quotas.sum(1)) <= 1 and (quotas >= 0).all()
 
 
+def test_hypergeometric_odds_are_exact_and_large_sizes_are_drawn():
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 20_000
+    for good, bad, take in ((7, 5, 6), (3, 30, 20), (40, 2, 41), (1, 1, 1)):
+        got = collections.Counter(mixing._hypergeometric(good, bad, take, rng) for _ in range(n))
+        whole = math.comb(good + bad, take)
+        want = {k: math.comb(good, k) * math.comb(bad, take - k) / whole for k in range(max(0, take - bad), min(good, take) + 1)}
+        assert set(got) <= set(want)
+        assert all(abs(got[k] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-9 for k, p in want.items())
+    big = [mixing._hypergeometric(3 * 10**10, 10**10, 2 * 10**10, rng) for _ in range(20)]
+    assert all(abs(k - 1.5 * 10**10) < 10**6 for k in big) and len(set(big)) > 15
+    counts = np.array([3 * 10**9, 5, 10**9])
+    quotas = mixing.split(counts, 3, rng)
+    assert (quotas.sum(0) == counts).all() and np.ptp(quotas.sum(1)) <= 1
+
+
+def test_mixing_tree_in_rounds_deals_every_piece_once(spark):
+    counts = spark.createDataFrame([("a", 1000), ("b", 10), (None, 333)], "source string, n long")
+    got = mixing._grow(counts, 37, 0, fan=4).toPandas()
+    assert got.groupby("source", dropna=False).quota.sum().to_dict().__len__() == 3 and got.quota.sum() == 1343
+    per_shard = got.groupby("shard").quota.sum()
+    assert len(per_shard) == 37 and per_shard.max() - per_shard.min() <= 2
+    rows = spark.createDataFrame([("a", i, i % 5 + 1) for i in range(50)] + [(None, 3, 1), (None, 9, 2)], "k string, i long, w long")
+    before = {(r["k"], r["i"]): r["w0"] for r in mixing._before(rows, ["k"], "i", ["w"], group=7).collect()}
+    assert before == {**{("a", i): sum(j % 5 + 1 for j in range(i)) for i in range(50)}, (None, 3): 0, (None, 9): 1}
+
+
 def test_mixing_shards_are_disjoint_and_full(spark, docs):
     rows = [(i, "w " * (i % 700), "ab"[i % 2]) for i in range(400)]
     _, pieces = mixing.mix(docs(rows), block_words=100, shard_pieces=64)
