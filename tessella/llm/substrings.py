@@ -7,20 +7,23 @@ Dealing. Every SPAN-byte string has an anchor: the leftmost GRAM-byte piece with
 the least hash in it. Equal strings have equal anchors at equal places, so all
 candidates for a match meet in the shard of their anchor, and no shard has to be
 compared with every other. Neighbouring strings with one anchor form a site; a
-site's context is the bytes of all its strings. Of sites with equal contexts all
-but the first are repeats outright. An anchor with one context has no other
-repeats. Only sites of anchors with several contexts go on.
-
-Suffix arrays. A shard of such contexts gets a suffix array by Larsson-Sadakane
-doubling in numpy: ranks of 8-byte prefixes, then of 16, 32, 64 bytes, then the
-order of the strings themselves. The rank levels also give the common prefix of
-any two neighbours, the values of Kasai's pass, without a loop over bytes;
-neighbours with SPAN bytes in common are one class, whose first member stays.
-
-Hot anchors (a line in a third of all documents, say) are found beforehand with a
-counting sketch of fixed size over all documents, and dealt to several shards by
-context. Each shard then hands on one string for each class, and sorted runs of
-them are merged across shards by binary search.
+site's context is the bytes of all its strings. Sites of equal contexts (a copied
+passage, say) say nothing new beyond the first: they are repeats outright, known by
+128 bits of hashes of the anchor and the context. Of the others, sites of anchors
+with several contexts go on as bytes.
+
+Suffix arrays. A shard is a run of such contexts of at most twice SHARD_BYTES. Its
+suffixes get ranks by Larsson-Sadakane doubling in numpy: by 8 bytes, then by 16,
+32, 64. They order the shard's strings; the common prefixes of neighbours (Kasai's
+values, read off the rank levels instead of a loop over bytes) decide: neighbours
+with SPAN bytes in common are one class, whose first member stays.
+
+Merging. An anchor may span several shards: hot anchors (a line in a third of all
+documents, say), found beforehand with a counting sketch of fixed size over all
+documents, are dealt to several tasks by context, and a task cuts what is too much
+for one shard. Each such shard hands on one string for each class, as bytes; sorted
+runs of them are merged across shards by binary search. No step holds more of an
+anchor than a shard.
 
 Defined results: null text is empty; texts shorter than SPAN lose nothing; rows
 that repeat both id and text are one document and get equal results; a null id
@@ -49,10 +52,10 @@ PLACES = SPAN - GRAM + 1
 PASS_STARTS = 2 << 20
 #: Text whose sites are combined before they leave the task.
 COMBINE_BYTES = 16 << 20
-#: Bytes of contexts in one suffix array (a larger anchor group has one of its own).
+#: Bytes of contexts in one suffix array; a shard ends at the next anchor, or at twice as many bytes.
 SHARD_BYTES = 2 << 20
 SKETCH_BITS = 20
-#: An anchor is hot beyond this many sites in its sketch bucket, or four times the mean.
+#: An anchor is hot, and dealt to several tasks, beyond this many sites in its sketch bucket, or four times the mean.
 HOT_SITES = 4096
 
 _POSITION = np.uint64((1 << 24) - 1)
@@ -226,34 +229,54 @@ def _emit_sites(salts_bc):
     return run
 
 
-def _mark_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor, context, d, place. Kind 0: a repeat; kind 1: first of its context, and its anchor has others or is hot."""
+class _Marks:
+    """Reads sites in the order of anchor, context, d, place, and holds one row of an anchor at most."""
 
-    def marks(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, context, d, place = _different(*rows)
+    def __init__(self) -> None:
+        self.last: list | None = None  # the row before
+        self.heads = 0  # contexts of its anchor so far
+        self.pending: list | None = None  # the only one's first site
+
+    def read(self, anchor: np.ndarray, context: np.ndarray, d: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        rows = [anchor, context, d, place]
+        if self.last is not None:
+            rows = [np.concatenate([[x], r]) for x, r in zip(self.last, rows, strict=True)]
+        rows = _different(*rows)  # rows that repeat id and text give equal sites
+        anchor, context, d, place = rows
+        old = int(self.last is not None)
         new_anchor, new_context = np.ones(len(d), bool), np.ones(len(d), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new_context[1:] = new_anchor[1:] | (context[1:] != context[:-1])
         known = context == 0
+        repeat, head = known | ~new_context, new_context & ~known
+        repeat[:old] = head[:old] = False
         group = np.cumsum(new_anchor) - 1
-        several = np.bincount(group, new_context & ~known, minlength=group[-1] + 1 if len(group) else 0) > 1
-        repeat = known | ~new_context
-        keep = repeat | several[group] | (place & 1 > 0)  # other contexts of a hot anchor are in other shards
-        return _batch(["kind", "anchor", "d", "place"], [(~repeat[keep]).astype(np.int32), anchor[keep], d[keep], place[keep]])
+        count = np.bincount(group, head, minlength=group[-1] + 1).astype(np.int64)
+        grown = old and count[0] > 0
+        count[0] += self.heads if old else 0
+        several = count[group] > 1
+        keep = repeat | (head & (several | (place & 1 > 0)))  # other contexts of a hot anchor are in other tasks
+        out = [(~repeat[keep]).astype(np.int32), anchor[keep], d[keep], place[keep]]
+        if grown and self.pending is not None:
+            out = [np.concatenate([o, np.array([x], o.dtype)]) for o, x in zip(out, [1, *self.pending], strict=True)]
+            self.pending = None
+        if group[-1] or not old:  # another anchor is the last one now
+            self.pending = None
+        at_last = head & (group == group[-1]) & ~keep
+        if at_last.any():
+            i = int(np.argmax(at_last))
+            self.pending = [anchor[i], d[i], place[i]]
+        self.heads = int(count[-1])
+        self.last = [r[-1] for r in rows]
+        return _batch(["kind", "anchor", "d", "place"], out)
+
 
-    held: list[np.ndarray] | None = None
+def _mark_sites(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by anchor, context, d, place. Kind 0: a repeat; kind 1: first of its context, and its anchor has others or is hot."""
+    marks = _Marks()
     for batch in batches:
-        rows = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "context", "d", "place")]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        if not len(rows[0]):
-            continue
-        cut = int(np.searchsorted(rows[0] == rows[0][-1], True)) if rows[0][0] != rows[0][-1] else 0
-        held = [r[cut:] for r in rows]
-        if cut:
-            yield marks([r[:cut] for r in rows])
-    if held is not None and len(held[0]):
-        yield marks(held)
+        if len(batch):
+            yield marks.read(*(batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "context", "d", "place")))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +340,12 @@ def common_prefix(b: np.ndarray, levels: dict[int, np.ndarray], p: np.ndarray, q
     return np.minimum(got, most)
 
 
-_RESOLVED = "kind int, h long, far int, d long, part long, lo long, hi long"
-_NAMES = ["kind", "h", "far", "d", "part", "lo", "hi"]
+_RESOLVED = "kind int, raw binary, d long, part long, lo long, hi long"
+_NAMES = ["kind", "raw", "d", "part", "lo", "hi"]
+
+
+def _resolved(kind: int, raws: list[bytes | None], d: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(raws, pa.binary()), *map(pa.array, (d, part, lo, hi))], _NAMES)
 
 
 def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -329,12 +356,13 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(row)) - 1
 
 
-def resolve(d: np.ndarray, place: np.ndarray, raws: list[bytes]) -> pa.RecordBatch:
-    """One shard: repeats as runs of starts (kind 0), and one string for each class of a hot anchor (kind 1)."""
+def resolve(d: np.ndarray, place: np.ndarray, raws: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """One shard: repeats as runs of starts (kind 0), and one string for each class of an anchor that other shards have too (kind 1)."""
     _, once = np.unique(np.stack([d, place]), axis=1, return_index=True)
     d, place, raws = d[once], place[once], [raws[i] for i in once]
-    part, lo, more, far, hot = _unpack(place)
-    b = np.frombuffer(b"".join(raws), np.uint8)
+    part, lo, more, _, shared = _unpack(place)
+    whole = b"".join(raws)
+    b = np.frombuffer(whole, np.uint8)
     begin = np.cumsum([0] + [len(r) for r in raws])[:-1]
     levels = rank_levels(b)
     row = np.repeat(np.arange(len(d)), more + 1)
@@ -342,38 +370,40 @@ def resolve(d: np.ndarray, place: np.ndarray, raws: list[bytes]) -> pa.RecordBat
     p = begin[row] + step
     earlier = np.empty(len(d), np.int64)
     earlier[np.lexsort((place, d))] = np.arange(len(d))
-    key = levels[64][p] << np.uint64(32) | levels[64][p + SPAN - 64]  # SPAN bytes: two overlapping ranks
+    # the shard's strings in order: SPAN bytes are two overlapping ranks; equal ones by where they start
+    key = levels[64][p] << np.uint64(32) | levels[64][p + SPAN - 64]
     by = np.lexsort((earlier[row], key))
+    near = np.flatnonzero(levels[64][p[by[1:]]] == levels[64][p[by[:-1]]])
+    same = near[common_prefix(b, levels, p[by[near]], p[by[near + 1]]) >= SPAN]
     later = np.zeros(len(p), bool)
-    later[by[1:]] = key[by[1:]] == key[by[:-1]]
-    out = []
+    later[by[same + 1]] = True
     if later.any():
         r, s = row[later], step[later]
         a, z = _runs(r, s)
-        zero = np.zeros(len(a), np.int64)
-        out.append([zero.astype(np.int32), zero, zero.astype(np.int32), d[r[a]], part[r[a]], lo[r[a]] + s[a], lo[r[a]] + s[z]])
-    first = ~later & (hot[row] > 0)
+        yield _resolved(0, [None] * len(a), d[r[a]], part[r[a]], lo[r[a]] + s[a], lo[r[a]] + s[z])
+    first = ~later & (shared[row] > 0)
     if first.any():
-        n = len(b)
-        up, down = _powers(1 << max(12, n.bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         q, r, s = p[first], row[first], step[first]
-        h = mix((total[q + SPAN] - total[q]) * down[q]).view(np.int64)
         start = lo[r] + s
-        out.append([np.ones(len(q), np.int32), h, (far[r] - s).astype(np.int32), d[r], part[r], start, start])
-    if not out:
-        out = [[np.zeros(0, t) for t in (np.int32, np.int64, np.int32, np.int64, np.int64, np.int64, np.int64)]]
-    return _batch(_NAMES, [np.concatenate(x) for x in zip(*out, strict=True)])
+        yield _resolved(1, [whole[i : i + SPAN] for i in q.tolist()], d[r], part[r], start, start)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by anchor; shards end between anchors."""
+    """Rows come by anchor. Shards end between anchors, or inside one that is too large: it is in several shards then."""
     anchors, ds, places, raws, size = [], [], [], [], 0
+    spans = None  # the anchor that the shard before was cut in
+
+    def shard(cut: int | None) -> Iterator[pa.RecordBatch]:
+        shared = [p | 1 if a in (cut, spans) else p for a, p in zip(anchors, places, strict=True)]
+        return resolve(np.array(ds, np.int64), np.array(shared, np.int64), raws)
+
     for batch in batches:
         for anchor, d, place, raw in zip(*(batch.column(n).to_pylist() for n in ("anchor", "d", "place", "raw")), strict=True):
-            if size >= SHARD_BYTES and anchor != anchors[-1]:
-                yield resolve(np.array(ds, np.int64), np.array(places, np.int64), raws)
+            inside = bool(anchors) and anchor == anchors[-1]
+            if size >= 2 * SHARD_BYTES or (size >= SHARD_BYTES and not inside):
+                cut = anchor if inside else None
+                yield from shard(cut)
+                spans = cut
                 anchors, ds, places, raws, size = [], [], [], [], 0
             anchors.append(anchor)
             ds.append(d)
@@ -381,26 +411,27 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws.append(raw)
             size += len(raw)
     if raws:
-        yield resolve(np.array(ds, np.int64), np.array(places, np.int64), raws)
+        yield from shard(None)
+
+
+#: A string of SPAN bytes as numbers that sort as its bytes do.
+_ORDER = np.dtype([(f"f{i}", ">u4") for i in range(SPAN // 4)])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes of hot anchors come sorted by (h, far), then place. A string whose key stood before is a repeat."""
+    """Class strings of several shards come sorted, equal ones by where they start. One that stood before is a repeat."""
     before = None
     for batch in batches:
-        h, far, d, part, lo = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "far", "d", "part", "lo"))
-        if not len(h):
+        if not len(batch):
             continue
-        # binary search of each key's first place in the sorted run
-        key = np.empty(len(h), [("h", np.int64), ("far", np.int64)])
-        key["h"], key["far"] = h, far
-        first = np.searchsorted(key, key, "left")
-        again = first < np.arange(len(h))
-        if before is not None:
-            again |= (first == 0) & (key == before)
-        before = key[-1].copy()
-        zero = np.zeros(int(again.sum()), np.int64)
-        yield _batch(_NAMES, [zero.astype(np.int32), zero, zero.astype(np.int32), d[again], part[again], lo[again], lo[again]])
+        raws = batch.column("raw").to_pylist()
+        d, part, lo = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("d", "part", "lo"))
+        run = np.frombuffer(b"".join(raws), _ORDER)
+        # each string's first place in the sorted run
+        again = np.searchsorted(run, run, "left") < np.arange(len(run))
+        again |= np.array([r == before for r in raws])
+        before = raws[-1]
+        yield _resolved(0, [None] * int(again.sum()), d[again], part[again], lo[again], lo[again])
 
 
 def _spans(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -453,8 +484,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     contexts = plain.join(open_, ["d", "part"]).select("d", "t", "found").mapInArrow(_contexts, "anchor long, d long, place long, raw binary")
     resolved = stored(contexts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_resolve, _RESOLVED), "resolved")
     _release(docs)
-    hot = resolved.where("kind = 1")
-    merged = hot.repartition(parts, "h").sortWithinPartitions("h", "far", "d", "part", "lo").mapInArrow(_merge, _RESOLVED)
+    several = resolved.where("kind = 1")
+    merged = several.repartition(parts, "raw").sortWithinPartitions("raw", "d", "part", "lo").mapInArrow(_merge, _RESOLVED)
     lo = F.shiftright("place", 15).bitwiseAND(F.lit((1 << 31) - 1))
     whole = marks.where("kind = 0").select("d", part_of.alias("part"), lo.alias("lo"), (lo + F.shiftright("place", 8).bitwiseAND(F.lit(127))).alias("hi"))
     some = resolved.where("kind = 0").select("d", "part", "lo", "hi")

@@ -249,7 +249,7 @@ def removal_by_hand(rows):
     return out
 
 
-@pytest.mark.parametrize(("hot", "starts", "shard"), [(4096, 2 << 20, 2 << 20), (2, 2 << 20, 1 << 12), (4096, 700, 1 << 14)])
+@pytest.mark.parametrize(("hot", "starts", "shard"), [(4096, 2 << 20, 2 << 20), (2, 2 << 20, 1 << 12), (4096, 700, 1 << 14), (4096, 2 << 20, 500)])
 def test_substring_removal(spark, docs, real, monkeypatch, hot, starts, shard):
     monkeypatch.setattr(substrings, "PASS_STARTS", starts)
     monkeypatch.setattr(substrings, "SHARD_BYTES", shard)
@@ -272,6 +272,22 @@ def test_substring_repeated_rows_and_empty(spark, docs):
     assert substrings.span_report(docs([(1, t)]).limit(0)).count() == 0
 
 
+def test_marks_do_not_depend_on_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(12), rng.randrange(4), rng.randrange(5), 2 * rng.randrange(3) + (a == 3)) for a in [rng.randrange(9) for _ in range(150)])
+    rows += [(20, 7, 1, 0), (21, 7, 1, 0), (21, 7, 1, 0), (21, 8, 1, 0)]
+    names = ["anchor", "context", "d", "place"]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*part, strict=True)], names)
+    read = lambda parts: sorted(tuple(r.values()) for b in substrings._mark_sites(iter(parts)) for r in b.to_pylist())
+    whole = read([batch(rows)])
+    assert (1, 21, 1, 0) in whole and not any(r[1] == 20 for r in whole)
+    for size in (1, 2, 7, 40):
+        assert read([batch(rows[i : i + size]) for i in range(0, len(rows), size)]) == whole
+
+
 def test_suffix_ranks_and_common_prefixes():
     import numpy as np
 
