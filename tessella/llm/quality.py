@@ -11,10 +11,10 @@ The decision list is learned by sequential covering over all labelled documents:
 a rule grows by the threshold that gains most (FOIL gain) on two thirds of them,
 is pruned back on the other third, and what it covers leaves the training set.
 Each growing step is one small aggregation (feature, bin) -> counts; the driver
-holds those counts only. The result is a CASE WHEN over the statistics. A rule
-grows until it covers no good document or no threshold gains; rules are added
-until one, pruned, is less than LEAST_PRECISION precise on the pruning third, or
-none covers LEAST_COVER bad documents. There is no other limit to either.
+holds those counts only. The result is a CASE WHEN over the statistics. A
+condition is added while its gain, in bits, is more than it takes to write it down;
+rules are added until none can begin so, or one, pruned, is less than
+LEAST_PRECISION precise on the pruning third. There is no other limit to either.
 
 Defined results: null text has no words and fails the base rule; labels without
 a quality or a document are skipped, several labels of a document count as the
@@ -164,6 +164,8 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
             out &= (F.col(f) > k) if up else (F.col(f) <= k)
         return out
 
+    #: Bits that name a feature, one of its thresholds and a side.
+    worth_writing = math.log2(max(2, 2 * sum(len(c) for c in cuts.values())))
     remaining, out = F.lit(True), DecisionList()
     while True:
         rule, kept = [], []
@@ -182,7 +184,7 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
                     for up in (True, False):
                         side = {q: [w - a for w, a in zip(whole[q], low[q], strict=True)] if up else low[q] for q in (False, True)}
                         gain = _gain(*total, *side[False])
-                        if side[False][0] >= LEAST_COVER and gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                        if side[False][0] >= LEAST_COVER and gain > worth_writing and (best is None or gain > best[0] + 1e-9):
                             best = (gain, (f, up, k), [*side[True]])
             if best is None:
                 break
