@@ -221,4 +221,7 @@ def filtered(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     rules = judge(docs, labels, text, doc_id, scratch)[2]
     scratch.drop()
     out, name = statistics(docs, text)
-    return out.where(kept(name, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a filter isn't moved below a column like this one, where it would repeat the statistics' expressions
+    mark = fresh(out, "mark_")
+    out = out.withColumn(mark, F.monotonically_increasing_id())
+    return out.where((F.col(mark) >= 0) & kept(name, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
