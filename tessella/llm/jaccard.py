@@ -468,7 +468,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_hash))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = marked.join(marks.drop("kind"), same, "left_anti").select(*columns)
-    twins = marked.join(marks.where("kind = 1").drop("kind"), same, "left_semi")
+    once = marked.join(marks.drop("kind").hint("merge"), same, "left_anti").select(*columns)
+    twins = marked.join(marks.where("kind = 1").drop("kind").hint("merge"), same, "left_semi")
     twins = twins.withColumn(order, F.row_number().over(Window.partitionBy(f"`{doc_id}`", key).orderBy(key))).where(F.col(order) == 1)
     return once.unionByName(twins.select(*columns))

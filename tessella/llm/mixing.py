@@ -222,7 +222,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     numbers = F.explode(F.sequence(F.col("quota0"), F.col("quota0") + F.col("quota") - 1))
     dealt = quotas.select(F.col("source").alias("q_source"), F.col("shard"), numbers.alias("q_place"))
     same = F.col("source").eqNullSafe(F.col("q_source")) & (F.col("number") == F.col("q_place"))
-    return sized, pieces.join(dealt, same).drop("q_source", "q_place")
+    return sized, pieces.join(dealt.hint("merge"), same).drop("q_source", "q_place")
 
 
 def shuffled(pieces: DataFrame, seed: int = 0) -> DataFrame:
