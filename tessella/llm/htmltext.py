@@ -59,6 +59,8 @@ LEAST_IMPORTANCE = 0.25
 MARKED_IMPORTANCE = 0.6
 CONTENT_WEIGHT = 0.9
 MOST_LOSS = 0.5
+#: Parts that a host's texts are dealt to.
+SALTS = 32
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -289,38 +291,51 @@ def _pages(html: str, names: dict[str, str]):
     return run
 
 
-def style_tree(blocks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def style_tree(blocks: DataFrame, layouts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Importance by (host, path, content), by (host, path), and by path over all hosts.
 
-    ``blocks``: host, key (of the page), path, layout, content. Only hosts with
-    LEAST_PAGES different pages tell anything.
+    ``blocks``: host, path, content of different pages, each text of a path once a
+    page; ``layouts``: host, path, layout, once a page, and for every page a row
+    (host, null, null). Only hosts with LEAST_PAGES different pages tell anything.
     """
     keep = lambda df, name: stored(df, name, scratch)
-    sizes = blocks.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("m")).where(F.col("m") >= LEAST_PAGES)
-    shown = blocks.select("host", "path", "content", "key").distinct().groupBy("host", "path", "content").agg(F.count("*").alias("k"))
-    texts = keep(shown.join(sizes, "host").withColumn("importance", 1 - F.log("k") / F.log("m")), "texts")
-    layouts = blocks.select("host", "path", "layout", "key").distinct().groupBy("host", "path", "layout").agg(F.count("*").alias("k")).join(sizes, "host")
-    total = layouts.groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("m").alias("m"))
-    layout = total.select("host", "path", F.greatest((F.log("n") - F.col("klogk") / F.col("n")) / F.log("m"), F.lit(0.0)).alias("layout"))
+    laid = layouts.groupBy("host", "path", "layout").agg(F.count("*").alias("k"))
+    laid = keep(laid, "layouts")
+    sizes = laid.where("path IS NULL").select("host", F.col("k").alias("m")).where(F.col("m") >= LEAST_PAGES)
+    # a host may hold a third of all texts: its size is sent to each of its parts
+    spread = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shown = blocks.groupBy("host", "path", "content").agg(F.count("*").alias("k")).withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+    texts = keep(shown.join(spread, ["host", "salt"]).drop("salt").withColumn("importance", 1 - F.log("k") / F.log("m")), "texts")
+    total = laid.where("path IS NOT NULL").groupBy("host", "path").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    # a text counts once
     content = texts.groupBy("host", "path").agg(F.avg("importance").alias("content"), F.max("m").alias("m"), F.sum("k").alias("k"))
-    paths = content.join(layout, ["host", "path"]).withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.col("layout"))
-    paths = keep(paths, "paths")
-    everywhere = paths.where(F.col("k") >= LEAST_PAGES).groupBy("path").agg(F.avg("importance").alias("importance"), F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
-    return texts.where(F.col("k") >= LEAST_PAGES), paths.where(F.col("k") >= LEAST_PAGES), everywhere
+    layout = F.greatest((F.log("n") - F.col("klogk") / F.col("n")) / F.log("m"), F.lit(0.0))
+    paths = content.join(total, ["host", "path"]).withColumn("importance", CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * layout)
+    paths = keep(paths.where(F.col("k") >= LEAST_PAGES).select("host", "path", "importance"), "paths")
+    everywhere = paths.groupBy("path").agg(F.avg("importance").alias("importance"), F.count("*").alias("hosts")).where(F.col("hosts") >= LEAST_HOSTS)
+    return texts.where(F.col("k") >= LEAST_PAGES), paths, everywhere
 
 
 def _lost(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, lost): the places of the blocks that the tree removes, for pages that lose any; ``pages``: key, host, shapes."""
-    blocks = pages.select("key", "host", F.posexplode("shapes").alias("at", "x")).select("key", "host", "at", "x.*")
-    blocks = blocks.distinct()  # copies of a page are one
-    texts, paths, everywhere = style_tree(blocks, scratch)
-    low = F.col("importance") < F.when(F.col("weak"), MARKED_IMPORTANCE).otherwise(LEAST_IMPORTANCE)
+    """(key, lost): the places of the blocks that the tree removes, for pages that lose any; ``pages``: key, host (a number), shapes."""
+    keep = lambda df, name: stored(df, name, scratch)
+    pages = keep(pages.dropDuplicates(["key"]), "different")  # copies of a page are one
+    once = lambda *names: F.array_distinct(F.transform("shapes", lambda x: F.struct(*[x[n].alias(n) for n in names])))
+    blocks = pages.select("host", F.explode(once("path", "content")).alias("x")).select("host", "x.*")
+    page = F.array(F.struct(F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("layout")))
+    layouts = pages.select("host", F.explode(F.concat(page, once("path", "layout"))).alias("x")).select("host", "x.*")
+    texts, paths, everywhere = style_tree(blocks, layouts, scratch)
     least = F.col("importance") < MARKED_IMPORTANCE
-    by_text = blocks.join(texts.where(least).select("host", "path", "content", "importance"), ["host", "path", "content"]).where(low).select("key", "at")
-    by_path = blocks.join(paths.where(least).select("host", "path", "importance"), ["host", "path"]).where(low).select("key", "at")
-    known = paths.select("host", "path")
-    others = blocks.where("classed").join(everywhere.where(least).select("path", "importance"), "path").where(low).join(known, ["host", "path"], "left_anti").select("key", "at")
-    return by_text.union(by_path).union(others).groupBy("key").agg(F.collect_set("at").alias("lost"))
+    low = F.col("importance") < F.when(F.col("weak"), MARKED_IMPORTANCE).otherwise(LEAST_IMPORTANCE)
+    # few texts and paths are of low importance: their tables are written, so that joins with them know their size
+    texts = keep(texts.where(least).select("host", "path", "content", "importance"), "low-texts")
+    by_path = keep(paths.where(least), "low-paths")
+    everywhere = keep(everywhere.where(least).select("path", "importance"), "low-everywhere")
+    each = pages.select("key", "host", F.posexplode("shapes").alias("at", "x")).select("key", "host", "at", "x.*")
+    found = each.join(texts, ["host", "path", "content"]).where(low).select("key", "at")
+    found = found.union(each.join(by_path, ["host", "path"]).where(low).select("key", "at"))
+    others = each.where("classed").join(everywhere, "path").where(low).join(paths.select("host", "path"), ["host", "path"], "left_anti")
+    return stored(found.union(others.select("key", "at")).groupBy("key").agg(F.collect_set("at").alias("lost")), "lost")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, str]:
@@ -335,14 +350,13 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[Dat
     keyed = pages.withColumn(names["host_"], host(F.col(f"`{url}`"))).withColumn(names["key"], F.xxhash64(names["host_"], F.coalesce(F.col(f"`{html}`"), F.lit(""))))
     fields = [f for f in keyed.schema.fields if f.name != html]
     schema = T.StructType(fields).add(names["shapes"], _SHAPES).add(names["texts"], T.ArrayType(T.StringType()))
-    parsed = stored(keyed.mapInArrow(_pages(html, names), schema), "pages", scratch)
-    lost = _lost(parsed.select(*[F.col(names[n]).alias(a) for n, a in (("key", "key"), ("host_", "host"), ("shapes", "shapes"))]), scratch)
+    parsed = stored(keyed.mapInArrow(_pages(html, names), schema), "pages")
+    lost = _lost(parsed.select(F.col(names["key"]).alias("key"), F.xxhash64(names["host_"]).alias("host"), F.col(names["shapes"]).alias("shapes")), scratch)
+    scratch.drop()
     name, gone = fresh(pages, "text"), fresh(taken, "lost")
     out = parsed.join(lost.select(F.col("key").alias(names["key"]), F.col("lost").alias(gone)), names["key"], "left")
     texts = F.col(names["texts"])
     left = F.filter(texts, lambda _, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False)))
     chars = lambda a: F.length(F.array_join(a, ""))
-    blocks = F.when(chars(left) >= (1 - MOST_LOSS) * chars(texts), left).otherwise(texts)
-    out = stored(out.select(*[F.col(f"`{c}`") for c in own], F.array_join(blocks, "\n").alias(name)), "extracted")
-    scratch.drop()
-    return out, name
+    blocks = F.when(F.col(gone).isNull() | (chars(left) < (1 - MOST_LOSS) * chars(texts)), texts).otherwise(left)
+    return out.select(*[F.col(f"`{c}`") for c in own], F.array_join(blocks, "\n").alias(name)), name

@@ -156,17 +156,19 @@ def test_small_hosts_back_off_to_all_hosts(spark):
 
 def test_style_tree_importance_by_hand(spark):
     rng = random.Random(3)
-    rows = [(f"h{rng.randrange(4)}", rng.randrange(12), rng.randrange(3), rng.randrange(2), rng.randrange(5)) for _ in range(400)]
-    df = spark.createDataFrame(rows, "host string, key long, path long, layout long, content long")
-    texts, paths, everywhere = htmltext.style_tree(df, Scratch(spark))
+    rows = [(rng.randrange(4), rng.randrange(12), rng.randrange(3), rng.randrange(2), rng.randrange(5)) for _ in range(400)]  # host, page, path, layout, content
+    blocks = spark.createDataFrame(sorted({(h, p, c, page) for h, page, p, _, c in rows}), "host long, path long, content long, page long").drop("page")
+    laid = sorted({(h, p, x, page) for h, page, p, x, _ in rows}) + sorted({(h, None, None, page) for h, page, *_ in rows})
+    layouts = spark.createDataFrame(laid, "host long, path long, layout long, page long").drop("page")
+    texts, paths, everywhere = htmltext.style_tree(blocks, layouts, Scratch(spark))
     m = {h: len({r[1] for r in rows if r[0] == h}) for h in {r[0] for r in rows}}
     want_texts, want_paths = {}, {}
     for h, p in {(r[0], r[2]) for r in rows}:
         shown = {c: len({r[1] for r in rows if r[0] == h and r[2] == p and r[4] == c}) for c in {r[4] for r in rows if r[0] == h and r[2] == p}}
-        laid = [len({r[1] for r in rows if r[0] == h and r[2] == p and r[3] == x}) for x in {r[3] for r in rows if r[0] == h and r[2] == p}]
+        sizes = [len({r[1] for r in rows if r[0] == h and r[2] == p and r[3] == x}) for x in {r[3] for r in rows if r[0] == h and r[2] == p}]
         single = {c: 1 - math.log(k) / math.log(m[h]) for c, k in shown.items()}
         want_texts |= {(h, p, c): single[c] for c, k in shown.items() if k >= htmltext.LEAST_PAGES}
-        entropy = -sum(k / sum(laid) * math.log(k / sum(laid)) for k in laid) / math.log(m[h])
+        entropy = -sum(k / sum(sizes) * math.log(k / sum(sizes)) for k in sizes) / math.log(m[h])
         want_paths[h, p] = 0.9 * sum(single.values()) / len(single) + 0.1 * entropy
     assert {(r["host"], r["path"], r["content"]): r["importance"] for r in texts.collect()} == pytest.approx(want_texts)
     assert {(r["host"], r["path"]): r["importance"] for r in paths.collect()} == pytest.approx(want_paths)
