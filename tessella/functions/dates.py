@@ -64,3 +64,73 @@ def axis_ticks(low: Column, high: Column, most: int = 10) -> Column:
 
 def intervals_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a0 <= b1) & (a1 >= b0)
+
+
+# First and last year of reigns, negative before the era.
+REIGNS = {
+    "david": (-1010, -970),
+    "solomon": (-970, -931),
+    "rehoboam": (-931, -913),
+    "asa": (-911, -870),
+    "jehoshaphat": (-873, -848),
+    "hezekiah": (-715, -686),
+    "josiah": (-640, -609),
+    "jeroboam": (-931, -910),
+    "ahab": (-874, -853),
+    "jehu": (-841, -814),
+    "nebuchadnezzar": (-605, -562),
+    "cyrus": (-559, -530),
+    "darius": (-522, -486),
+    "artaxerxes": (-465, -424),
+    "augustus": (-27, 14),
+    "tiberius": (14, 37),
+    "claudius": (41, 54),
+    "nero": (54, 68),
+}
+# Years of named periods, and how sure they are.
+PERIODS = {"first": (-960, -586, 0.85), "second": (-516, 70, 0.9)}
+CIRCA_YEARS = 25
+
+
+def parse_date(text: Column) -> Column:
+    """struct(kind, earliest, latest, confidence, relative_to, offset) of a phrase.
+
+    Kinds: regnal, relative, reign, circa, range, year, period, and undated for
+    phrases whose form is known but names no year (a day of a month, a festival,
+    an age). Null if no form fits. Years of a reign count from its first one.
+    """
+    t = F.trim(text)
+    first = F.try_element_at(F.create_map(*[F.lit(x) for k, v in REIGNS.items() for x in (k, v[0])]), F.lower(F.coalesce(*[F.nullif(F.regexp_extract(t, p, g), F.lit("")) for p, g in _RULERS])))
+    last = F.try_element_at(F.create_map(*[F.lit(x) for k, v in REIGNS.items() for x in (k, v[1])]), F.lower(F.coalesce(*[F.nullif(F.regexp_extract(t, p, g), F.lit("")) for p, g in _RULERS])))
+    number = lambda p, g=1: F.regexp_extract(t, p, g).try_cast("int")
+    nth = F.coalesce(number(_RULERS[0][0]), number(_RULERS[1][0]))
+    regnal = regnal_year(first, nth)
+
+    def out(kind: str, low, high, sure, to=None, offset=None) -> Column:
+        cells = [F.lit(kind).alias("kind"), F.lit(low).cast("int").alias("earliest"), F.lit(high).cast("int").alias("latest"), F.lit(sure).cast("double").alias("confidence")]
+        return F.struct(*cells, F.lit(to).cast("string").alias("relative_to"), F.lit(offset).cast("int").alias("offset"))
+
+    none = F.lit(None)
+    circa = F.coalesce(number(_CIRCA), number(_AROUND))
+    ends = [F.coalesce(number(_BETWEEN, i), number(_SPAN, i)) for i in (1, 2)]
+    reached = F.when(regnal.between(first, last), out("regnal", regnal, regnal, 0.85)).when(first.isNotNull(), out("regnal", none, none, 0.2)).otherwise(out("regnal", none, none, 0.3))
+    result = (
+        F.when(t.rlike(_RULERS[0][0]) | t.rlike(_RULERS[1][0]), reached)
+        .when(t.rlike(_RELATIVE), out("relative", none, none, 0.7, F.regexp_extract(t, _RELATIVE, 3), F.when(F.lower(F.regexp_extract(t, _RELATIVE, 2)) == "before", -number(_RELATIVE)).otherwise(number(_RELATIVE))))
+        .when(t.rlike(_RULERS[2][0]), F.when(first.isNotNull(), out("reign", first, last, 0.8)).otherwise(out("reign", none, none, 0.3)))
+        .when(t.rlike(_SPAN) | t.rlike(_BETWEEN), out("range", -F.greatest(*ends), -F.least(*ends), 0.8))
+        .when(t.rlike(_CIRCA) | t.rlike(_AROUND), out("circa", -circa - CIRCA_YEARS, -circa + CIRCA_YEARS, 0.7))
+    )
+    for name, (low, high, sure) in PERIODS.items():
+        result = result.when(t.rlike(rf"(?i)^{name}\s+temple\s+period"), out("period", low, high, sure))
+    result = result.when(t.rlike(r"(?i)^(?:AD\s*)?\d+\s*(?:BCE?|CE|AD)?\b") & year(t).isNotNull(), out("year", year(t), year(t), 0.9))
+    return result.when(t.rlike(_UNDATED), out("undated", none, none, 0.5))
+
+
+_RULERS = ((r"(?i)^(\d+)(?:st|nd|rd|th)?\s+year\s+of\s+(\w+)", 2), (r"(?i)^year\s+(\d+)\s+of\s+(\w+)", 2), (r"(?i)^during\s+the\s+reign\s+of\s+(\w+)", 1))
+_RELATIVE = r"(?i)^(\d+)\s+years?\s+(before|after)\s+(.+)"
+_SPAN = r"(?i)^(\d+)\s*-\s*(\d+)\s*BCE?\b"
+_BETWEEN = r"(?i)^between\s+(\d+)\s+and\s+(\d+)\s*BCE?\b"
+_CIRCA = r"(?i)^c(?:a|irca)?\.?\s*(\d+)\s*BCE?\b"
+_AROUND = r"(?i)^around\s+(\d+)\s*BCE?\b"
+_UNDATED = r"(?i)^(?:\d+(?:st|nd|rd|th)?\s+day\s+of\s+\w+\s+month|passover\s+of\s+year\s+\d+|(?:early|middle|late)\s+bronze\s+age)"

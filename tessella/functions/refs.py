@@ -93,3 +93,49 @@ def expand_range(df: DataFrame, start: str, end: str, verses: DataFrame) -> Data
     same = F.col("v.book") == F.col(f"r.{start}")["book"]
     inside = F.struct("v.chapter", "v.verse").between(place(f"r.{start}"), place(f"r.{end}"))
     return df.alias("r").join(verses.alias("v"), same & inside)
+
+
+def create_verse_id(book: Column, chapter: Column, verse: Column, part: Column) -> Column:
+    """struct(book, chapter, verse, part) from a book's name or code and numbers; null unless it is valid."""
+    code = book_code(book)
+    ref = F.struct(code.alias("book"), chapter.cast("int").alias("chapter"), verse.cast("int").alias("verse"), part.alias("part"))
+    return F.when(code.isNotNull() & is_valid(ref), ref)
+
+
+def _place(ref: Column) -> Column:
+    order = F.try_element_at(F.create_map(*[F.lit(x) for r in book_rows() for x in (r[0], r[2])]), ref["book"])
+    return F.struct(order, ref["chapter"], ref["verse"], F.coalesce(ref["part"], F.lit("")))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as ``a`` stands before, at or after ``b`` in canonical order; null if either is null."""
+    return F.when(a.isNull() | b.isNull(), None).when(_place(a) < _place(b), -1).when(_place(a) == _place(b), 0).otherwise(1)
+
+
+def verse_range(text: Column) -> Column:
+    """struct(start, end) of ``GEN.1.1-GEN.1.5``, ``Genesis 1:1-5`` or two full references; null if the end is before the start."""
+    t = F.trim(text)
+    short = r"^(.*\d+):(\d+)\s*-\s*(\d+)$"
+    sides = F.split(t, "-", -1)
+    head = F.regexp_extract(t, short, 1)
+    is_short = t.rlike(short)
+    start = F.when(is_short, parse_verse_id(F.concat(head, F.lit(":"), F.regexp_extract(t, short, 2)))).when(F.size(sides) == 2, parse_verse_id(F.get(sides, F.lit(0))))
+    end = F.when(is_short, parse_verse_id(F.concat(head, F.lit(":"), F.regexp_extract(t, short, 3)))).when(F.size(sides) == 2, parse_verse_id(F.get(sides, F.lit(1))))
+    good = start.isNotNull() & end.isNotNull() & (compare(start, end) <= 0) & (~is_short | (is_valid(start) & is_valid(end)))
+    return F.when(good, F.struct(start.alias("start"), end.alias("end")))
+
+
+def reference_list(text: Column, expand: bool = False) -> Column:
+    """All references of ``John 3:16; Matt 5:17-19, Gen 1 1``, as structs; of a range its first verse, or with ``expand`` every verse."""
+
+    def one(item: Column) -> Column:
+        pattern = r"^([1-3]?\s*\w+)\.?\s+(\d+)[:.\s]\s*(\d+)(?:\s*-\s*(\d+))?"
+        number = lambda i: F.regexp_extract(item, pattern, i).try_cast("int")
+        code, first, last = book_code(F.regexp_extract(item, pattern, 1)), number(3), F.coalesce(number(4), number(3))
+        verses = F.when(last >= first, F.sequence(first, last if expand else first)).otherwise(F.array().cast("array<int>"))
+        ref = lambda v: F.struct(code.alias("book"), number(2).alias("chapter"), v.alias("verse"), F.lit(None).cast("string").alias("part"))
+        plain = parse_verse_id(item)
+        alone = F.when(plain.isNotNull(), F.array(plain)).otherwise(F.array().cast("array<struct<book:string,chapter:int,verse:int,part:string>>"))
+        return F.when(code.isNotNull() & item.rlike(pattern), F.transform(verses, ref)).otherwise(alone)
+
+    return F.flatten(F.transform(F.filter(F.transform(F.split(text, "[;,]", -1), F.trim), lambda x: x != ""), one))

@@ -111,3 +111,30 @@ def context_phrases(tokens: Column, n: int, reach: int = 3) -> Column:
 def classify_phrase(phrase: Column, count: Column) -> Column:
     """A phrase is fixed from ten uses, frequent from five, else occasional."""
     return F.when(count >= 10, "fixed").when(count >= 5, "frequent").otherwise("occasional")
+
+
+# Old words and what stands for them before texts are embedded.
+MODERN_SPELLINGS = (
+    ("thou", "you"),
+    ("thee", "you"),
+    ("thy", "your"),
+    ("thine", "yours"),
+    ("ye", "you"),
+    ("hath", "has"),
+    ("doth", "does"),
+    ("saith", "says"),
+)
+
+
+def modern_spelling(text: Column) -> Column:
+    """Old words replaced in any case, and ``3:16`` numbers dropped."""
+    out = F.regexp_replace(text, r"\b\d+:\d+\b", "")
+    for old, new in MODERN_SPELLINGS:
+        out = F.regexp_replace(out, rf"(?i)\b{old}\b", new)
+    return F.trim(out)
+
+
+def order_changes(a: Column, b: Column) -> Column:
+    """How many words of ``a`` first stand more than one place away in ``b``."""
+    places = F.transform(a, lambda w, i: F.when(F.array_contains(b, w), F.abs(i - F.array_position(b, w) + 1)))
+    return F.size(F.filter(places, lambda d: d > 1))

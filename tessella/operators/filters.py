@@ -152,3 +152,37 @@ def facet_values(df: DataFrame, scalars: list[str], lists: list[str] = ()) -> Da
     parts = [df.select(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")).where("value IS NOT NULL").distinct() for c in scalars]
     parts += [df.select(F.lit(c).alias("facet"), F.explode(c).alias("value")).distinct() for c in lists]
     return reduce(DataFrame.unionByName, parts)
+
+
+def event_filter(
+    without: dict[str, list[str]] | None = None,
+    any_of: dict[str, list[str]] | None = None,
+    one_of: dict[str, list[str]] | None = None,
+    least_confidence: float | None = None,
+    not_empty: tuple[str, ...] = (),
+    contains: dict[str, str] | None = None,
+    any_contains: dict[str, list[str]] | None = None,
+) -> Column:
+    """A conjunction over event columns; what isn't given filters nothing.
+
+    without, any_of: list columns that share no, or some, value with the given ones
+    (any_of compares in any case). one_of: columns whose value is one of the given
+    ones. least_confidence: of column confidence, where it is known. not_empty: list
+    columns with a value. contains, any_contains: text columns that hold the given
+    text, or one of the given texts, in any case.
+    """
+    low = lambda values: F.array(*[F.lit(v.lower()) for v in values])
+    none = F.array().cast("array<string>")
+    tests = [~F.arrays_overlap(F.coalesce(c, none), F.array(*map(F.lit, v))) for c, v in (without or {}).items()]
+    tests += [F.arrays_overlap(F.transform(F.coalesce(c, none), F.lower), low(v)) for c, v in (any_of or {}).items()]
+    tests += [F.col(c).isin(*v) for c, v in (one_of or {}).items()]
+    tests += [F.col("confidence").isNull() | (F.col("confidence") >= least_confidence)] if least_confidence is not None else []
+    tests += [F.size(F.coalesce(c, none)) > 0 for c in not_empty]
+    tests += [F.lower(c).contains(v.lower()) for c, v in (contains or {}).items()]
+    tests += [reduce(lambda x, y: x | y, [F.lower(c).contains(v.lower()) for v in vs]) for c, vs in (any_contains or {}).items()]
+    return F.coalesce(reduce(lambda x, y: x & y, tests, F.lit(True)), F.lit(False))
+
+
+def confident_first(df: DataFrame, score: str, least: float, k: int, tie: str) -> DataFrame:
+    """The first ``k`` rows, best first, with a score of at least ``least``."""
+    return df.where(F.col(score) >= least).orderBy(F.desc(score), tie).limit(k)

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # How relation types scale an edge's weight.
@@ -129,3 +129,52 @@ def descendants(spark, view: str, child: str, parent: str) -> DataFrame:
               UNION ALL SELECT t.root, v.{child}, t.depth + 1 FROM t JOIN {view} v ON v.{parent} = t.id)
             SELECT * FROM t"""
     )
+
+
+def paths_through(edges: DataFrame, starts: DataFrame, ends: DataFrame, required: list, most: int = 10) -> DataFrame:
+    """Simple paths from ``starts`` to ``ends`` that visit every one of ``required``."""
+    paths = simple_paths(edges, starts, most, ends)
+    for node in required:
+        paths = paths.where(F.array_contains("path", node))
+    return paths
+
+
+def two_step_pattern(edges: DataFrame, first: Column, second: Column, events: DataFrame | None = None, most_years: float | None = None) -> DataFrame:
+    """(a, b, c) with an edge a-b that meets ``first`` and an edge b-c that meets ``second``; with ``events`` (id, year) the
+    steps are at most ``most_years`` apart."""
+    x = edges.where(first).select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    y = edges.where(second).select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
+    out = x.join(y, "b").select("a", "b", "c").distinct()
+    if events is None or most_years is None:
+        return out
+    for name in ("a", "b", "c"):
+        out = out.join(events.select(F.col("id").alias(name), F.col("year").alias(f"_{name}")), name)
+    near = lambda p, q: F.abs(F.col(f"_{p}") - F.col(f"_{q}")) <= most_years
+    return out.where(near("a", "b") & near("b", "c")).select("a", "b", "c")
+
+
+def causes_of(edges: DataFrame, kinds: tuple[str, ...] = ("causes", "enables")) -> DataFrame:
+    """(id, cause, confidence): sources of edges that bring about a vertex, each with its best confidence."""
+    return edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("dst").alias("id"), F.col("src").alias("cause")).agg(F.max("conf").alias("confidence"))
+
+
+def fulfilments(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst, conf, rank): what each of ``starts`` (id) fulfils, surest first, then the smaller vertex."""
+    out = edges.where("kind = 'fulfills'").join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    return out.select("src", "dst", "conf", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("conf"), "dst")).alias("rank"))
+
+
+def temporal_shortest(edges: DataFrame, events: DataFrame, start) -> DataFrame:
+    """(id, cost) of the paths from ``start`` with the fewest years between their steps; events: (id, year)."""
+    at = lambda name: events.select(F.col("id").alias(name), F.col("year").alias(f"_{name}"))
+    dated = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst")
+    return shortest(dated.select("src", "dst", F.abs(F.col("_src") - F.col("_dst")).cast("double").alias("weight")), start)
+
+
+def related_topics(topics: DataFrame) -> DataFrame:
+    """(id, related, relation) of topics (id, parent, related_ids): known parents, children and explicit ones."""
+    ids = topics.select(F.col("id").alias("related"))
+    up = topics.where("parent IS NOT NULL").select("id", F.col("parent").alias("related"), F.lit("parent").alias("relation"))
+    down = up.select(F.col("related").alias("id"), F.col("id").alias("related"), F.lit("child").alias("relation"))
+    named = topics.select("id", F.explode("related_ids").alias("related"), F.lit("related").alias("relation"))
+    return up.unionByName(down).unionByName(named).join(ids, "related", "left_semi").join(topics.select("id"), "id", "left_semi").select("id", "related", "relation").distinct()

@@ -47,8 +47,13 @@ def overlaps(df: DataFrame, unit: str, topic: str, score: str) -> DataFrame:
     return many.unionByName(wide)
 
 
-def merged(df: DataFrame, keys: list[str], method: str, score: str, weights: dict[str, float], default: float = 0.25) -> DataFrame:
-    """One score for each key: the weighted mean over methods, and the method with the best one."""
+def merged(df: DataFrame, keys: list[str], method: str, score: str, weights: dict[str, float], default: float = 0.25, order: str | None = None) -> DataFrame:
+    """One score for each key: the weighted mean over methods, and the method with the best one.
+
+    With ``order``, of rows that repeat a method only the last one counts.
+    """
+    if order is not None:
+        df = df.groupBy(*keys, method).agg(F.max_by(score, order).alias(score))
     w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in weights.items() for x in p]), F.col(method)), F.lit(default))
     return df.groupBy(*keys).agg((F.sum(w * F.col(score)) / F.sum(w)).alias("score"), F.max_by(method, F.struct(F.col(score), F.col(method))).alias("best"))
 
@@ -96,3 +101,15 @@ def coverage(tokens: DataFrame, word: str, known: DataFrame, known_word: str) ->
         F.count("*").alias("kinds"),
         F.count_if(hit).alias("known_kinds"),
     )
+
+
+def uncertain_first(df: DataFrame, score: str, method_scores: str, factors: str, weight: str, tie: str, k: int = 100) -> DataFrame:
+    """The ``k`` rows that a review would gain most from (impact to nine digits): a low score, methods that disagree, or many doubts.
+
+    ``method_scores`` and ``factors`` are lists; ``weight`` is the number of entries a row stands for.
+    """
+    n = F.size(method_scores)
+    mean = F.aggregate(method_scores, F.lit(0.0), lambda a, x: a + x) / n
+    variance = F.aggregate(method_scores, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
+    doubt = (F.col(score) < 0.6) | ((n > 1) & (variance > 0.15)) | (F.size(factors) > 2)
+    return df.where(doubt).withColumn("impact", F.round((1 - F.col(score)) * 10 * F.col(weight), 9)).orderBy(F.desc("impact"), tie).limit(k)

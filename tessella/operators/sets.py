@@ -78,3 +78,35 @@ def without_subphrases(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     parts = phrases.select(words.alias("_w")).where(F.size("_w") > 2)
     gone = parts.select(F.explode(F.concat(*[F.when(F.size("_w") > n, ngrams(F.col("_w"), n)).otherwise(F.array().cast("array<string>")) for n in range(2, 6)])).alias(phrase)).distinct()
     return phrases.join(gone, phrase, "left_anti")
+
+
+def most_inclusive(df: DataFrame, group: str, member: str, order: str) -> DataFrame:
+    """(group, members) of the group with most members; of equals the first by ``order``. One row."""
+    return df.groupBy(group).agg(F.count_distinct(member).alias("members"), F.min(order).alias("_o")).orderBy(F.desc("members"), "_o", group).limit(1).drop("_o")
+
+
+def first_covering(df: DataFrame, group: str, member: str, wanted: DataFrame, order: str) -> DataFrame:
+    """The first group by ``order`` that has all of ``wanted``. One row at most."""
+    places = df.groupBy(group).agg(F.min(order).alias("_o"))
+    return covering(df, group, member, wanted).join(places, group).orderBy("_o", group).limit(1).select(group)
+
+
+def in_group(rows: DataFrame, member: str, df: DataFrame, group: str, df_member: str, wanted) -> DataFrame:
+    """Rows whose member belongs to the group ``wanted``."""
+    own = df.where(F.col(group) == wanted).select(F.col(df_member).alias("_m"))
+    return rows.join(own, rows[member] == own["_m"], "left_semi")
+
+
+def mapped_across(rows: DataFrame, member: str, df: DataFrame, group: str, df_member: str, source, target) -> DataFrame:
+    """``rows`` with ``mapped``: the member itself where both groups have it, else null."""
+    own = df.where(F.col(group).isin(source, target)).groupBy(F.col(df_member).alias("_m")).agg(F.count_distinct(group).alias("_n"))
+    out = rows.join(own, rows[member] == own["_m"], "left")
+    return out.withColumn("mapped", F.when(F.col("_n") == len({source, target}), F.col(member))).drop("_m", "_n")
+
+
+def journey(df: DataFrame, group: str, member: str, order: str, section: str) -> DataFrame:
+    """(member, group, in_group, place, section) for every member and every group: where it stands, or that it is missing."""
+    groups, members = df.select(group).distinct(), df.select(member).distinct()
+    own = df.select(group, member, F.col(order).alias("place"), F.col(section).alias("section"))
+    whole = members.withColumn("_k", F.lit(1)).join(groups.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return whole.join(own, [group, member], "left").select(member, group, F.col("place").isNotNull().alias("in_group"), "place", "section")

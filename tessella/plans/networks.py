@@ -80,15 +80,12 @@ def bidirectional_edges(spark, sf_dir):
 
 @query(f"WITH {EDGES} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src WHERE x.kind = 'causes' AND y.kind = 'before' GROUP BY ALL")
 def event_pattern(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    x = e.where("kind = 'causes'").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    y = e.where("kind = 'before'").select(F.col("src").alias("b"), F.col("dst").alias("c")).distinct()
-    return x.join(y, "b").select("a", "b", "c").distinct()
+    return graph.two_step_pattern(_edges(spark, sf_dir), F.col("kind") == "causes", F.col("kind") == "before")
 
 
 @query(f"WITH {EDGES} SELECT dst AS id, src AS cause, round(max(conf), 6) AS confidence FROM e WHERE kind = 'causes' GROUP BY ALL")
 def direct_causes(spark, sf_dir):
-    return _edges(spark, sf_dir).where("kind = 'causes'").groupBy(F.col("dst").alias("id"), F.col("src").alias("cause")).agg(F.round(F.max("conf"), 6).alias("confidence"))
+    return graph.causes_of(_edges(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("SELECT 'BELONGS_TO' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'PART_OF', count(*) FROM nation UNION ALL SELECT 'PLACED', count(*) FROM orders")

@@ -64,3 +64,17 @@ def to_many(df: DataFrame, writers: dict[str, Callable[[DataFrame], None]]) -> d
     finally:
         kept.unpersist()
     return done
+
+
+def review_batch(df: DataFrame, path: str, size: int, group: list[str], order: list[str]) -> None:
+    """Numbered batches of at most ``size`` rows for human review, as JSON files by batch, each row with empty answers."""
+    out = numbered_chunks(df, group, order, size).withColumn("answer", F.lit(None).cast("string")).withColumn("comment", F.lit(None).cast("string"))
+    out.write.mode("overwrite").partitionBy("chunk").option("ignoreNullFields", "false").json(path)
+
+
+def alignment_json(links: DataFrame, path: str, by: str = "version") -> DataFrame:
+    """Links (version, verse, source, target, confidence) as JSON by version, one object a verse; returns a report by version."""
+    verses = links.groupBy(by, "verse").agg(F.array_sort(F.collect_list(F.struct("source", "target", "confidence"))).alias("links"))
+    verses.hint("rebalance", by).write.mode("overwrite").partitionBy(by).json(path)
+    bad = F.col("source").isNull() | F.col("target").isNull() | ~F.col("confidence").between(0, 1)
+    return links.groupBy(by).agg(F.count_distinct("verse").alias("verses"), F.count("*").alias("links"), F.avg("confidence").alias("confidence"), F.count_if(F.coalesce(bad, F.lit(True))).alias("invalid"))

@@ -110,3 +110,21 @@ def test_morphology(spark):
         ("particle", None, None, None, None, None, None),
     ]
     assert values(spark, [("b/7225",), ("1254 a",), ("x",)], "c string", morphology.strong_number(F.col("c"), "H")) == ["H7225", "H1254", None]
+
+
+def test_reference_ranges_and_lists(spark):
+    from tessella.functions import refs
+
+    df = spark.createDataFrame([("GEN.1.1a", "GEN.1.1"), ("EXO.1.1", "GEN.50.26"), ("GEN.1.1", "GEN.1.1"), ("x", "GEN.1.1")], "a string, b string")
+    got = [r[0] for r in df.select(refs.compare(refs.parse_verse_id(F.col("a")), refs.parse_verse_id(F.col("b")))).collect()]
+    assert got == [1, 1, 0, None]
+    empty = spark.createDataFrame([(None,)], "t string")
+    assert empty.select(refs.verse_range(F.col("t"))).first()[0] is None
+    assert empty.select(refs.reference_list(F.col("t"))).first()[0] is None
+
+
+def test_modern_spelling_and_order(spark):
+    from tessella.functions import text
+
+    df = spark.createDataFrame([("Thou shalt 3:16 see THY house, thine", ["a", "b", "c", "d"], ["d", "b", "c", "a", "x"])], "t string, a array<string>, b array<string>")
+    assert tuple(df.select(text.modern_spelling(F.col("t")), text.order_changes(F.col("a"), F.col("b"))).first()) == ("you shalt  see your house, yours", 2)
