@@ -40,8 +40,18 @@ def cosine(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio with its own heuristics for long strings."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    """difflib's ratio with its own heuristics for long strings; what it knows of ``b`` is kept while rows repeat it."""
+    matcher, now, out = difflib.SequenceMatcher(None, "", ""), None, []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if y != now:
+            matcher.set_seq2(y)
+            now = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
 
 
 def lcs_length(a: str, b: str) -> int:

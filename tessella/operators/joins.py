@@ -11,16 +11,12 @@ from ..functions.similarity import sequence_ratio
 from ..functions.text import normalise_for_comparison
 from .search import top_per_group
 
-#: Rows of the side that a join may broadcast by hint; beyond it Catalyst chooses.
-BROADCAST_ROWS = 100_000
+#: What an exact quotation adds to the string ratio.
+EXACT_BONUS = 0.1
 
 
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int = 3) -> DataFrame:
-    """(left_id, right_id, shared) of pairs with at least ``least`` different words in common.
-
-    Only words of the left side travel from the right one: the right side's rows
-    are cut to the left vocabulary by a semi join before they are counted.
-    """
+    """(left_id, right_id, shared) of pairs with at least ``least`` different words in common."""
     a = left.select(left_id, F.explode(F.array_distinct(left_words)).alias("word"))
     b = right.select(right_id, F.explode(F.array_distinct(right_words)).alias("word"))
     return a.join(b, "word").groupBy(left_id, right_id).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
@@ -29,18 +25,20 @@ def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 def quotations(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, quote: str, text: str, least: int = 3, ratio: float = 0.3, confidence: float = 0.6, k: int = 10) -> DataFrame:
     """Texts that each quote may come from: enough common words, then the string ratio, then the best ``k``.
 
-    No ratio is over twice the shorter length over both lengths, so pairs that can't
-    reach ``ratio`` by their lengths never come to the string kernel.
+    No ratio is over twice the shorter length over both lengths, and a confidence is
+    a ratio and EXACT_BONUS at most. Lengths travel with the words, so pairs that
+    can't reach both bounds are dropped before common words are counted.
     """
     words = lambda c: F.split(normalise_for_comparison(F.col(c)), " ")
     q = quotes.select(F.col(quote_id).alias("quote_id"), normalise_for_comparison(F.col(quote)).alias("q"), words(quote).alias("qw"))
     t = texts.select(F.col(text_id).alias("text_id"), normalise_for_comparison(F.col(text)).alias("t"), words(text).alias("tw"))
-    pairs = shared_words(q, t, "quote_id", "text_id", "qw", "tw", least)
-    lengths = F.col("lq") + F.col("lt")
-    near = pairs.join(q.select("quote_id", F.length("q").alias("lq")), "quote_id").join(t.select("text_id", F.length("t").alias("lt")), "text_id").where(2 * F.least("lq", "lt") > ratio * lengths).drop("lq", "lt")
+    a = q.select("quote_id", F.length("q").alias("lq"), F.explode(F.array_distinct("qw")).alias("word"))
+    b = t.select("text_id", F.length("t").alias("lt"), F.explode(F.array_distinct("tw")).alias("word"))
+    reachable = 2 * F.least("lq", "lt") > max(ratio, confidence - EXACT_BONUS) * (F.col("lq") + F.col("lt"))
+    near = a.join(b, "word").where(reachable).groupBy("quote_id", "text_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     scored = near.join(q, "quote_id").join(t, "text_id").withColumn("ratio", sequence_ratio("q", "t"))
     exact = F.col("t").contains(F.col("q"))
-    score = F.least(F.col("ratio") + F.when(exact, 0.1).otherwise(0.0), F.lit(1.0))
+    score = F.least(F.col("ratio") + F.when(exact, EXACT_BONUS).otherwise(0.0), F.lit(1.0))
     found = scored.where(F.col("ratio") > ratio).withColumn("confidence", score).where(F.col("confidence") > confidence)
     return top_per_group(found.select("quote_id", "text_id", "shared", "ratio", "confidence"), ["quote_id"], [F.desc("confidence"), F.asc("text_id")], k)
 
