@@ -204,10 +204,10 @@ def learn(stats: DataFrame, name: str, labels: DataFrame, doc_id: str = "doc_id"
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> tuple[DataFrame, str, DecisionList]:
-    """``docs`` without the text and with statistics (written once to the shared folder), the column's name and the learned rules."""
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> tuple[DataFrame, str, DecisionList]:
+    """``docs``, without the text unless asked for, and with statistics (written once to the shared folder), the column's name and the learned rules."""
     out, name = statistics(docs, text)
-    out = stored(out.drop(text), "statistics", scratch)
+    out = stored(out if keep_text else out.drop(text), "statistics")
     return out, name, learn(out, name, labels, doc_id)
 
 
@@ -216,12 +216,6 @@ def kept(name: str, rules: DecisionList) -> Column:
 
 
 def filtered(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents that neither the base rule nor a learned rule rejects. Texts are read twice, and neither stored nor shuffled."""
-    scratch = Scratch(docs.sparkSession)
-    rules = judge(docs, labels, text, doc_id, scratch)[2]
-    scratch.drop()
-    out, name = statistics(docs, text)
-    # a filter isn't moved below a column like this one, where it would repeat the statistics' expressions
-    mark = fresh(out, "mark_")
-    out = out.withColumn(mark, F.monotonically_increasing_id())
-    return out.where((F.col(mark) >= 0) & kept(name, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that neither the base rule nor a learned rule rejects. Texts are written once beside their statistics, and not shuffled."""
+    out, name, rules = judge(docs, labels, text, doc_id, keep_text=True)
+    return out.where(kept(name, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
