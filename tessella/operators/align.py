@@ -83,15 +83,37 @@ def position_scores(pairs: DataFrame, key: str, src: str, tgt: str) -> DataFrame
 
 
 def _assigned(scores: DataFrame, key: str, score: str, choose, digits: int | None = None) -> DataFrame:
-    """The rows of each key that ``choose`` picks from its (source, target, score) lists; a key's candidates meet in one Arrow group: a sentence's, never a corpus's."""
+    """The rows of each key that ``choose`` picks from its (source, target, score) lists. Keys come sorted through Arrow
+    batches, and one key's candidates are held at a time: a sentence's, never a corpus's."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf._score if digits is None else pdf._score.round(digits)
-        return pdf.iloc[choose(pdf.s_idx.tolist(), pdf.t_idx.tolist(), values.tolist())][[key, "s_idx", "t_idx", "_score"]]
-
-    cols = scores.select(key, F.col("s_idx").cast("long"), F.col("t_idx").cast("long"), F.col(score).cast("double").alias("_score"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            cut = int((pdf["_group"] != pdf["_group"].iloc[-1]).sum())
+            held = pdf.iloc[cut:]
+            if cut:
+                yield pick(pdf.iloc[:cut])
+        if held is not None and len(held):
+            yield pick(held)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf["_score"] if digits is None else pdf["_score"].round(digits)
+        sources, targets, values, group = pdf["s_idx"].tolist(), pdf["t_idx"].tolist(), values.tolist(), pdf["_group"].tolist()
+        keep, at = [], 0
+        for end in range(1, len(group) + 1):
+            if end == len(group) or group[end] != group[at]:
+                keep += [at + i for i in choose(sources[at:end], targets[at:end], values[at:end])]
+                at = end
+        return pdf.iloc[keep][[key, "s_idx", "t_idx", "_score"]]
+
+    text = F.to_json(F.struct(key)).alias("_group")
+    cols = scores.select(key, F.col("s_idx").cast("long"), F.col("t_idx").cast("long"), F.col(score).cast("double").alias("_score"), text)
     kind = cols.schema[key].dataType.simpleString()
-    return cols.groupBy(key).applyInPandas(run, f"{key} {kind}, s_idx long, t_idx long, _score double").withColumnRenamed("_score", score)
+    dealt = cols.repartition("_group").sortWithinPartitions("_group")
+    return dealt.mapInPandas(run, f"{key} {kind}, s_idx long, t_idx long, _score double").withColumnRenamed("_score", score)
 
 
 def greedy(scores: DataFrame, key: str, score: str = "score") -> DataFrame:

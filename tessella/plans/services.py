@@ -69,10 +69,10 @@ def modern_spellings(spark, sf_dir):
     return d.select("doc_id", text.modern_spelling(F.col("text")).alias("t"))
 
 
-@query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup') AND value >= 10 AND user_id % 7 <> 3 AND contains(lower(props), 'a')")
+@query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup') AND value >= 10 AND user_id % 7 <> 3 AND contains(lower(props), '1')")
 def event_filters(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("confidence", F.col("value")).withColumn("groups", F.array((F.col("user_id") % 7).cast("string")))
-    test = filters.event_filter(without={"groups": ["3"]}, one_of={"event_type": ["purchase", "signup"]}, least_confidence=10, not_empty=("groups",), contains={"props": "A"})
+    test = filters.event_filter(without={"groups": ["3"]}, one_of={"event_type": ["purchase", "signup"]}, least_confidence=10, not_empty=("groups",), contains={"props": "1"})
     return e.where(test).select("event_id")
 
 
