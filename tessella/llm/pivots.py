@@ -39,6 +39,8 @@ LEAST = 1000
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 MOST_BYTES = 64 << 20
+#: Tasks of the search at most; several pairs of shard and block then share one, one after the other.
+MOST_TASKS = 20_000
 
 
 def usable(vector: Column) -> Column:
@@ -126,7 +128,9 @@ def neighbours(base: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     dim, n, most = sizes["dim"], sizes["n"], sizes["norm2"]
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()]
+    # The filter leaves about two samples, so that no task sends the driver more than it can keep.
+    few = rows.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(max(1, n // (2 * SAMPLE)))) == 0).groupBy("id").agg(F.min("v").alias("v"))
+    sample = [r["v"] for r in few.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
     pivots = np.array(list(dict.fromkeys(map(tuple, sample)))[:PIVOTS])
     pivots = np.column_stack([pivots, np.sqrt(np.maximum(0.0, most - np.einsum("ij,ij->i", pivots, pivots)))])
 
@@ -150,6 +154,8 @@ def neighbours(base: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
+    tasks = min(n_shards * n_blocks, MOST_TASKS)
+    shard, block = (x.repartition(tasks, "shard", "block") for x in (shard, block))
     near = shard.groupBy("shard", "block").cogroup(block.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
