@@ -160,7 +160,10 @@ def ensemble(scores: DataFrame, key: str, weights: dict[str, float] | None = Non
     scores are, and by factors for what agrees; 1 at most.
     """
     w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in (weights or METHOD_WEIGHTS).items() for x in p]), F.col("method")), F.lit(0.1))
-    g = scores.groupBy(key, "s_idx", "t_idx").agg(F.sum(w * F.col("score")).alias("base"), F.collect_set("method").alias("names"), (F.max("score") - F.min("score")).alias("spread"))
+    votes = F.sort_array(F.collect_list(F.struct("method", (w * F.col("score")).alias("part"))))
+    # Summed by method, then by value: sums of doubles must not depend on which row comes first.
+    base = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x["part"])
+    g = scores.groupBy(key, "s_idx", "t_idx").agg(base.alias("base"), F.collect_set("method").alias("names"), (F.max("score") - F.min("score")).alias("spread"))
     chosen = by_source(g, key, "base", least).drop("base")
     n = F.size("names")
     has = lambda m: F.array_contains("names", m)

@@ -87,7 +87,7 @@ def _scores(spark, sf_dir):
 
 #: Line items of an order as one sentence: sources by supplier, targets by part, three methods.
 VOTES = """v AS (SELECT l_orderkey AS o, CAST(l_suppkey % 3 AS BIGINT) AS i, CAST(l_partkey % 3 AS BIGINT) AS j, CASE l_linenumber % 3 WHEN 0 THEN 'statistical' WHEN 1 THEN 'morphological' ELSE 'lexicon' END AS m, l_discount * 10 AS s FROM lineitem),
-  b AS (SELECT o, i, j, sum(CASE m WHEN 'statistical' THEN 0.3 WHEN 'morphological' THEN 0.2 ELSE 0.15 END * s) AS base, count(DISTINCT m) AS n, max(s) - min(s) AS spread, bool_or(m = 'statistical') AS st, bool_or(m = 'morphological') AS mo FROM v GROUP BY o, i, j)"""
+  b AS (SELECT o, i, j, sum(CASE m WHEN 'statistical' THEN 0.3 WHEN 'morphological' THEN 0.2 ELSE 0.15 END * s ORDER BY m, s) AS base, count(DISTINCT m) AS n, max(s) - min(s) AS spread, bool_or(m = 'statistical') AS st, bool_or(m = 'morphological') AS mo FROM v GROUP BY o, i, j)"""
 
 
 def _votes(spark, sf_dir):
@@ -104,11 +104,11 @@ IN_TURN = """c AS (SELECT o, i, list({'j': j, 'base': round(base, 12)} ORDER BY
 
 
 @query(f"""WITH RECURSIVE {VOTES}, {IN_TURN}
-  SELECT o, i, j, n AS methods, round(least(1, base * CASE WHEN n > 1 THEN (1 + 0.15 * (n - 1) * (1 - spread)) * CASE WHEN st AND mo THEN 1.1 ELSE 1 END * CASE WHEN n >= 3 THEN 1.15 ELSE 1 END ELSE 1 END * CASE WHEN st THEN 1.05 ELSE 1 END), 6) AS confidence
+  SELECT o, i, j, n AS methods, floor(1000000 * least(1, base * CASE WHEN n > 1 THEN (1 + 0.15 * (n - 1) * (1 - spread)) * CASE WHEN st AND mo THEN 1.1 ELSE 1 END * CASE WHEN n >= 3 THEN 1.15 ELSE 1 END ELSE 1 END * CASE WHEN st THEN 1.05 ELSE 1 END) + 0.5) / 1000000 AS confidence
   FROM t JOIN b USING (o, i, j)""")
 def ensemble_weighted_vote(spark, sf_dir):
     e = align.ensemble(_votes(spark, sf_dir), "o")
-    return e.select("o", F.col("s_idx").alias("i"), F.col("t_idx").alias("j"), "methods", F.round("confidence", 6).alias("confidence"))
+    return e.select("o", F.col("s_idx").alias("i"), F.col("t_idx").alias("j"), "methods", (F.floor(1000000 * F.col("confidence") + 0.5) / 1000000).alias("confidence"))
 
 
 @query(f"WITH RECURSIVE {VOTES}, {IN_TURN} SELECT o, i, j, round(base, 6) AS score FROM t JOIN b USING (o, i, j)")
