@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, collections, events, networks, reports, services, text  # noqa: F401  (they register themselves)
+from . import alignment, collections, events, lexical, networks, reports, services, text  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
