@@ -26,8 +26,9 @@ runs of them are merged across shards by binary search. No step holds more of an
 anchor than a shard.
 
 Defined results: null text is empty; texts shorter than SPAN lose nothing; rows
-that repeat both id and text are one document and get equal results; a null id
-comes after all others; other columns don't matter.
+that repeat both id and text are one document and get equal results; different texts
+under one id, as all with a null id, which come last, follow their 64-bit hashes; other
+columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merkle import numbered
 from .shared import stored
 from .shingles import _powers, mix
 
@@ -473,7 +475,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     """(plain, starts). plain: doc_id, d, part, t of each row; starts: (d, part, lo, hi), ranges of starts of repeats."""
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.shiftrightunsigned(F.xxhash64(t), 47).alias("part"), t.cast("binary").alias("t"))
+    d = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), d.alias("d"), F.xxhash64(t).alias("h"), t.cast("binary").alias("t"))
+    if docs.groupBy(d.alias("d")).count().where("count > 1").limit(1).count():
+        # Different texts under one id: each takes the number of its place by id, then by hash.
+        names = numbered(plain.select("d", "h").distinct(), ["d", "h"]).select(F.col("d").alias("d_"), F.col("h").alias("h_"), "at")
+        plain = plain.join(names, (F.col("d") == F.col("d_")) & (F.col("h") == F.col("h_"))).select("doc_id", F.col("at").alias("d"), "h", "t")
+    plain = plain.select("doc_id", "d", F.shiftrightunsigned("h", 47).alias("part"), "t")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bc = spark.sparkContext.broadcast(salts(plain.select("d", "part", "t")))
     found = plain.select("d", "part", "t").mapInArrow(_emit_sites(bc), _SITES)

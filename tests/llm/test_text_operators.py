@@ -272,6 +272,19 @@ def test_substring_repeated_rows_and_empty(spark, docs):
     assert substrings.span_report(docs([(1, t)]).limit(0)).count() == 0
 
 
+def test_substring_removal_under_shared_ids(spark, docs):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = text(130)
+    rows = [(None if i < 1500 else 7, text(120) + (passage if i % 50 == 0 else "") + text(20)) for i in range(1700)] + [(3, passage), (7, text(120))]
+    df = docs(rows).withColumn("h", F.xxhash64("text"))
+    order = {r["text"]: k for k, r in enumerate(df.orderBy(F.col("doc_id").asc_nulls_last(), "h").collect())}
+    want = removal_by_hand([(order[t], t) for _, t in rows])
+    got = substrings.span_report(df).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want.values())
+    assert sum(r["n_removed"] > 0 for r in got) == 34
+
+
 def test_marks_do_not_depend_on_batches():
     import numpy as np
     import pyarrow as pa
