@@ -137,8 +137,9 @@ def neighbours(base: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     room = max(1, MOST_BYTES // (8 * dim))
     n_shards = -(-n // min(SHARD_ROWS, room))
     n_blocks = -(-asked.count() // min(BLOCK_ROWS, room)) or 1
-    shard = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    block = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    # Both sides' numbers have one type: an int and a long of equal value are dealt to different tasks.
+    shard = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    block = asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     share = LEAST / n
 
     def search(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

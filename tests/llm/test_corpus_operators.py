@@ -236,6 +236,23 @@ def test_recall(spark, monkeypatch, scale):
     assert recall(found, df, asked) >= 0.9
 
 
+def test_pairs_of_shards_and_blocks_meet_on_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "SHARD_ROWS", 30)
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pivots, "SHARE", 1.0)
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 5)).tolist())]
+    df = vectors(spark, [(i, v, *"abcde") for i, v in rows])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        got = [tuple(r) for r in neighbours(df, df.where("vec_id % 6 = 0"), k=5).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(got) == sorted(plain_neighbours(rows, rows[::6], 5))
+
+
 def test_recall_on_the_given_vectors(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet")
     assert recall(neighbours(df, df.where("vec_id % 20 = 0")), df, df.where("vec_id % 20 = 0")) >= 0.9
