@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 LEAST_CHARS = 3
 # How sure each kind of match is, and how many are kept of a source word.
 EXACT, INSIDE, STEM = 0.9, 0.8, 0.7
@@ -51,12 +53,12 @@ def lemma_levels(words: DataFrame, lexicon: DataFrame, clean: Column, prefixes:
     more and at most ``slack`` letters apart; with ``heads`` also a form with the same first three
     letters. The best level counts, then the smallest form. ``clean`` is an expression over ``word``.
     """
-    forms = lexicon.select("form").where("form IS NOT NULL").distinct()
-    asked = words.select("word").where("word IS NOT NULL").distinct().withColumn("clean", clean)
+    forms = written(lexicon.select("form").where("form IS NOT NULL").distinct(), "forms")
+    asked = written(words.select("word").where("word IS NOT NULL").distinct().withColumn("clean", clean), "asked")
     cut = lambda n: F.when((F.length("clean") > n) & (F.translate(F.substring("clean", 1, n), prefixes, "") == ""), F.substr("clean", F.lit(n + 1)))
     tries = F.array(*[F.struct(F.lit(level).alias("level"), c.alias("form")) for level, c in ((1, F.col("clean")), (2, F.col("word")), *(((3, cut(1)), (4, cut(2))) if prefixes else ()))])
     direct = asked.select("word", F.explode(tries).alias("x")).select("word", "x.level", "x.form").join(forms, "form")
-    direct = direct.groupBy("word").agg(F.min(F.struct("level", "form")).alias("m"))
+    direct = written(direct.groupBy("word").agg(F.min(F.struct("level", "form")).alias("m")), "direct")
     rest = asked.join(direct.select("word"), "word", "left_anti").where(F.length("clean") >= LEAST_CHARS)
     longer = forms.where(F.length("form") >= LEAST_CHARS)
     pairs = contained(rest, longer, "clean", "form").unionByName(contained(longer, rest, "form", "clean"))
@@ -81,7 +83,8 @@ def lexicon_matches(tokens: DataFrame, targets: DataFrame, key: list[str], least
     also given target -1 at 1.0.
     """
     said = F.lower(F.btrim(F.col("word"), F.lit(STRIPPED)))
-    t = targets.select(*key, "t_idx", said.alias("said")).where(said.isNotNull())
+    tokens = written(tokens.select(*key, "s_idx", "glosses", "verb", "marker"), "tokens")
+    t = written(targets.select(*key, "t_idx", said.alias("said")).where(said.isNotNull()), "targets")
     g = tokens.select(*key, "s_idx", "verb", F.posexplode("glosses").alias("place", "text")).where("text IS NOT NULL").withColumn("gloss", F.lower("text"))
     out = [*key, "s_idx", "t_idx", "confidence", "place", "text"]
     exact = g.join(t.withColumnRenamed("said", "gloss"), [*key, "gloss"]).withColumn("confidence", F.lit(EXACT)).select(out)

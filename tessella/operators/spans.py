@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 # What spans of like length and each method add, and when phrases may overlap.
 BALANCE = 0.1
 METHOD_BONUS = {"construct": 0.2, "participle": 0.2, "expansion": 0.2, "statistical": 0.1, "morphological": 0.05}
@@ -64,7 +66,8 @@ def located(sentences: DataFrame, key: list[str], words: str, phrases: DataFrame
 
 def phrase_candidates(pairs: DataFrame, key: list[str], source: str, target: str, phrases: DataFrame) -> DataFrame:
     """(key, CANDIDATE): places of phrases (source_words, target_words, base, method) whose other side is in the target."""
-    found = occurrences(pairs, key, source, phrases, "source_words")
+    pairs, phrases = written(pairs.select(*key, source, target), "pairs"), written(phrases, "phrases")
+    found = written(occurrences(pairs, key, source, phrases, "source_words"), "found")
     found = found.join(located(pairs, key, target, found, "target_words"), [*key, "target_words"])
     return found.select(*key, F.col("start").alias("s_start"), (F.col("start") + F.size("source_words")).alias("s_end"), "t_start", "t_end", F.col("base").alias("confidence"), "method")
 

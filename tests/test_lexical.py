@@ -143,7 +143,14 @@ def test_top_similar(spark, monkeypatch):
     want = {(i, r + 1, int(j)) for i in range(40) for r, j in enumerate(np.lexsort((np.arange(70), -cos[i]))[:10])}
     dq = spark.createDataFrame([(i, v, 0) for i, v in enumerate(q.tolist())] + [(None, [1.0] * 5, 0), (77, None, 0), (78, [1.0], 0)], "id long, v array<double>, w int")
     dt = spark.createDataFrame([(i, v) for i, v in enumerate(t.tolist())], "id long, v array<double>")
-    assert {tuple(r)[:3] for r in crosslingual.top_similar(dq, dt, "id", "v").collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    try:
+        got = {tuple(r)[:3] for r in crosslingual.top_similar(dq, dt, "id", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want
 
 
 def test_neighbours_across_spaces(spark, sf_dir):
