@@ -75,9 +75,11 @@ def guess_pos(word: Column) -> Column:
 
 def normalise_for_comparison(text: Column) -> Column:
     """Lower case, equal spellings, punctuation to spaces, single spaces."""
-    out = F.lower(text)
+    out = low = F.lower(text)
     for old, new in ARCHAIC_FOR_COMPARISON:
         out = F.regexp_replace(out, rf"(?U)\b{old}\b", new)
+    some = "|".join(old for old, _ in ARCHAIC_FOR_COMPARISON)
+    out = F.when(low.rlike(rf"(?U)\b(?:{some})\b"), out).otherwise(low)
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
 
 

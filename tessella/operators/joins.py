@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import sequence_ratio
+from ..functions.similarity import sequence_ratio_above
 from ..functions.text import normalise_for_comparison
 from .search import top_per_group
 
 #: What an exact quotation adds to the string ratio.
 EXACT_BONUS = 0.1
+#: Room for rounding in the bound that rules pairs out.
+SLACK = 1e-9
 
 
 def shared_words(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int = 3) -> DataFrame:
@@ -27,16 +29,20 @@ def quotations(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str,
 
     No ratio is over twice the shorter length over both lengths, and a confidence is
     a ratio and EXACT_BONUS at most. Lengths travel with the words, so pairs that
-    can't reach both bounds are dropped before common words are counted.
+    can't reach both bounds are dropped before common words are counted; the ratio
+    kernel drops those that a bound on matched characters rules out.
     """
-    words = lambda c: F.split(normalise_for_comparison(F.col(c)), " ")
-    q = quotes.select(F.col(quote_id).alias("quote_id"), normalise_for_comparison(F.col(quote)).alias("q"), words(quote).alias("qw"))
-    t = texts.select(F.col(text_id).alias("text_id"), normalise_for_comparison(F.col(text)).alias("t"), words(text).alias("tw"))
-    a = q.select("quote_id", F.length("q").alias("lq"), F.explode(F.array_distinct("qw")).alias("word"))
-    b = t.select("text_id", F.length("t").alias("lt"), F.explode(F.array_distinct("tw")).alias("word"))
-    reachable = 2 * F.least("lq", "lt") > max(ratio, confidence - EXACT_BONUS) * (F.col("lq") + F.col("lt"))
-    near = a.join(b, "word").where(reachable).groupBy("quote_id", "text_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    scored = near.join(q, "quote_id").join(t, "text_id").withColumn("ratio", sequence_ratio("q", "t"))
+    least_ratio = max(ratio, confidence - EXACT_BONUS)
+    times = (2 - least_ratio) / least_ratio  # how much longer one string may be
+    q = quotes.select(F.col(quote_id).alias("quote_id"), normalise_for_comparison(F.col(quote)).alias("q")).withColumn("lq", F.length("q"))
+    t = texts.select(F.col(text_id).alias("text_id"), normalise_for_comparison(F.col(text)).alias("t")).withColumn("lt", F.length("t"))
+    reach = q.agg(F.min("lq").alias("shortest"), F.max("lq").alias("longest"))
+    t = t.join(F.broadcast(reach), (F.col("lt") * times >= F.col("shortest")) & (F.col("lt") <= F.col("longest") * times)).drop("shortest", "longest")
+    words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
+    reachable = 2 * F.least("lq", "lt") > least_ratio * (F.col("lq") + F.col("lt"))
+    near = q.select("quote_id", "lq", words("q")).join(t.select("text_id", "lt", words("t")), "word").where(reachable)
+    near = near.groupBy("quote_id", "text_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    scored = near.join(q, "quote_id").join(t, "text_id").withColumn("ratio", sequence_ratio_above("q", "t", least_ratio - SLACK))
     exact = F.col("t").contains(F.col("q"))
     score = F.least(F.col("ratio") + F.when(exact, EXACT_BONUS).otherwise(0.0), F.lit(1.0))
     found = scored.where(F.col("ratio") > ratio).withColumn("confidence", score).where(F.col("confidence") > confidence)

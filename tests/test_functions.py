@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,21 @@ def test_modern_spelling_and_order(spark):
 
     df = spark.createDataFrame([("Thou shalt 3:16 see THY house, thine", ["a", "b", "c", "d"], ["d", "b", "c", "a", "x"])], "t string, a array<string>, b array<string>")
     assert tuple(df.select(text.modern_spelling(F.col("t")), text.order_changes(F.col("a"), F.col("b"))).first()) == ("you shalt  see your house, yours", 2)
+
+
+def test_bound_on_matched_characters_is_never_too_low(spark):
+    r = random.Random(5)
+    letters = "ab cdefghij" * 3 + "xyzqw"
+    pairs = []
+    for n in [200, 260, 420] * 30:
+        b = "".join(r.choice(letters) for _ in range(n))
+        cut = r.randint(0, n)
+        pairs += [(b[cut:] + b[:cut], b), (b[:cut] + "aaaa" * 9, b), ("".join(c if r.random() > 0.1 else "x" for c in b), b), ("a" * cut, b), ("", b)]
+    for a, b in pairs:
+        matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        assert similarity.most_matched(a, b, similarity.rare_places(b)) >= matched
+    pairs += [("kurz", "kurze"), (None, "x"), ("", "")]
+    got = values(spark, pairs, "a string, b string", similarity.sequence_ratio_above(F.col("a"), F.col("b"), 0.5))
+    for (a, b), ratio in zip(pairs, got, strict=True):
+        want = None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
+        assert ratio == want or (ratio is None and want <= 0.5)
