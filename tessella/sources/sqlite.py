@@ -260,10 +260,10 @@ class SqliteWriter(ds.DataSourceWriter):
             raise ValueError("SQLite's column names don't differ by case alone")
         if unknown := set(self.index) - set(self.schema.names):
             raise ValueError(f"no columns to index: {sorted(unknown)}")
+        os.makedirs(self.staging)  # not by the tasks: one that outlives an abort must not bring it back
 
     def write(self, iterator: Iterator[T.Row]) -> Written:
         task = TaskContext.get()
-        os.makedirs(self.staging, exist_ok=True)
         name = f"part-{self.job}-{task.partitionId()}-{task.attemptNumber()}-{task.taskAttemptId()}.sqlite"
         insert = f"INSERT INTO {TABLE} VALUES ({', '.join('?' * len(self.schema))})"
         kinds = [f.dataType for f in self.schema]
@@ -312,7 +312,10 @@ class SqliteWriter(ds.DataSourceWriter):
                 os.remove(f"{self.folder}/{part['file']}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        gone = f"{self.staging}-aborted"
+        if os.path.isdir(self.staging):
+            os.rename(self.staging, gone)  # tasks that still run find no folder to open files in
+            shutil.rmtree(gone)
         if os.path.isdir(self.folder):
             for name in os.listdir(self.folder):
                 if self.job in name:
