@@ -138,4 +138,4 @@ def reference_list(text: Column, expand: bool = False) -> Column:
         alone = F.when(plain.isNotNull(), F.array(plain)).otherwise(F.array().cast("array<struct<book:string,chapter:int,verse:int,part:string>>"))
         return F.when(code.isNotNull() & item.rlike(pattern), F.transform(verses, ref)).otherwise(alone)
 
-    return F.flatten(F.transform(F.filter(F.transform(F.split(text, "[;,]", -1), F.trim), lambda x: x != ""), one))
+    return F.flatten(F.transform(F.filter(F.transform(F.split(text, "[;,]", -1), lambda x: F.trim(x)), lambda x: x != ""), one))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import morphology, refs
-from ..operators import joins, sets, versification
+from ..operators import joins, sets
 from .base import query, table
 
 #: Nations as collections of the part brands that their suppliers sell.
@@ -82,33 +81,6 @@ def grouping_sets(spark, sf_dir):
     return spark.sql("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM tessella_lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
 
 
-MAPS = [
-    ("a", "b", "MAL.3.19", ["MAL.4.1"], 1.0), ("a", "b", "MAL.3.20", ["MAL.4.2"], 0.9), ("a", "b", "PSA.9.0", ["PSA.10.0"], 0.8),
-    ("b", "a", "JOL.2.28", ["JOL.3.1"], 1.0), ("a", "b", "ACT.19.40", ["ACT.19.40", "ACT.19.41"], 0.7), ("b", "a", "MAL.4.1", ["MAL.3.19"], 1.0), ("b", "a", "MAL.4.2", ["MAL.3.21"], 0.5), ("a", "b", "XXX.1.1", [], 0.0),
-]
-
-
-def _maps(spark):
-    return spark.createDataFrame([(a, b, s, d, "m", c) for a, b, s, d, c in MAPS], "from_sys string, to_sys string, src string, dst array<string>, kind string, confidence double")
-
-
-@query("""SELECT * FROM (VALUES ('MAL.3.19', 'MAL.4.1', 'exact'), ('JOL.3.1', 'JOL.2.28', 'reverse'), ('PSA.9.5', 'PSA.10.5', 'chapter'), ('GEN.1.1', 'GEN.1.1', 'same'), ('ACT.19.40', 'ACT.19.40,ACT.19.41', 'exact')) AS v(ref, targets, rule)""")
-def verse_map_priority(spark, sf_dir):
-    r = spark.createDataFrame([(x, "a", "b") for x in ("MAL.3.19", "JOL.3.1", "PSA.9.5", "GEN.1.1", "ACT.19.40")], "ref string, from_sys string, to_sys string")
-    return versification.resolve(r, _maps(spark)).select("ref", F.array_join("targets", ",").alias("targets"), "rule")
-
-
-@query("SELECT * FROM (VALUES ('a', 'MAL.3.19', true), ('b', 'MAL.4.1', true), ('a', 'MAL.3.20', false)) AS v(from_sys, src, holds)")
-def roundtrip_mapping(spark, sf_dir):
-    return versification.round_trips(_maps(spark)).select("from_sys", "src", "holds")
-
-
-@query("SELECT * FROM (VALUES ('a', 'b', 5, 3, 1, 1, 0.68), ('b', 'a', 3, 3, 0, 0, 0.833333)) AS v(from_sys, to_sys, entries, exact, missing, complex, confidence)")
-def mapping_statistics(spark, sf_dir):
-    s = versification.statistics(_maps(spark))
-    return s.select("from_sys", "to_sys", *[F.col(c).cast("int").alias(c) for c in ("entries", "exact", "missing", "complex")], F.round("confidence", 6).alias("confidence"))
-
-
 @query("SELECT s_suppkey, coalesce(a.n_name, b.r_name, 'none') AS target, CASE WHEN a.n_name IS NOT NULL THEN 1 WHEN b.r_name IS NOT NULL THEN 2 ELSE 0 END AS rule FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 10) a ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 15) b ON s_nationkey - 10 = r_regionkey")
 def mapping_fallback(spark, sf_dir):
     n = table(spark, sf_dir, "nation").where("n_nationkey < 10").select("n_nationkey", "n_name")
@@ -117,38 +89,7 @@ def mapping_fallback(spark, sf_dir):
     return joins.first_mapping(s, "s_nationkey", [(n, "n_nationkey", "n_name"), (r, "k", "r_name")], F.lit("none")).select("s_suppkey", "target", "rule")
 
 
-PARSED = [("GEN.1.1", "GEN.1.1", True), ("Rom.3.23A", "ROM.3.23a", True), ("Genesis 1:1", "GEN.1.1", True), ("1 John 3:16", "1JN.3.16", True), ("Gene 2:3b", "GEN.2.3b", True), ("GEN.51.1", "GEN.51.1", False), ("nothing 1:1", None, False), ("", None, False), ("Rev 22:21", "REV.22.21", True), ("JUD.2.1", "JUD.2.1", False)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if k is None else repr(k)}, {v})" for t, k, v in PARSED) + ") AS v(input, ref, valid)")
-def reference_parsing(spark, sf_dir):
-    r = refs.parse_verse_id(F.col("input"))
-    return spark.createDataFrame([(t,) for t, *_ in PARSED], "input string").select("input", refs.canonical(r).alias("ref"), refs.is_valid(r).alias("valid"))
-
-
-@query("SELECT testament, count(*) AS books, sum(chapters) AS chapters FROM (VALUES ('old', 39, 929), ('new', 27, 260)) AS v(testament, books_, chapters) GROUP BY testament, books_ HAVING true".replace("count(*) AS books, sum(chapters) AS chapters", "CAST(any_value(books_) AS BIGINT) AS books, CAST(any_value(chapters) AS BIGINT) AS chapters"))
-def book_dimension(spark, sf_dir):
-    return refs.books(spark).groupBy("testament").agg(F.count("*").alias("books"), F.sum("chapters").alias("chapters"))
-
-
-CODES = [("HVqp3ms", "verb", "qal", "perfect", "3", "masculine", "singular"), ("HNcfpa", "noun", None, None, None, "feminine", "plural"), ("HC/Vqw3fs", "verb", "qal", "sequential imperfect", "3", "feminine", "singular"), ("HVhrmsa", "verb", "hiphil", "active participle", None, "masculine", "singular")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in c) + ")" for c in CODES) + ") AS v(code, pos, stem, form, person, gender, number)")
-def morphology_codes(spark, sf_dir):
-    m = morphology.hebrew(F.col("code"))
-    return spark.createDataFrame([(c[0],) for c in CODES], "code string").select("code", *[m[f].alias(f) for f in ("pos", "stem", "form", "person", "gender", "number")])
-
-
 @query("WITH a AS (SELECT s_suppkey AS k, 1 AS i, s_acctbal AS v FROM supplier WHERE s_suppkey % 2 = 0), b AS (SELECT s_suppkey AS k, 2 AS i, 0.0 AS v FROM supplier) SELECT k, arg_min(v, i) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY k")
 def collection_merge(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     return sets.merge(s.where("k % 2 = 0"), s.withColumn("v", F.lit(0.0)), key=["k"])
-
-
-@query("SELECT 'verses' AS kind, 100 AS expected, 100 AS actual, 'ok' AS status UNION ALL SELECT 'events', 100, 0, 'error' UNION ALL SELECT 'topics', 100, 97, 'warning' UNION ALL SELECT 'links', 100, 120, 'error'")
-def count_validation(spark, sf_dir):
-    from ..operators.quality import check_counts
-
-    rows = spark.createDataFrame([("verses", 100, 100), ("events", 100, 0), ("topics", 100, 97), ("links", 100, 120)], "kind string, expected int, actual int")
-    return check_counts(rows, "expected", "actual")

@@ -150,21 +150,11 @@ def distribution_combine(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT user_id, list(0.5 + (event_id % 50) / 100.0 ORDER BY event_id) AS c FROM events WHERE event_type = 'signup' GROUP BY user_id)
-  SELECT user_id, round(list_product(c[1:5]) * pow(0.9, len(c[1:5]) - 1), 9) AS confidence, round(0.7 * list_avg(c) + 0.3 * list_min(c), 9) AS overall FROM p""")
+  SELECT user_id, round(list_product(c) * pow(0.9, len(c) - 1), 9) AS confidence, round(0.7 * list_avg(c) + 0.3 * list_min(c), 9) AS overall FROM p""")
 def path_decay(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'signup'")
     p = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (0.5 + F.col("event_id") % 50 / 100).alias("c")))).alias("l")).select("user_id", F.transform("l", lambda x: x["c"]).alias("c"))
-    return p.select("user_id", F.round(probability.path_confidence(F.slice("c", 1, 5)), 9).alias("confidence"), F.round(probability.aggregate_confidence(F.col("c")), 9).alias("overall"))
-
-
-YEARS = [("586 BCE", -586, -586), ("586-538 BCE", -586, -538), ("AD 70", 70, 70), ("70 AD", 70, 70), ("c. 1000 BC", -1000, -1000), ("586 ± 5 BCE", -591, -581), ("586/587 BCE", -587, -586), ("30-33 CE", 30, 33), ("no date", None, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for t, a, b in YEARS) + ") AS v(phrase, earliest, latest)")
-def date_phrases(spark, sf_dir):
-    rows = spark.createDataFrame([(t,) for t, *_ in YEARS], "phrase string")
-    r = dates.year_range(F.col("phrase"))
-    return rows.select("phrase", r["earliest"].alias("earliest"), r["latest"].alias("latest"))
+    return p.select("user_id", F.round(probability.path_confidence(F.col("c")), 9).alias("confidence"), F.round(probability.aggregate_confidence(F.col("c")), 9).alias("overall"))
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -193,12 +183,5 @@ def rule_violations(spark, sf_dir):
     return quality.violations(_tagged(spark, sf_dir), "event_id", rules).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 0 AS low, 97 AS high, [0, 10, 20, 30, 40, 50, 60, 70, 80, 90]::VARCHAR AS ticks UNION ALL SELECT -2000, 100, [-2000, -1500, -1000, -500, 0]::VARCHAR")
-def axis_ticks(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 97), (-2000, 100)], "low int, high int")
-    ticks = F.concat(F.lit("["), F.array_join(F.transform(dates.axis_ticks(F.col("low"), F.col("high")), lambda x: x.cast("string")), ", "), F.lit("]"))
-    return rows.select("low", "high", ticks.alias("ticks"))
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

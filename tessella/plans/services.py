@@ -10,36 +10,6 @@ from .base import query, table
 from .networks import EDGES, _edges
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    say = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(say, r)) + ")" for r in rows) + f") AS v({names})"
-
-
-RANGES = [
-    ("GEN.1.1-GEN.1.5", "GEN.1.1", "GEN.1.5"), ("Genesis 1:1-5", "GEN.1.1", "GEN.1.5"), ("gen.1.30-gen.2.3", "GEN.1.30", "GEN.2.3"), ("Genesis 1:5-1", None, None),
-    ("1 John 3:16-18", "1JN.3.16", "1JN.3.18"), ("Genesis 50:1 - Exodus 1:2", "GEN.50.1", "EXO.1.2"), ("GEN.1.1", None, None), ("Genesis 99:1-2", None, None), ("", None, None),
-]
-
-
-@query(_values(RANGES, "input, first, last"))
-def range_parsing(spark, sf_dir):
-    r = refs.verse_range(F.col("input"))
-    return spark.createDataFrame([(t,) for t, *_ in RANGES], "input string").select("input", refs.canonical(r["start"]).alias("first"), refs.canonical(r["end"]).alias("last"))
-
-
-LISTS = [
-    ("John 3:16; Matt 5:17-19", "JHN.3.16 MAT.5.17", "JHN.3.16 MAT.5.17 MAT.5.18 MAT.5.19"), ("Gen 1.1, Exodus 2 3", "GEN.1.1 EXO.2.3", "GEN.1.1 EXO.2.3"), ("ROM.3.23a", "ROM.3.23a", "ROM.3.23a"),
-    ("nothing; ,", "", ""), ("1 John 4:8-9", "1JN.4.8", "1JN.4.8 1JN.4.9"),
-]
-
-
-@query(_values(LISTS, "input, firsts, verses"))
-def reference_lists(spark, sf_dir):
-    say = lambda a: F.array_join(F.transform(a, refs.canonical), " ")
-    rows = spark.createDataFrame([(t,) for t, *_ in LISTS], "input string")
-    return rows.select("input", say(refs.reference_list(F.col("input"))).alias("firsts"), say(refs.reference_list(F.col("input"), True)).alias("verses"))
-
-
 @query("WITH b AS (SELECT * FROM (VALUES ('GEN', 1, 50), ('JUD', 65, 1), ('REV', 66, 22)) AS v(book, ord, most)), p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Genesis' WHEN 1 THEN 'jude' ELSE 'REV' END AS name, p_size AS chapter, CAST(p_partkey % 40 AS INT) AS verse, CASE p_size % 3 WHEN 0 THEN 'GEN' WHEN 1 THEN 'JUD' ELSE 'REV' END AS book FROM part) SELECT p_partkey, CASE WHEN chapter BETWEEN 1 AND most AND verse >= 1 THEN p.book || '.' || chapter || '.' || verse END AS ref, CASE WHEN NOT (chapter BETWEEN 1 AND most AND verse >= 1) THEN NULL WHEN ord > 1 THEN 1 WHEN chapter > 7 OR (chapter = 7 AND verse > 3) THEN 1 WHEN chapter = 7 AND verse = 3 THEN 0 ELSE -1 END AS side FROM p JOIN b USING (book)")
 def reference_validation(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -49,24 +19,14 @@ def reference_validation(spark, sf_dir):
     return p.select("p_partkey", refs.canonical(F.col("r")).alias("ref"), refs.compare(F.col("r"), fixed).alias("side"))
 
 
-DATES = [
-    ("586 BCE", "year", -586, -586, 0.9), ("70 CE", "year", 70, 70, 0.9), ("586-538 BCE", "range", -586, -538, 0.8), ("between 600 and 500 BC", "range", -600, -500, 0.8), ("c. 1000 BCE", "circa", -1025, -975, 0.7),
-    ("around 700 BCE", "circa", -725, -675, 0.7), ("15th year of Hezekiah", "regnal", -701, -701, 0.85), ("year 90 of Nero", "regnal", None, None, 0.2), ("3rd year of Nobody", "regnal", None, None, 0.3),
-    ("during the reign of Josiah", "reign", -640, -609, 0.8), ("10 years before the exile", "relative", None, None, 0.7), ("second temple period", "period", -516, 70, 0.9), ("14th day of first month", "undated", None, None, 0.5),
-    ("late bronze age", "undated", None, None, 0.5), ("no date", None, None, None, None),
-]
-
-
-@query(_values(DATES, "phrase, kind, earliest, latest, confidence"))
-def date_forms(spark, sf_dir):
-    d = dates.parse_date(F.col("phrase"))
-    return spark.createDataFrame([(t,) for t, *_ in DATES], "phrase string").select("phrase", *[d[c].alias(c) for c in ("kind", "earliest", "latest", "confidence")])
+MODERN = r"regexp_replace(text, '\b\d+:\d+\b', '', 'g')"
+for old, new in text.MODERN_SPELLINGS:
+    MODERN = rf"regexp_replace({MODERN}, '(?i)\b{old}\b', '{new}', 'g')"
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\\b\\d+:\\d+\\b', '', 'g'), '\\b(thou|thee|ye)\\b', 'you', 'gi'), '\\bthy\\b', 'your', 'gi')) AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '(?i)\\b(thine|hath|doth|saith)\\b')".replace("\\\\", "\\"))
+@query(f"SELECT doc_id, trim({MODERN}) AS t FROM documents")
 def modern_spellings(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(r"lang = 'en' AND NOT text RLIKE r'(?i)\b(thine|hath|doth|saith)\b'")
-    return d.select("doc_id", text.modern_spelling(F.col("text")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.modern_spelling(F.col("text")).alias("t"))
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('purchase', 'signup') AND value >= 10 AND user_id % 7 <> 3 AND contains(lower(props), '1')")

@@ -213,15 +213,20 @@ def script_counts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", *[scripts.count_of(t, s).cast("long").alias(s.lower()) for s in ("Latin", "Greek", "Hebrew")])
 
 
-@query("""SELECT doc_id, md5(translate(lower(text), 'áàâäéèêëíìîïóòôöúùûüñç', 'aaaaeeeeiiiioooouuuunc')) AS digest FROM documents""")
+@query("""SELECT doc_id, md5(strip_accents(lower(text))) AS digest FROM documents""")
 def diacritic_strip(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.md5(F.translate(F.lower("text"), "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc")).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(scripts.without_marks(F.lower("text"))).alias("digest"))
 
 
-@query("""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\bbehold\\b', 'see', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE lang = 'en'""".replace("\\\\", "\\"))
+# RE2's word boundary knows ASCII letters only, so the SQL states the neighbours of a word.
+NORMAL_FORM = "lower(text)"
+for old, new in text.ARCHAIC_FOR_COMPARISON:
+    NORMAL_FORM = rf"regexp_replace({NORMAL_FORM}, '(^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]){old}($|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])', '\1{new}\2', 'g')"
+
+
+@query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace({NORMAL_FORM}, '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def comparison_normal_form(spark, sf_dir):
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\bbehold\b", "see"), r"[^a-z0-9\s]", " "), r"\s+", " ")
-    return docs(spark, sf_dir).where("lang = 'en'").select("doc_id", F.md5(F.trim(t)).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(text.normalise_for_comparison(F.col("text"))).alias("digest"))
 
 
 @query("""SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1""")
