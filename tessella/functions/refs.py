@@ -119,10 +119,18 @@ def verse_range(text: Column) -> Column:
     sides = F.split(t, "-", -1)
     head = F.regexp_extract(t, short, 1)
     is_short = t.rlike(short)
-    start = F.when(is_short, parse_verse_id(F.concat(head, F.lit(":"), F.regexp_extract(t, short, 2)))).when(F.size(sides) == 2, parse_verse_id(F.get(sides, F.lit(0))))
-    end = F.when(is_short, parse_verse_id(F.concat(head, F.lit(":"), F.regexp_extract(t, short, 3)))).when(F.size(sides) == 2, parse_verse_id(F.get(sides, F.lit(1))))
-    good = start.isNotNull() & end.isNotNull() & (compare(start, end) <= 0) & (~is_short | (is_valid(start) & is_valid(end)))
-    return F.when(good, F.struct(start.alias("start"), end.alias("end")))
+
+    def side(i: int, number: int) -> Column:
+        """One end; its text is chosen first, so that it is parsed once."""
+        return parse_verse_id(F.when(is_short, F.concat(head, F.lit(":"), F.regexp_extract(t, short, number))).when(F.size(sides) == 2, F.get(sides, F.lit(i))))
+
+    def checked(r: Column) -> Column:
+        good = r["start"].isNotNull() & r["end"].isNotNull() & (compare(r["start"], r["end"]) <= 0) & (~r["short"] | (is_valid(r["start"]) & is_valid(r["end"])))
+        return F.when(good, F.struct(r["start"].alias("start"), r["end"].alias("end")))
+
+    # a lambda's argument is computed once, however often the checks use it
+    both = F.struct(side(0, 2).alias("start"), side(1, 3).alias("end"), is_short.alias("short"))
+    return F.get(F.transform(F.array(both), checked), F.lit(0))
 
 
 def reference_list(text: Column, expand: bool = False) -> Column:
