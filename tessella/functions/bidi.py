@@ -54,10 +54,11 @@ def segments(text: Column, base: Column | None = None) -> Column:
         return F.concat(done, F.array(one))
 
     empty = F.array().cast("array<struct<start:int,run:string,direction:string,level:int>>")
-    return F.aggregate(_split(text), empty, add)
+    return F.aggregate(runs(text), empty, add)
 
 
-def _split(text: Column) -> Column:
+def runs(text: Column) -> Column:
+    """array of the runs in logical order; joined they give the text back."""
     return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(1))
 
 
@@ -70,14 +71,14 @@ def display(text: Column, base: Column | None = None) -> Column:
 
     def line(t: Column) -> Column:
         b = base_direction(t) if base is None else base
-        return F.when(b == "ltr", t).otherwise(F.array_join(F.reverse(_split(t)), ""))
+        return F.when(b == "ltr", t).otherwise(F.array_join(F.reverse(runs(t)), ""))
 
     return _lines(text, line)
 
 
 def mirrored(text: Column) -> Column:
     """Brackets in right-to-left runs turned round. A text's leading neutrals are taken as left-to-right."""
-    return F.array_join(F.transform(_split(text), lambda r: F.when(_is_right(r), F.translate(r, *BRACKETS)).otherwise(r)), "")
+    return F.array_join(F.transform(runs(text), lambda r: F.when(_is_right(r), F.translate(r, *BRACKETS)).otherwise(r)), "")
 
 
 def embedded(text: Column, base: Column | None = None) -> Column:

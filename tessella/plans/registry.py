@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, collections, derived, events, lexical, networks, reports, services, stores, text  # noqa: F401  (they register themselves)
+from . import alignment, collections, derived, events, lexical, networks, reports, services, stores, text, writing  # noqa: F401  (they register themselves)
 from .base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
