@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import written
+
 MANIFEST = "number long, folder string, tables array<struct<name: string, columns: array<struct<name: string, type: string>>, by: array<string>>>, published timestamp"
 #: Rows of one file of a group, and documents of one row of a word.
 CHUNK = 1000
@@ -37,13 +39,16 @@ def current(spark: SparkSession, path: str, number: int | None = None):
 
 
 def publish(path: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> int:
-    """Writes {name: (rows, columns that make its folders)} as JSON lines; the number of the release. Empty tables are kept."""
+    """Writes {name: (rows, columns that make its folders)} as JSON lines; the number of the release. Empty tables are kept.
+
+    Rows are written where they are: a task makes a file for each folder it has rows of, so the caller
+    keeps the rows of a folder together.
+    """
     spark = next(iter(tables.values()))[0].sparkSession
     last = current(spark, path)
     number, folder = (last.number + 1 if last else 1), f"releases/{uuid.uuid4().hex}"
     for name, (rows, by) in tables.items():
-        out = rows.hint("rebalance", *by) if by else rows
-        out.write.partitionBy(*by).option("ignoreNullFields", "false").json(f"{path}/{folder}/{name}")
+        rows.write.partitionBy(*by).option("ignoreNullFields", "false").json(f"{path}/{folder}/{name}")
     described = [(name, [(f.name, f.dataType.simpleString()) for f in rows.schema], by) for name, (rows, by) in tables.items()]
     line = spark.createDataFrame([(number, folder, described)], MANIFEST.rsplit(",", 1)[0]).withColumn("published", F.current_timestamp())
     line.coalesce(1).write.mode("append").json(f"{path}/manifest")
@@ -66,14 +71,16 @@ def collection(rows: DataFrame, group: str, order: str, words) -> dict[str, tupl
 
     Chunks are stretches of a group's ``order``, CHUNK rows each or fewer; order holds integers, unique
     in a group. ``rows`` has no columns chunk, word or letter. Rows are numbered by stretches of the whole order and sums over these, so a
-    large group is not one task's. A word's documents stand in pieces that hold the same chunk of
+    large group is not one task's; texts are shuffled for this only, once, and stored. A word's documents stand in pieces that hold the same chunk of
     the same group, so no row grows with the corpus.
     """
-    placed = _numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_n") - 1) / CHUNK).cast("long")).drop("_n")
+    placed = written(_numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_n") - 1) / CHUNK).cast("long")).drop("_n"), "placed")
     index = placed.groupBy(group, "chunk").agg(F.count("*").alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"))
     found = placed.select(group, "chunk", order, F.explode(F.array_distinct(words)).alias("word")).where("word <> ''")
-    pieces = found.groupBy("word", group, "chunk").agg(F.array_sort(F.collect_list(order)).alias("places"))
-    return {"rows": (placed, [group]), "index": (index, []), "words": (pieces.withColumn("letter", F.lower(F.substring("word", 1, 1))), ["letter"])}
+    key = ["letter", "word", group, "chunk"]
+    sorted_out = found.withColumn("letter", F.lower(F.substring("word", 1, 1))).repartitionByRange(*key)
+    pieces = sorted_out.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("places"))
+    return {"rows": (placed, [group]), "index": (index, []), "words": (pieces, ["letter"])}
 
 
 def _numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
