@@ -38,8 +38,8 @@ def current(spark: SparkSession, path: str, number: int | None = None):
     return (lines if number is None else lines.where(F.col("number") == number)).orderBy(F.desc("number"), F.desc("published")).first()
 
 
-def publish(path: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> int:
-    """Writes {name: (rows, columns that make its folders)} as JSON lines; the number of the release. Empty tables are kept.
+def publish(path: str, tables: dict[str, tuple[DataFrame, list[str]]], compression: str = "gzip") -> int:
+    """Writes {name: (rows, columns that make its folders)} as JSON lines, compressed; the number of the release. Empty tables are kept.
 
     Rows are written where they are: a task makes a file for each folder it has rows of, so the caller
     keeps the rows of a folder together.
@@ -48,7 +48,7 @@ def publish(path: str, tables: dict[str, tuple[DataFrame, list[str]]]) -> int:
     last = current(spark, path)
     number, folder = (last.number + 1 if last else 1), f"releases/{uuid.uuid4().hex}"
     for name, (rows, by) in tables.items():
-        rows.write.partitionBy(*by).option("ignoreNullFields", "false").json(f"{path}/{folder}/{name}")
+        rows.write.partitionBy(*by).option("ignoreNullFields", "false").option("compression", compression).json(f"{path}/{folder}/{name}")
     described = [(name, [(f.name, f.dataType.simpleString()) for f in rows.schema], by) for name, (rows, by) in tables.items()]
     line = spark.createDataFrame([(number, folder, described)], MANIFEST.rsplit(",", 1)[0]).withColumn("published", F.current_timestamp())
     line.coalesce(1).write.mode("append").json(f"{path}/manifest")
