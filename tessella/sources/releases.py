@@ -74,7 +74,7 @@ def collection(rows: DataFrame, group: str, order: str, words) -> dict[str, tupl
     large group is not one task's; texts are shuffled for this only, once, and stored. A word's documents stand in pieces that hold the same chunk of
     the same group, so no row grows with the corpus.
     """
-    placed = written(_numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_n") - 1) / CHUNK).cast("long")).drop("_n"), "placed")
+    placed = written(_numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_n") - 1) / CHUNK).cast("long")).drop("_n"), "placed", "zstd")
     index = placed.groupBy(group, "chunk").agg(F.count("*").alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"))
     found = placed.select(group, "chunk", order, F.explode(F.array_distinct(words)).alias("word")).where("word <> ''")
     key = ["letter", "word", group, "chunk"]
