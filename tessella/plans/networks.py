@@ -21,8 +21,8 @@ def _tree(spark, sf_dir):
 @query(f"WITH RECURSIVE {TREE}, t AS (SELECT id AS root, id, 0 AS depth FROM v WHERE id LIKE 'r%' UNION ALL SELECT t.root, v.id, t.depth + 1 FROM t JOIN v ON v.parent = t.id) SELECT root, depth, count(*) AS n FROM t GROUP BY root, depth")
 def tree_descendants(spark, sf_dir):
     _tree(spark, sf_dir).createOrReplaceTempView("tessella_tree")
-    t = graph.descendants(spark, "tessella_tree", "id", "parent")
-    return t.where("root LIKE 'r%'").groupBy("root", "depth").agg(F.count("*").alias("n"))
+    t = graph.descendants(spark, "tessella_tree", "id", "parent", "root LIKE 'r%'")
+    return t.groupBy("root", "depth").agg(F.count("*").alias("n"))
 
 
 EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst, CASE l_linenumber % 3 WHEN 0 THEN 'causes' WHEN 1 THEN 'before' ELSE 'related_to' END AS kind, l_discount * 10 AS conf FROM lineitem)"

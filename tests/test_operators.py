@@ -199,3 +199,20 @@ def test_stream_windows_match_batch(spark, sf_dir, tmp_path):
         q.stop()
     key = lambda df: sorted((r["start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(spark.table("windows")) == key(window_counts(table, "ts", "event_type"))
+
+
+def test_descendants_know_no_limit_of_rows(spark):
+    rows = [(0, None)] + [(i, (i - 1) // 2) for i in range(1, 40)]
+    spark.createDataFrame(rows, "id long, parent long").createOrReplaceTempView("tree_of_forty")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = graph.descendants(spark, "tree_of_forty", "id", "parent", "root < 2").groupBy("root", "depth").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted(map(tuple, got)) == [(0, 0, 1), (0, 1, 2), (0, 2, 4), (0, 3, 8), (0, 4, 16), (0, 5, 9), (1, 0, 1), (1, 1, 2), (1, 2, 4), (1, 3, 8), (1, 4, 9)]
+
+
+def test_descendants_refuse_cycles(spark):
+    spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long").createOrReplaceTempView("tree_in_a_ring")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.descendants(spark, "tree_in_a_ring", "id", "parent")
