@@ -216,3 +216,10 @@ def test_descendants_refuse_cycles(spark):
     spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long").createOrReplaceTempView("tree_in_a_ring")
     with pytest.raises(ValueError, match="cycle"):
         graph.descendants(spark, "tree_in_a_ring", "id", "parent")
+
+
+def test_two_step_pattern_is_not_made_distinct_again(spark):
+    e = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (2, 3, "y"), (2, 3, "y"), (2, 4, "y"), (5, 2, "x")], "src long, dst long, kind string")
+    got = graph.two_step_pattern(e, F.col("kind") == "x", F.col("kind") == "y")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, 3), (1, 2, 4), (5, 2, 3), (5, 2, 4)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
