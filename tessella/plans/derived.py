@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, morphology, refs
 from ..operators import quality, versification
+from ..operators.graph import cut
 from .base import query, table
 
 BOOKS = "book AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{n}', {o}, {most}, '{t}')" for c, n, o, most, t in refs.book_rows()) + ") AS v(code, name, ord, most, testament))"
@@ -28,12 +29,17 @@ def _books(spark: SparkSession) -> DataFrame:
     return refs.books(spark).select("code", "name", F.col("book_order").cast("long").alias("ord"))
 
 
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with ``r``, the reference parsed from one of four spellings (one of them names no book)."""
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with ``written``, a place in one of four spellings (one of them names no book)."""
     li = table(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_partkey") % 66 + 1).join(_books(spark), "ord")
     ch, v, style = F.col("l_linenumber") * 5 + F.col("l_orderkey") % 7, F.col("l_suppkey") % 30, F.col("l_quantity").cast("long") % 4
     written = F.when(style == 0, _cat(F.col("code"), ".", ch, ".", v)).when(style == 1, _cat(F.col("name"), " ", ch, ":", v)).when(style == 2, _cat(F.lower("name"), " ", ch, ":", v, "A")).otherwise(_cat("Nothing ", ch, ":", v))
-    return li.select("l_orderkey", "l_linenumber", refs.parse_verse_id(written).alias("r"))
+    return li.select("l_orderkey", "l_linenumber", written.alias("written"))
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with ``r``, the reference parsed from what is written."""
+    return _said(spark, sf_dir).select("l_orderkey", "l_linenumber", refs.parse_verse_id(F.col("written")).alias("r"))
 
 
 @query(f"WITH {PLACES} SELECT l_orderkey, l_linenumber, ref, style < 3 AND ch BETWEEN 1 AND most AND v >= 1 AS valid FROM said")
@@ -43,7 +49,9 @@ def reference_parsing(spark, sf_dir):
 
 @query(f"WITH {PLACES} SELECT testament, count(DISTINCT code) AS books, count(DISTINCT code || ch) AS chapters, count(*) AS places FROM said WHERE ref IS NOT NULL GROUP BY testament")
 def book_dimension(spark, sf_dir):
-    p = _places(spark, sf_dir).where("r IS NOT NULL").select(F.col("r.book").alias("code"), F.col("r.chapter").alias("ch")).groupBy("code", "ch").agg(F.count("*").alias("n"))
+    # each different text is parsed once; written first, as filters on what was parsed would else move below the count
+    texts = cut(_said(spark, sf_dir).groupBy("written").agg(F.count("*").alias("n"))).select(refs.parse_verse_id(F.col("written")).alias("r"), "n")
+    p = texts.where("r IS NOT NULL").select(F.col("r.book").alias("code"), F.col("r.chapter").alias("ch"), "n").groupBy("code", "ch").agg(F.sum("n").alias("n"))
     per_book = p.groupBy("code").agg(F.count("*").alias("c"), F.sum("n").alias("n")).join(refs.books(spark), "code")
     return per_book.groupBy("testament").agg(F.count("*").alias("books"), F.sum("c").alias("chapters"), F.sum("n").alias("places"))
 

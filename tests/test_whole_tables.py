@@ -165,3 +165,16 @@ def test_long_chains_converge_and_negative_cycles_are_refused(spark):
     assert {r["id"]: r["cost"] for r in graph.shortest(chain, 0).collect()} == {i: float(i) for i in range(26)}
     with pytest.raises(ValueError, match="negative"):
         graph.shortest(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.5)], "src long, dst long, weight double"), 1)
+
+
+def test_book_dimension_parses_each_text_once(spark, sf_dir, monkeypatch):
+    """What is parsed are the different texts, not the line items."""
+    from tessella.plans import derived
+
+    parsed = []
+    whole = derived.cut
+    monkeypatch.setattr(derived, "cut", lambda df: parsed.append(whole(df)) or parsed[-1])
+    got = registry.QUERIES["book_dimension"](spark, sf_dir)
+    texts, items = parsed[0].count(), parsed[0].agg({"n": "sum"}).first()[0]
+    assert texts < items == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
