@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine
+from .graph import cut
 
 
 def clusters(vectors: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:
@@ -35,8 +36,10 @@ def top_terms(weights: DataFrame, cluster: str, term: str, k: int) -> DataFrame:
 
 def coherence(tops: DataFrame, presence: DataFrame, cluster: str, term: str, doc: str) -> DataFrame:
     """Mean PMI of the pairs of each cluster's top terms, over (doc, term) presence."""
+    # both are small and used several times: they are written once, so that the texts are read once for each
+    tops = cut(tops)
     n = presence.select(doc).distinct().agg(F.count("*").alias("n"))
-    wanted = presence.join(tops.select(term).distinct(), term, "left_semi").distinct()
+    wanted = cut(presence.join(F.broadcast(tops.select(term).distinct()), term, "left_semi").distinct())
     single = wanted.groupBy(term).agg(F.count("*").alias("c"))
     a = tops.select(cluster, F.col(term).alias("a"))
     pairs = a.join(tops.select(cluster, F.col(term).alias("b")), cluster).where("a < b")

@@ -223,3 +223,12 @@ def test_two_step_pattern_is_not_made_distinct_again(spark):
     got = graph.two_step_pattern(e, F.col("kind") == "x", F.col("kind") == "y")
     assert sorted(map(tuple, got.collect())) == [(1, 2, 3), (1, 2, 4), (5, 2, 3), (5, 2, 4)]
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+
+
+def test_coherence_reads_the_texts_three_times_at_most(spark, tmp_path):
+    spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["a", "c"]), (4, [])], "d long, w array<string>").write.parquet(str(tmp_path / "texts"))
+    tops = spark.createDataFrame([(0, "a"), (0, "b")], "c long, w string")
+    presence = spark.read.parquet(str(tmp_path / "texts")).select("d", F.explode("w").alias("w"))
+    got = topics.coherence(tops, presence, "c", "w", "d")
+    assert got.first()["coherence"] == pytest.approx(0.0) and got.first()["pairs"] == 1
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
