@@ -178,3 +178,15 @@ def test_book_dimension_parses_each_text_once(spark, sf_dir, monkeypatch):
     texts, items = parsed[0].count(), parsed[0].agg({"n": "sum"}).first()[0]
     assert texts < items == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert "lineitem" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_words_leave_before_pairs_are_made(spark):
+    """Two rows share a word on each side; what all rows hold once can't come to two rows."""
+    from tessella.operators import align
+
+    rows = [(["x", f"r{i}"], ["y", "y", f"q{i}"]) for i in range(2)] + [(["z"], []), (["z"], [])]
+    pairs = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    columns = ["s", "t", "pairs", "s_rows", "t_rows", "n"]
+    got = align.cooccurrence(pairs, "a", "b", 2).select(columns).collect()
+    assert list(map(tuple, got)) == [("x", "y", 2, 2, 2, 2)]
+    assert list(map(tuple, align.cooccurrence(pairs, "a", "b").where("pairs >= 2").select(columns).collect())) == list(map(tuple, got))
