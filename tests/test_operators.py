@@ -225,6 +225,19 @@ def test_two_step_pattern_is_not_made_distinct_again(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
 
 
+def test_dealt_edges_stay_where_they_are(spark):
+    e = graph.dealt(spark.range(100).selectExpr("id % 10 AS src", "id AS dst"), "src")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = graph.cut(spark.range(3)).join(e, F.col("id") == F.col("src"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 30 and plan.count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_coherence_reads_the_texts_three_times_at_most(spark, tmp_path):
     spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "b"]), (3, ["a", "c"]), (4, [])], "d long, w array<string>").write.parquet(str(tmp_path / "texts"))
     tops = spark.createDataFrame([(0, "a"), (0, "b")], "c long, w string")
