@@ -190,3 +190,30 @@ def test_rare_words_leave_before_pairs_are_made(spark):
     got = align.cooccurrence(pairs, "a", "b", 2).select(columns).collect()
     assert list(map(tuple, got)) == [("x", "y", 2, 2, 2, 2)]
     assert list(map(tuple, align.cooccurrence(pairs, "a", "b").where("pairs >= 2").select(columns).collect())) == list(map(tuple, got))
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 1e-9])
+def test_translation_table_of_many_blocks_is_that_of_one(spark, talk, monkeypatch, tolerance):
+    from tessella.operators import align, model1
+
+    _, pairs = talk
+    df = spark.createDataFrame([(a, b) for _, _, a, b in pairs] + [([], ["x"]), (["x"], [])], "a array<string>, b array<string>")
+    monkeypatch.setattr(model1, "CELLS", max(40, sum((len(set(a)) + 1) * len(set(b)) for _, _, a, b in pairs) // 4))
+    got = {(r["s"], r["t"]): r["prob"] for r in align.ibm1(df, "a", "b", rounds=3, tolerance=tolerance).collect()}
+    assert got == pytest.approx(dict(em_by_hand([*pairs, (0, 0, [], ["x"])], 3)), abs=1e-12)
+
+
+def test_translation_table_writes_no_cells(spark, tmp_path):
+    """Two hundred sentence pairs of 100 by 100 own words are two million cells."""
+    from tessella.operators import align, model1
+
+    df = spark.range(200).selectExpr("transform(sequence(0, 99), x -> concat('s', id, '_', x)) AS a", "transform(sequence(0, 99), x -> concat('t', id, '_', x)) AS b")
+    made = []
+    held, model1.written = model1.written, lambda d, name, *more: made.append(held(d, name, *more)) or made[-1]
+    cut, model1.cut = model1.cut, lambda d: made.append(cut(d)) or made[-1]
+    try:
+        table = align.ibm1(df, "a", "b", rounds=2, tolerance=0.0)
+    finally:
+        model1.written, model1.cut = held, cut
+    assert table.count() == 200 * 101 * 100
+    assert max(d.count() for d in made) <= 200 * 201  # tokens are the longest table
