@@ -217,3 +217,14 @@ def test_translation_table_writes_no_cells(spark, tmp_path):
         model1.written, model1.cut = held, cut
     assert table.count() == 200 * 101 * 100
     assert max(d.count() for d in made) <= 200 * 201  # tokens are the longest table
+
+
+def test_edges_to_ends_wait_for_final_costs(spark, monkeypatch):
+    from tessella.operators import graph
+
+    e = spark.range(40).selectExpr("id AS src", "id + 1 AS dst", "1.0D AS weight").where("src < 4").union(spark.range(100, 140).selectExpr("id % 4 AS src", "id AS dst", "2.0D AS weight"))
+    made, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda d: made.append(cut(d)) or made[-1])
+    got = {r["id"]: r["cost"] for r in graph.shortest(e, 0).collect()}
+    assert got == {**{i: float(i) for i in range(5)}, **{i: i % 4 + 2.0 for i in range(100, 140)}}
+    assert all(d.count() <= 4 for d in made if "better" in d.columns)
