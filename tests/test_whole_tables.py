@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.plans import registry
 
@@ -228,3 +229,24 @@ def test_edges_to_ends_wait_for_final_costs(spark, monkeypatch):
     got = {r["id"]: r["cost"] for r in graph.shortest(e, 0).collect()}
     assert got == {**{i: float(i) for i in range(5)}, **{i: i % 4 + 2.0 for i in range(100, 140)}}
     assert all(d.count() <= 4 for d in made if "better" in d.columns)
+
+
+def test_marks_go_without_python_for_most_texts(spark, monkeypatch):
+    import unicodedata
+
+    from tessella.functions import scripts
+
+    texts = ["plain", "élan vital ǖ Ǘ", "ẹ́ q̣̇", "ἐν ἀρχῇ ἦν ᾧ", "בְּרֵאשִׁית שׁ", "한국 각 é", "̈́ Å Å 豈 \U0001d15e ß ø", "", None]
+    texts += ["".join(c for c in map(chr, range(a, a + 0x400)) if not 0xD800 <= ord(c) < 0xE000) for a in range(0x80, 0x30000, 0x400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["x"] for r in rows.select("i", scripts.without_marks(F.col("t")).alias("x")).orderBy("i").collect()]
+    old = F.regexp_replace(scripts.nfd(F.col("t")), r"\p{M}+", "")
+    assert got == [r["x"] for r in rows.select("i", old.alias("x")).orderBy("i").collect()]
+    assert got[1] == "elan vital u U"
+    seen = []
+    monkeypatch.setattr(scripts, "nfd", lambda c: seen.append(c) or c)
+    scripts.without_marks(F.col("t"))
+    given = rows.select("t", seen[0].alias("g")).where("g IS NOT NULL").collect()
+    assert given and all(any(0xAC00 <= ord(c) <= 0xD7A3 or unicodedata.combining(c) for c in r["t"]) for r in given)
+    assert not {r["t"] for r in given} & {*texts[:5], *texts[6:9]}
+    assert texts[5] in {r["t"] for r in given}
