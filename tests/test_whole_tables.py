@@ -250,3 +250,24 @@ def test_marks_go_without_python_for_most_texts(spark, monkeypatch):
     assert given and all(any(0xAC00 <= ord(c) <= 0xD7A3 or unicodedata.combining(c) for c in r["t"]) for r in given)
     assert not {r["t"] for r in given} & {*texts[:5], *texts[6:9]}
     assert texts[5] in {r["t"] for r in given}
+
+
+def test_greedy_keeps_its_order_among_equals():
+    import random
+
+    from tessella.operators import align
+
+    found = {}
+    held, align._assigned = align._assigned, lambda scores, key, score, choose, digits=None: found.setdefault("choose", choose)
+    try:
+        align.greedy(None, "k")
+    finally:
+        align._assigned = held
+    r = random.Random(3)
+    rows = [(s, t, r.choice([0.1, 0.5, 0.9])) for s in range(12) for t in range(30)]
+    r.shuffle(rows)
+    left, want = sorted(range(len(rows)), key=lambda i: (-rows[i][2], rows[i][0], rows[i][1])), []
+    while left:
+        want.append(left[0])
+        left = [i for i in left if rows[i][0] != rows[want[-1]][0] and rows[i][1] != rows[want[-1]][1]]
+    assert found["choose"](*map(list, zip(*rows, strict=True))) == want
