@@ -271,3 +271,17 @@ def test_greedy_keeps_its_order_among_equals():
         want.append(left[0])
         left = [i for i in left if rows[i][0] != rows[want[-1]][0] and rows[i][1] != rows[want[-1]][1]]
     assert found["choose"](*map(list, zip(*rows, strict=True))) == want
+
+
+def test_neighbours_hold_few_similarities_at_a_time(spark, monkeypatch):
+    from tessella.operators import crosslingual
+
+    held = crosslingual.HELD_ROWS
+    assert held * crosslingual.BLOCK_ROWS * 8 <= 8 << 20
+    v = spark.range(300).selectExpr("id", "array(cos(id), sin(id * 7), cos(id * 3)) AS v")
+    got = [tuple(r) for r in crosslingual.top_similar(v, v, "id", "v", 3).orderBy("id", "rank").collect()]
+    want = {r["id"]: r["v"] for r in v.collect()}
+    unit = {k: [x / math.sqrt(sum(y * y for y in w)) for x in w] for k, w in want.items()}
+    for k in (0, 127, 128, 299):
+        best = sorted(unit, key=lambda o: (-round(sum(x * y for x, y in zip(unit[k], unit[o], strict=True)), 9), o))[:3]
+        assert [g[2] for g in got if g[0] == k] == best
