@@ -9,6 +9,9 @@ expressions over whole texts. Null texts give null, empty ones no runs.
 
 from __future__ import annotations
 
+import string
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,21 +21,77 @@ BRACKETS = ("()[]{}<>", ")(][}{><")
 EMBED = {"rtl": "‫", "ltr": "‪"}
 POP = "‬"
 
-RIGHT = "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in BLOCKS)
+
+def _ranges(blocks: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """The same characters in fewer ranges: each range is asked for each character."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(blocks):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+RANGES = _ranges(BLOCKS)
+RIGHT = "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in RANGES)
 LETTER = r"\p{L}\p{Mc}\p{Nl}"
+_RIGHTS = "".join(chr(i) for a, b in RANGES for i in range(a, b + 1))
+_NEUTRAL = "".join(c for c in map(chr, range(128)) if c not in string.ascii_letters + "\n")
 LEFT = rf"[{LETTER}]&&[^{RIGHT}]"
-_RUNS = rf"([{RIGHT}][{RIGHT}[^{LETTER}]]*+|[{LEFT}][^{RIGHT}]*+|[^{RIGHT}{LETTER}]++)"
+_RUNS = rf"[{RIGHT}][{RIGHT}[^{LETTER}]]*+|[{LEFT}][^{RIGHT}]*+|[^{RIGHT}{LETTER}]++"
 
 
 def base_direction(text: Column) -> Column:
     """rtl if right-to-left characters are more than left-to-right ones, ltr if there are others, auto without strong ones."""
-    right = F.length(F.regexp_replace(text, rf"[^{RIGHT}]+", ""))
-    left = F.regexp_count(text, F.lit(rf"[{LEFT}]"))
-    return F.when(right > left, "rtl").when(left > 0, "ltr").when(text.isNotNull(), "auto")
+    return direction_of(strong(text))
+
+
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that it names several times: the value is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def strong(text: Column) -> Column:
+    """The text's strong characters, each as R or L, and its line ends; all others are left out.
+
+    Translating costs less than a match for each character, so expressions are left what is neither
+    ASCII nor of the right-to-left blocks.
+    """
+    known = F.translate(text, _RIGHTS + string.ascii_letters + _NEUTRAL, "R" * len(_RIGHTS) + "L" * len(string.ascii_letters))
+    return F.regexp_replace(F.regexp_replace(known, rf"[[^RL\n]&&[{LETTER}]]", "L"), r"[^RL\n]++", "")
+
+
+def _count(found: Column, part: str) -> Column:
+    return (F.length(found) - F.length(F.replace(found, F.lit(part), F.lit("")))) / len(part)
+
+
+def _sides(found: Column) -> Column:
+    return F.struct(_count(found, "R").alias("right"), _count(found, "L").alias("left"))
+
+
+def direction_of(found: Column) -> Column:
+    """The base direction of the text with these ``strong`` characters."""
+    return _once(_sides(found), _direction)
+
+
+def n_runs(text: Column, found: Column | None = None) -> Column:
+    """How many ``runs`` there are, none of them made: changes of direction are counted in the text's ``strong`` characters."""
+    first = F.when(text.rlike(rf"^[^{RIGHT}{LETTER}]"), 1).otherwise(0)
+    count = lambda s: F.when(s == "", 0).otherwise(1 + _count(s, "RL") + _count(s, "LR"))
+    joined = F.replace(strong(text) if found is None else found, F.lit("\n"), F.lit(""))
+    return (F.when(text.isNotNull(), first) + _once(joined, count)).cast("long")
+
+
+def _direction(n: Column) -> Column:
+    return F.when(n["right"] > n["left"], "rtl").when(n["left"] > 0, "ltr").when(n["right"].isNotNull(), "auto")
 
 
 def _is_right(run: Column) -> Column:
-    return run.rlike(rf"^[{RIGHT}]")
+    """By the order of code points, which strings compare by."""
+    first = F.substring(run, 1, 1)
+    tests = [first.between(chr(a), chr(b)) for a, b in RANGES]
+    return reduce(lambda x, y: x | y, tests)
 
 
 def _is_left(run: Column) -> Column:
@@ -59,33 +118,36 @@ def segments(text: Column, base: Column | None = None) -> Column:
 
 def runs(text: Column) -> Column:
     """array of the runs in logical order; joined they give the text back."""
-    return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(1))
-
-
-def _lines(text: Column, each) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), each), "\n")
+    return F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0))
 
 
-def display(text: Column, base: Column | None = None) -> Column:
-    """Lines with their runs in order of display: reversed unless the line's base is ltr. Letters within a run keep their order."""
+def display(text: Column, base: Column | None = None, found: Column | None = None) -> Column:
+    """Lines with their runs in order of display: reversed unless the line's base is ltr. Letters within a run keep their order.
 
-    def line(t: Column) -> Column:
-        b = base_direction(t) if base is None else base
-        return F.when(b == "ltr", t).otherwise(F.array_join(F.reverse(runs(t)), ""))
-
-    return _lines(text, line)
+    ``found`` are the text's ``strong`` characters, where they are known already.
+    """
+    shown = lambda t, b: F.when(b == "ltr", t).otherwise(F.array_join(F.reverse(runs(t)), ""))
+    cut = lambda t: F.split(t, "\n")
+    if base is not None:
+        return F.array_join(F.transform(cut(text), lambda t: shown(t, base)), "\n")
+    found = strong(text) if found is None else found
+    return F.array_join(F.zip_with(cut(text), cut(found), lambda t, s: shown(t, direction_of(s))), "\n")
 
 
 def mirrored(text: Column) -> Column:
-    """Brackets in right-to-left runs turned round. A text's leading neutrals are taken as left-to-right."""
-    return F.array_join(F.transform(runs(text), lambda r: F.when(_is_right(r), F.translate(r, *BRACKETS)).otherwise(r)), "")
+    """Brackets in right-to-left runs turned round. A text's leading neutrals are taken as left-to-right.
+    A text without brackets stays as it is.
+    """
+    has = lambda t: t.rlike(r"[()\[\]{}<>]")
+    turned = F.transform(runs(text), lambda r: F.when(_is_right(r) & has(r), F.translate(r, *BRACKETS)).otherwise(r))
+    return F.when(has(text), F.array_join(turned, "")).otherwise(text)
 
 
 def embedded(text: Column, base: Column | None = None) -> Column:
     """Each strong character against the base direction stands between a mark of embedding and one that ends it; all do where the base is auto."""
     base = base_direction(text) if base is None else base
-    right = F.regexp_replace(text, rf"([{RIGHT}])", f"{EMBED['rtl']}$1{POP}")
-    left = lambda t: F.regexp_replace(t, rf"([{LEFT}])", f"{EMBED['ltr']}$1{POP}")
+    right = F.regexp_replace(text, rf"[{RIGHT}]", f"{EMBED['rtl']}$0{POP}")
+    left = lambda t: F.regexp_replace(t, rf"[{LEFT}]", f"{EMBED['ltr']}$0{POP}")
     return F.when(base == "ltr", right).when(base == "rtl", left(text)).otherwise(left(right))
 
 

@@ -43,8 +43,10 @@ WRITTEN = f"w AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, '
 def writing_directions(spark, sf_dir):
     """Half of the documents with many Hebrew letters among their Latin ones, half with a few."""
     w, t = _written(spark, sf_dir), F.col("t")
-    base = bidi.base_direction(t)
-    return w.select("doc_id", base.alias("direction"), F.size(bidi.runs(t)).cast("long").alias("n_runs"), F.md5(bidi.display(t)).alias("display"), F.md5(bidi.mirrored(t)).alias("mirrored"), F.md5(bidi.embedded(t)).alias("embedded"))
+    w, found = w.withColumn("found", bidi.strong(t)), F.col("found")
+    w = w.withColumn("direction", bidi.direction_of(found))
+    shown, marked = bidi.display(t, found=found), bidi.embedded(t, F.col("direction"))
+    return w.select("doc_id", "direction", bidi.n_runs(t, found).alias("n_runs"), F.md5(shown).alias("display"), F.md5(bidi.mirrored(t)).alias("mirrored"), F.md5(marked).alias("embedded"))
 
 
 _PAIRS = "replace(replace(replace(g, 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps')"

@@ -65,6 +65,16 @@ def test_bidi_by_hand(spark, T):
     assert ask(spark, ["hi שלום"], bidi.display(T, F.lit("ltr")))[0] == ("hi שלום",)
 
 
+def test_strong_characters_and_number_of_runs(spark, T):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("אׁabZé漢1.( )[]\n\0ﭏ٣") for _ in range(rng.randrange(0, 40))) for _ in range(200)]
+    got = ask(spark, [None, "", " ", "1\n.", "RL", *texts], bidi.strong(T), bidi.n_runs(T), F.size(bidi.runs(T)), bidi.base_direction(T), bidi.direction_of(bidi.strong(T)))
+    assert [g[:2] for g in got[:5]] == [(None, None), ("", 0), ("", 1), ("\n", 1), ("LL", 1)]
+    for t, (strong, n, size, base, other) in zip(texts, got[5:], strict=True):
+        assert strong == "".join("R" if c in "אׁﭏ٣" else "L" if c in "abZé漢" else c if c == "\n" else "" for c in t)
+        assert n == size and base == other
+
+
 def test_interlinear(spark, T):
     pairs = F.expr("array(named_struct('source', 0, 'target', 1), named_struct('source', 1, 'target', 0))")
     got = ask(spark, ["אב גדה ו", "ab c", ""], bidi.interlinear(T, F.lit("x yyyy"), pairs))
