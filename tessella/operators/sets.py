@@ -70,6 +70,23 @@ def keep_last(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def pairs_and_triples(lists: DataFrame, words: str, least: int) -> DataFrame:
+    """(phrase, n): runs of two and of three words that the word lists hold ``least`` times or more.
+
+    Each pair travels once, with the word after it (null at the end of a list), and both counts are
+    taken where it arrives: the exchange is read twice and made once, and a triple is spelt out only
+    if it is returned.
+    """
+    w, rest = F.col(words), F.greatest(F.size(words), F.lit(1))
+    at = F.inline_outer(F.arrays_zip(w.alias("a"), F.slice(w, F.lit(2), rest).alias("b"), F.slice(w, F.lit(3), rest).alias("c"))).alias("a", "b", "c")
+    dealt = lists.select(at).where("b IS NOT NULL").select(F.concat("a", F.lit(" "), "b").alias("pair"), "c").repartition("pair")
+    # Both sides read all rows and both columns, or their exchanges would differ.
+    pairs = dealt.groupBy("pair").agg(F.count("c").alias("inside"), F.count_if(F.col("c").isNull()).alias("last"))
+    pairs = pairs.select(F.col("pair").alias("phrase"), (F.col("inside") + F.col("last")).alias("n")).where(F.col("n") >= least)
+    triples = dealt.groupBy("pair", "c").agg(F.count("c").alias("n")).where(F.col("n") >= least)
+    return pairs.unionByName(triples.select(F.concat("pair", F.lit(" "), "c").alias("phrase"), "n"))
+
+
 def without_subphrases(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Phrases that are no part of a longer listed phrase, whatever their counts: the longer ones' parts are exploded and anti-joined."""
     from ..functions.text import ngrams

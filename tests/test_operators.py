@@ -3,6 +3,7 @@
 import difflib
 import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,17 @@ def test_sets(spark):
     assert ids(sets.covering(c, "g", "m", spark.createDataFrame([(5,), (7,)], "m int")), "g") == [3]
 
 
+def test_pairs_and_triples_by_one_exchange(spark):
+    lists = [list("ababab"), ["a", "b"], ["a"], [], None, list("xyz")]
+    found = sets.pairs_and_triples(spark.createDataFrame([(x,) for x in lists], "w array<string>"), "w", 1)
+    counts = Counter(" ".join(x[i : i + n]) for x in lists if x for n in (2, 3) for i in range(len(x) - n + 1))
+    assert {r.phrase: r.n for r in found.collect()} == counts
+    assert {r.phrase for r in found.where("n >= 3").collect()} == {p for p, n in counts.items() if n >= 3}
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    assert plan.toString().count("ReusedExchange") >= 1
+
+
 def test_versification(spark):
     maps = spark.createDataFrame([("a", "b", "X.1.1", ["X.2.1"], "m", 1.0), ("b", "a", "X.2.1", ["X.1.2"], "m", 1.0), ("a", "b", "X.1.9", ["X.2.1"], "m", 0.5)], "from_sys string, to_sys string, src string, dst array<string>, kind string, confidence double")
     assert {(r["ref"], r["problem"]) for r in versification.conflicts(maps).collect()} == {("X.2.1", "several_sources")}
