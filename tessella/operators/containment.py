@@ -87,13 +87,25 @@ def lexicon_matches(tokens: DataFrame, targets: DataFrame, key: list[str], least
     t = written(targets.select(*key, "t_idx", said.alias("said")).where(said.isNotNull()), "targets")
     g = tokens.select(*key, "s_idx", "verb", F.posexplode("glosses").alias("place", "text")).where("text IS NOT NULL").withColumn("gloss", F.lower("text"))
     out = [*key, "s_idx", "t_idx", "confidence", "place", "text"]
-    exact = g.join(t.withColumnRenamed("said", "gloss"), [*key, "gloss"]).withColumn("confidence", F.lit(EXACT)).select(out)
+    # Only targets that some gloss may match travel. Heads and triples are short, so there are few different ones.
+    kinds = written(g.select("gloss", "verb").distinct(), "kinds")
+    alike = t.withColumnRenamed("said", "gloss").join(kinds, "gloss", "left_semi")
+    exact = g.join(alike, [*key, "gloss"]).withColumn("confidence", F.lit(EXACT)).select(out)
     grams_t, grams_g = indexed(t, "said"), indexed(g, "gloss")
-    glosses = g.join(rarest(g, "gloss", grams_t).withColumnRenamed("word", "gloss"), "gloss").join(grams_t, [*key, "gram"]).where(F.contains("said", "gloss"))
-    saids = t.join(rarest(t, "said", grams_g).withColumnRenamed("word", "said"), "said").join(grams_g, [*key, "gram"]).where(F.contains("gloss", "said"))
+    few = written(rarest(kinds.select("gloss"), "gloss", grams_t).withColumnRenamed("word", "gloss"), "grams")
+    held = grams_t.join(F.broadcast(few.select("gram").distinct()), "gram", "left_semi")
+    # Equal words are matched above, and surer.
+    glosses = g.join(few, "gloss").join(held, [*key, "gram"]).where(F.contains("said", "gloss") & (F.col("said") != F.col("gloss")))
+    names = indexed(kinds.select("gloss").distinct(), "gloss")
+    parts = rarest(t, "said", grams_g).join(names, "gram").where(F.contains("gloss", "word") & (F.col("gloss") != F.col("word")))
+    parts = written(parts.select(F.col("word").alias("said"), "gram").distinct(), "parts")
+    held = grams_g.join(F.broadcast(parts.select("gram").distinct()), "gram", "left_semi")
+    saids = t.join(parts, "said").join(held, [*key, "gram"]).where(F.contains("gloss", "said") & (F.col("said") != F.col("gloss")))
     inside = glosses.select(*key, "s_idx", "t_idx", "place", "text").union(saids.select(*key, "s_idx", "t_idx", "place", "text")).withColumn("confidence", F.lit(INSIDE)).select(out)
     head = lambda c: F.when(F.length(c) >= LEAST_CHARS, F.substring(c, 1, LEAST_CHARS)).alias("head")
-    stem = g.where("verb").select("*", head("gloss")).join(t.select("*", head("said")), [*key, "head"]).withColumn("confidence", F.lit(STEM)).select(out)
+    begun = F.broadcast(kinds.where("verb").select(head("gloss")).distinct())
+    stems = t.select("*", head("said")).join(begun, "head", "left_semi")
+    stem = g.where("verb").select("*", head("gloss")).join(stems, [*key, "head"]).withColumn("confidence", F.lit(STEM)).select(out)
     pair = exact.unionByName(inside).unionByName(stem).groupBy(*key, "s_idx", "t_idx").agg(F.max(F.struct("confidence", (-F.col("place")).alias("early"), "text")).alias("m"))
     order = Window.partitionBy(*key, "s_idx").orderBy(F.desc("confidence"), "t_idx")
     scored = pair.select(*key, "s_idx", "t_idx", "m.confidence", F.col("m.text").alias("gloss")).where(F.col("confidence") >= least)

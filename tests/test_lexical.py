@@ -72,6 +72,28 @@ def test_lexicon_matches(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_unmatched_targets_stay_where_they_are(spark):
+    rng = random.Random(4)
+    tokens = spark.createDataFrame([(0, 0, ["abc"], True, False)], "key int, s_idx int, glosses array<string>, verb boolean, marker boolean")
+    targets = spark.createDataFrame([(0, j, text_of(rng, "defgh", 12, 12)) for j in range(2000)] + [(0, 2000, "xabcx")], "key int, t_idx int, word string")
+    store = spark._jsc.sc().statusStore()
+
+    def moved():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = moved()
+        got = containment.lexicon_matches(tokens, targets, ["key"]).collect()
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        assert [tuple(r) for r in got] == [(0, 0, 2000, 0.8, "abc")]
+        assert moved() - before < 30000  # the 20003 triples of 2001 words once, to find the rarest
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 # -- spans -----------------------------------------------------------------------------------
 
 
