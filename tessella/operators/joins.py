@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import sequence_ratio_above
-from ..functions.text import normalise_for_comparison
+from ..functions.text import least_normalised, normalise_for_comparison
 from .search import top_per_group
+from .tables import written
 
 #: What an exact quotation adds to the string ratio.
 EXACT_BONUS = 0.1
@@ -30,14 +31,17 @@ def quotations(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str,
     No ratio is over twice the shorter length over both lengths, and a confidence is
     a ratio and EXACT_BONUS at most. Lengths travel with the words, so pairs that
     can't reach both bounds are dropped before common words are counted; the ratio
-    kernel drops those that a bound on matched characters rules out.
+    kernel drops those that a bound on matched characters rules out. Texts that are too
+    long by their letters alone aren't normalised; the others are, once.
     """
     least_ratio = max(ratio, confidence - EXACT_BONUS)
     times = (2 - least_ratio) / least_ratio  # how much longer one string may be
     q = quotes.select(F.col(quote_id).alias("quote_id"), normalise_for_comparison(F.col(quote)).alias("q")).withColumn("lq", F.length("q"))
-    t = texts.select(F.col(text_id).alias("text_id"), normalise_for_comparison(F.col(text)).alias("t")).withColumn("lt", F.length("t"))
-    reach = q.agg(F.min("lq").alias("shortest"), F.max("lq").alias("longest"))
-    t = t.join(F.broadcast(reach), (F.col("lt") * times >= F.col("shortest")) & (F.col("lt") <= F.col("longest") * times)).drop("shortest", "longest")
+    reach = F.broadcast(q.agg(F.min("lq").alias("shortest"), F.max("lq").alias("longest")))
+    t = texts.select(F.col(text_id).alias("text_id"), F.col(text).alias("t")).join(reach, least_normalised(F.col("t")) <= F.col("longest") * times)
+    t = t.withColumn("t", normalise_for_comparison(F.col("t"))).withColumn("lt", F.length("t"))
+    # Written before lengths are compared: a condition on them would normalise each text again.
+    t = written(t, "texts").where((F.col("lt") * times >= F.col("shortest")) & (F.col("lt") <= F.col("longest") * times)).drop("shortest", "longest")
     words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
     reachable = 2 * F.least("lq", "lt") > least_ratio * (F.col("lq") + F.col("lt"))
     near = q.select("quote_id", "lq", words("q")).join(t.select("text_id", "lt", words("t")), "word").where(reachable)

@@ -147,3 +147,10 @@ def test_bound_on_matched_characters_is_never_too_low(spark):
     for (a, b), ratio in zip(pairs, got, strict=True):
         want = None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio()
         assert ratio == want or (ratio is None and want <= 0.5)
+
+
+def test_letters_bound_the_normalised_length(spark):
+    rows = [("Behold, saith he: yea",), ("behold " * 50,), ("  ... ",), ("",), (None,), ("Élan 12 verily",)]
+    t = F.col("t")
+    for low, n in values(spark, rows, "t string", text.least_normalised(t), F.length(text.normalise_for_comparison(t))):
+        assert (low is None and n is None) or low <= n
