@@ -31,6 +31,8 @@ TREES = 3
 #: Vectors that thresholds are taken from, and the edges that one task merges.
 SAMPLE = 1 << 15
 MOST_EDGES = 500_000
+#: Rows of a block whose distances to all of it a task holds.
+ROWS_AT_ONCE = 128
 FLOOR = 1e-9
 
 
@@ -88,16 +90,28 @@ def _apart(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((rows[a] - rows[b]) ** 2).sum(axis=1))
 
 
+def nearest(rows: np.ndarray, take: int) -> np.ndarray:
+    """Numbers of the ``take`` nearest other rows of each row; distances are held for ROWS_AT_ONCE rows at a time."""
+    n, square = len(rows), (rows**2).sum(axis=1)
+    out = np.zeros((n, take), np.int64)
+    for at in range(0, n if take else 0, ROWS_AT_ONCE):
+        some = slice(at, at + ROWS_AT_ONCE)
+        apart = rows[some] @ rows.T
+        apart *= -2
+        apart += square
+        apart += square[some, None]
+        apart[np.arange(len(apart)), np.arange(at, at + len(apart))] = np.inf
+        out[some] = np.argpartition(apart, take - 1, axis=1)[:, :take]
+    return out
+
+
 def core_distances(blocks: DataFrame, k: int) -> DataFrame:
     """(id, core): the distance to the k-th nearest other vector, copies counted; to the farthest met if there are fewer."""
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, ids, n = _matrix(pdf["v"]), pdf["id"].to_numpy(), len(pdf)
-        square = (rows**2).sum(axis=1)
-        apart = square[:, None] + square[None, :] - 2 * rows @ rows.T
-        np.fill_diagonal(apart, np.inf)
         take = min(k, n - 1)
-        other = np.argpartition(apart, take - 1, axis=1)[:, :take] if take else np.zeros((n, 0), np.int64)
+        other = nearest(rows, take)
         a, b = np.repeat(np.arange(n), take), other.ravel()
         return pd.DataFrame({"id": ids[a], "other": ids[b], "apart": _apart(rows, a, b), "copies": pdf["copies"].to_numpy()[b]})
 

@@ -1,11 +1,12 @@
 """Density clusters against a plain version over all pairs."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from tessella.operators.density import density_clusters, spanning_forest
+from tessella.operators.density import density_clusters, nearest, spanning_forest
 
 
 def plain_clusters(ids, rows, least):
@@ -125,3 +126,16 @@ def test_spanning_forest(spark):
     for r in labels.collect():
         parts.setdefault(r["c"], set()).add(find(r["id"]))
     assert all(len(p) == 1 for p in parts.values()) and len(parts) == len({find(x) for x in root})
+
+
+def test_nearest_holds_few_distances():
+    rows = np.random.default_rng(2).normal(size=(1500, 4))
+    tracemalloc.start()
+    found = nearest(rows, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # all of them are 18 MB
+    apart = ((rows[:, None] - rows[None]) ** 2).sum(-1)
+    np.fill_diagonal(apart, np.inf)
+    assert (np.sort(found) == np.sort(np.argsort(apart, axis=1)[:, :5])).all()
+    assert nearest(rows[:1], 0).shape == (1, 0) and nearest(rows[:200], 199).shape == (200, 199)
