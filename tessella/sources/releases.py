@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import written
@@ -70,23 +70,44 @@ def collection(rows: DataFrame, group: str, order: str, words) -> dict[str, tupl
     """Tables of a static collection: ``rows`` in chunks by group, the ``index`` of chunks, ``words`` by first letter.
 
     Chunks are stretches of a group's ``order``, CHUNK rows each or fewer; order holds integers, unique
-    in a group. ``rows`` has no columns chunk, word or letter. Rows are numbered by stretches of the whole order and sums over these, so a
-    large group is not one task's; texts are shuffled for this only, once, and stored. A word's documents stand in pieces that hold the same chunk of
+    in a group (equal ones share a chunk). ``rows`` has no columns chunk, word or letter, and is read once for each table and twice to number
+    it, so what is costly to make is stored by the caller. Rows are numbered by stretches of the whole order and sums over these, so a
+    large group is not one task's. Only group and order are shuffled for this: texts find their chunk in the list of where chunks
+    start, a thousandth of the rows as long, and stay where they are. A word's documents stand in pieces that hold the same chunk of
     the same group, so no row grows with the corpus.
     """
-    placed = written(_numbered(rows, group, order).withColumn("chunk", F.floor((F.col("_n") - 1) / CHUNK).cast("long")).drop("_n"), "placed", "zstd")
+    width = _width(rows, order)
+    starts = written(_starts(rows, group, order, width), "starts")
+    here = F.col("_s").eqNullSafe(F.col("_t")) & F.col(group).eqNullSafe(F.col("_g")) & (F.col(order).isNull() | (F.col(order) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(order) < F.col("_to"))))
+    placed = rows.withColumn("_s", _stretch(order, width)).join(starts, here).select(*[F.col(f"`{c}`") for c in rows.columns], "chunk").sortWithinPartitions(group, "chunk", order)
     index = placed.groupBy(group, "chunk").agg(F.count("*").alias("rows"), F.min(order).alias("first"), F.max(order).alias("last"))
     found = placed.select(group, "chunk", order, F.explode(F.array_distinct(words)).alias("word")).where("word <> ''")
-    key = ["letter", "word", group, "chunk"]
-    sorted_out = found.withColumn("letter", F.lower(F.substring("word", 1, 1))).repartitionByRange(*key)
-    pieces = sorted_out.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("places"))
+    pieces = found.repartitionByRange("word", group, "chunk").groupBy("word", group, "chunk").agg(F.array_sort(F.collect_list(order)).alias("places"))
+    pieces = pieces.select(F.lower(F.substring("word", 1, 1)).alias("letter"), "word", group, "chunk", "places")
     return {"rows": (placed, [group]), "index": (index, []), "words": (pieces, ["letter"])}
 
 
-def _numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+def _width(rows: DataFrame, order: str) -> int:
+    """Of a stretch: some 50,000 rows, where order has no gaps."""
+    return rows.agg(F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) / F.greatest(F.lit(1), F.ceil(F.count("*") / 50000))))).first()[0]
+
+
+def _stretch(order: str, width: int) -> Column:
+    return F.floor(F.col(order) / F.lit(width))
+
+
+def _starts(rows: DataFrame, group: str, order: str, width: int) -> DataFrame:
+    """(_g, _t, chunk, _from, _to): where chunks start in each stretch of a group, and the next one there; of rows without an order the last chunk only."""
+    chunk = F.floor((F.col("_n") - 1) / CHUNK).cast("long")
+    cells = _numbered(rows.select(group, order), group, order, width).groupBy(F.col(group).alias("_g"), _stretch(order, width).alias("_t"), chunk.alias("chunk")).agg(F.min(order).alias("_from"))
+    following = Window.partitionBy("_g", "_t").orderBy("chunk")
+    cells = cells.withColumn("_to", F.lead("_from").over(following)).withColumn("_next", F.lead("chunk").over(following))
+    return cells.where("_t IS NOT NULL OR _next IS NULL").drop("_next")
+
+
+def _numbered(rows: DataFrame, group: str, order: str, width: int | None = None) -> DataFrame:
     """``_n`` from 1 within each group: a place within its stretch of the order, and the sums of the stretches before."""
-    width = rows.agg((F.greatest(F.lit(1), F.ceil((F.max(order) - F.min(order) + 1) / F.greatest(F.lit(1), F.ceil(F.count("*") / 50000))))).alias("_w"))
-    cut = rows.crossJoin(F.broadcast(width)).withColumn("_s", F.floor(F.col(order) / F.col("_w"))).drop("_w")
+    cut = rows.withColumn("_s", _stretch(order, width or _width(rows, order)))
     sizes = cut.groupBy(group, "_s").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     sums = sizes.select(F.col(group).alias("_g"), F.col("_s").alias("_t"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))

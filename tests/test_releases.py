@@ -1,10 +1,12 @@
 """Releases and micro-batches: what failed leaves no trace, what ran twice is there once."""
 
 import collections
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators.tables import shared_folder
 from tessella.sources import releases
 from tessella.streaming import batches
 
@@ -57,6 +59,24 @@ def test_numbers_over_many_stretches(spark):
     assert releases._numbered(df.where("false"), "g", "id").count() == 0
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Neither stored nor shuffled to be numbered; rows of equal orders and without one are there once."""
+    monkeypatch.setattr(releases, "CHUNK", 100)
+    odd = spark.createDataFrame([(99, None), (99, None), (99, "big"), (None, None), (None, "big"), (None, "big"), (2**40, "big")], "id long, book string").withColumn("text", F.lit("odd"))
+    df = corpus(spark).withColumn("text", F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(f"/{i}")), 512) for i in range(20)])).unionByName(odd)
+    files = lambda: {p: p.stat().st_size for p in Path(shared_folder(spark)).rglob("*.parquet")}
+    had = files()
+    rows, index = (releases.collection(df, "book", "id", F.split("text", " "))[t][0] for t in ("rows", "index"))
+    assert sum(size for p, size in files().items() if p not in had) < 100_000 < 2500 * 20 * 128 // 10
+    assert "hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.book or "", -1 if r.id is None else r.id, r.text)
+    assert sorted(map(key, rows.collect())) == sorted(map(key, df.collect()))
+    held = collections.Counter((r.book, r.chunk) for r in rows.collect())
+    assert held == {(r.book, r.chunk): r.rows for r in index.collect()} and max(held.values()) <= 103
+    equal = rows.where("id = 99 AND book IS NULL").select("chunk").distinct()
+    assert equal.count() == 1
+
+
 def test_restart_writes_nothing_twice(spark, tmp_path):
     rows = spark.range(40).withColumn("v", F.col("id") * 2)
     rows.repartition(8).write.parquet(str(tmp_path / "in"))
