@@ -257,3 +257,21 @@ def test_coherence_reads_the_texts_three_times_at_most(spark, tmp_path):
     got = topics.coherence(tops, presence, "c", "w", "d")
     assert got.first()["coherence"] == pytest.approx(0.0) and got.first()["pairs"] == 1
     assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_calibrated_counts_no_methods(spark):
+    """Two names earn the bonus of any number of them, nulls are no names; one exchange, and no row or state for each method."""
+    groups = {
+        "one": [("statistical", 0.6), ("statistical", 0.5)],
+        "two": [("statistical", 0.2), ("position", 0.3)],
+        "all": [("lexicon", 0.1), ("semantic", 0.1), ("morphological", 0.0), ("other", 0.2), (None, 0.25)],
+        "null": [(None, 0.7), ("semantic", 0.1)],
+        "parts": [("morphological", 0.5), ("morphological", None)],
+        "none": [("lexicon", None), ("position", None)],
+        "little": [("position", 0.5)],
+    }
+    df = spark.createDataFrame([(k, m, s) for k, v in groups.items() for m, s in v], "g string, method string, score double")
+    found = align.calibrated(df, ["g"], 0.55)
+    assert {r.g: (r.raw, r.score) for r in found.collect()} == {"one": (0.6, 0.6), "two": (0.6, 0.6), "all": (pytest.approx(0.95), pytest.approx(0.95)), "null": (pytest.approx(0.85), pytest.approx(0.85)), "parts": (0.6, 0.6)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "distinct" not in plan and plan.count("HashAggregate") == 2
