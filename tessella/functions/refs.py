@@ -133,17 +133,38 @@ def verse_range(text: Column) -> Column:
     return F.get(F.transform(F.array(both), checked), F.lit(0))
 
 
+def reference_spans(text: Column) -> Column:
+    """``John 3:16; Matt 5:17-19, Gen 1 1`` as structs (book, chapter, verse, part, last, listed): each item is parsed once, by one match."""
+    pattern = r"(?s)^([1-3]?\s*\w+)\.?\s+(\d+)[:.\s]\s*(\d+)(?:\s*-\s*(\d+))?.*$"
+
+    def read(r: Column) -> Column:
+        # an empty text costs a cast an exception
+        number = lambda i: F.when(F.get(r["f"], F.lit(i)) != "", F.get(r["f"], F.lit(i)).try_cast("int"))
+        verse = number(2)
+        span = F.struct(r["book"].alias("book"), number(1).alias("chapter"), verse.alias("verse"), F.lit(None).cast("string").alias("part"), F.coalesce(number(3), verse).alias("last"), F.lit(True).alias("listed"))
+        return F.when(r["book"].isNotNull(), F.array(span)).otherwise(F.transform(F.filter(F.array(parse_verse_id(r["item"])), lambda p: p.isNotNull()), alone))
+
+    def alone(p: Column) -> Column:
+        return F.struct(p["book"].alias("book"), p["chapter"].alias("chapter"), p["verse"].alias("verse"), p["part"].alias("part"), p["verse"].alias("last"), F.lit(False).alias("listed"))
+
+    items = F.filter(F.transform(F.split(text, "[;,]", -1), lambda x: F.trim(x)), lambda x: x != "")
+    # an item holds no semicolon, so only those that match have one now
+    fields = F.transform(items, lambda x: F.struct(x.alias("item"), F.split(F.regexp_replace(x, pattern, "$1;$2;$3;$4"), ";", -1).alias("f")))
+    named = F.transform(fields, lambda r: F.struct(r["item"].alias("item"), r["f"].alias("f"), F.when(F.size(r["f"]) == 4, book_code(r["f"][0])).alias("book")))
+    return F.flatten(F.transform(named, read))
+
+
+def span_verses(spans: Column, expand: bool = False) -> Column:
+    """References of ``reference_spans``: of each its first verse, or with ``expand`` every verse; none of a reversed range."""
+
+    def verses(r: Column) -> Column:
+        ref = lambda v: F.struct(r["book"].alias("book"), r["chapter"].alias("chapter"), v.alias("verse"), r["part"].alias("part"))
+        all_ = F.when(~r["listed"], F.array(r["verse"])).when(r["last"] >= r["verse"], F.sequence(r["verse"], r["last"]) if expand else F.array(r["verse"])).otherwise(F.array().cast("array<int>"))
+        return F.transform(all_, ref)
+
+    return F.flatten(F.transform(spans, verses))
+
+
 def reference_list(text: Column, expand: bool = False) -> Column:
     """All references of ``John 3:16; Matt 5:17-19, Gen 1 1``, as structs; of a range its first verse, or with ``expand`` every verse."""
-
-    def one(item: Column) -> Column:
-        pattern = r"^([1-3]?\s*\w+)\.?\s+(\d+)[:.\s]\s*(\d+)(?:\s*-\s*(\d+))?"
-        number = lambda i: F.regexp_extract(item, pattern, i).try_cast("int")
-        code, first, last = book_code(F.regexp_extract(item, pattern, 1)), number(3), F.coalesce(number(4), number(3))
-        verses = F.when(last >= first, F.sequence(first, last if expand else first)).otherwise(F.array().cast("array<int>"))
-        ref = lambda v: F.struct(code.alias("book"), number(2).alias("chapter"), v.alias("verse"), F.lit(None).cast("string").alias("part"))
-        plain = parse_verse_id(item)
-        alone = F.when(plain.isNotNull(), F.array(plain)).otherwise(F.array().cast("array<struct<book:string,chapter:int,verse:int,part:string>>"))
-        return F.when(code.isNotNull() & item.rlike(pattern), F.transform(verses, ref)).otherwise(alone)
-
-    return F.flatten(F.transform(F.filter(F.transform(F.split(text, "[;,]", -1), lambda x: F.trim(x)), lambda x: x != ""), one))
+    return span_verses(reference_spans(text), expand)

@@ -29,9 +29,16 @@ def _books(spark: SparkSession) -> DataFrame:
     return refs.books(spark).select("code", "name", F.col("book_order").cast("long").alias("ord"))
 
 
+def _with_book(spark: SparkSession, rows: DataFrame, number: str, key: list[str]) -> DataFrame:
+    """Each row with its book. The 66 books go to the rows, which are dealt by their key, four tasks a core: parsing takes far longer than
+    their size says, by their book it would fall to a few tasks."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return rows.withColumn("ord", F.col(number) % 66 + 1).repartition(tasks, *key).join(F.broadcast(_books(spark)), "ord")
+
+
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``written``, a place in one of four spellings (one of them names no book)."""
-    li = table(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_partkey") % 66 + 1).join(_books(spark), "ord")
+    li = _with_book(spark, table(spark, sf_dir, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"])
     ch, v, style = F.col("l_linenumber") * 5 + F.col("l_orderkey") % 7, F.col("l_suppkey") % 30, F.col("l_quantity").cast("long") % 4
     written = F.when(style == 0, _cat(F.col("code"), ".", ch, ".", v)).when(style == 1, _cat(F.col("name"), " ", ch, ":", v)).when(style == 2, _cat(F.lower("name"), " ", ch, ":", v, "A")).otherwise(_cat("Nothing ", ch, ":", v))
     return li.select("l_orderkey", "l_linenumber", written.alias("written"))
@@ -69,7 +76,7 @@ SPANS = f"""{BOOKS}, span AS (SELECT o_orderkey, o_orderkey % 3 AS style, code,
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").withColumn("ord", F.col("o_custkey") % 66 + 1).join(_books(spark), "ord")
+    o = _with_book(spark, table(spark, sf_dir, "orders"), "o_custkey", ["o_orderkey"])
     return o.select("o_orderkey", "code", "name", (F.col("o_orderkey") % 3).alias("style"), (F.col("o_orderkey") % 5 + 1).alias("ch"), (F.col("o_custkey") % 20 + 1).alias("a"), (F.floor(F.col("o_orderkey") / 3) % 25 + 1).alias("b"))
 
 
@@ -90,7 +97,8 @@ def reference_lists(spark, sf_dir):
     s, c = _spans(spark, sf_dir), F.col
     written = _cat(c("code"), " ", c("ch"), ":", c("a"), "-", c("b"), "; ", c("name"), " ", c("ch") + 1, ":", c("b"), ", nothing ;")
     say = lambda a: F.array_join(F.transform(a, refs.canonical), " ")
-    return s.select("o_orderkey", say(refs.reference_list(written)).alias("firsts"), say(refs.reference_list(written, True)).alias("verses"))
+    spans = s.select("o_orderkey", refs.reference_spans(written).alias("spans"))
+    return spans.select("o_orderkey", say(refs.span_verses(c("spans"))).alias("firsts"), say(refs.span_verses(c("spans"), True)).alias("verses"))
 
 
 NUMBERS = "n AS (SELECT event_id, event_id % 8 AS style, CAST(event_id // 8 % 900 + 1 AS INT) AS a, CAST(event_id // 8 % 900 + 1 + user_id % 60 AS INT) AS b FROM events)"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import dates, morphology, refs
 from tessella.operators import quality, versification
+from tessella.plans import registry
 
 MAPS = [
     ("a", "b", "MAL.3.19", ["MAL.4.1"], 1.0), ("a", "b", "MAL.3.20", ["MAL.4.2"], 0.9), ("a", "b", "PSA.9.0", ["PSA.10.0"], 0.8),
@@ -49,6 +50,25 @@ def test_lists(spark):
     assert read(spark, LISTS, say(False), say(True)) == [c[1:] for c in LISTS]
 
 
+def test_odd_lists(spark):
+    """Numbers beyond an int, names of several words, parts, separators of our own; the list is split once for both answers."""
+    cases = [
+        ("Song of Solomon 2:3; 1 John 3:16a, I 3:4", "SNG.2.3 1JN.3.16", "SNG.2.3 1JN.3.16"), ("Gen 1:99999999999; Gen 1:5-99999999999, x|y|z|4", "GEN.1.5", "GEN.1.5"), ("GEN.1.2b", "GEN.1.2b", "GEN.1.2b"),
+        ("Gen 1:2\n- 4 more; $1 2:3, Gen 3:4-4", "GEN.1.2 GEN.3.4", "GEN.1.2 GEN.1.3 GEN.1.4 GEN.3.4"), (None, None, None),
+    ]
+    spans = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", refs.reference_spans(F.col("t")).alias("s"))
+    say = lambda expand: F.array_join(F.transform(refs.span_verses(F.col("s"), expand), refs.canonical), " ")
+    found = spans.select("i", say(False).alias("a"), say(True).alias("b"))
+    assert [(r.a, r.b) for r in found.orderBy("i").collect()] == [c[1:] for c in cases]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[;,]") == 1
+
+
+@pytest.mark.parametrize("name", ["reference_lists", "range_parsing", "reference_parsing"])
+def test_books_go_to_the_rows(spark, sf_dir, name):
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "hashpartitioning(ord" not in plan and plan.count("[;,]") <= 1
+
+
 def test_date_phrases(spark):
     r = dates.year_range(F.col("t"))
     assert read(spark, YEARS, r["earliest"], r["latest"]) == [c[1:] for c in YEARS]
