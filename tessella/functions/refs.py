@@ -59,16 +59,17 @@ def book_code(name: Column) -> Column:
 def parse_verse_id(text: Column) -> Column:
     """struct(book, chapter, verse, part) from ``GEN.1.1``, ``Genesis 1:1``, ``1 John 3:16a``; null if it is none."""
     t = F.trim(text)
-    pattern = r"^((?:[123]\s*)?[A-Za-z]+(?:\s+of\s+[A-Za-z]+)?|[123]?[A-Za-z]{2,3})\.?\s*(\d+)[:.](\d+)([a-zA-Z])?$"
-    code = book_code(F.regexp_extract(t, pattern, 1))
-    part = F.lower(F.regexp_extract(t, pattern, 4))
-    out = F.struct(
-        code.alias("book"),
-        F.regexp_extract(t, pattern, 2).try_cast("int").alias("chapter"),
-        F.regexp_extract(t, pattern, 3).try_cast("int").alias("verse"),
-        F.when(part != "", part).alias("part"),
-    )
-    return F.when(code.isNotNull() & t.rlike(pattern), out)
+    # a text with a semicolon is none, so those that match have three now; the end is that of $, and is left out of the part
+    pattern = r"^((?:[123]\s*)?[A-Za-z]+(?:\s+of\s+[A-Za-z]+)?|[123]?[A-Za-z]{2,3})\.?\s*(\d+)[:.](\d+)([a-zA-Z])?(?:\r\n|[\n\r\u0085\u2028\u2029])?\z"
+    fields = F.split(F.regexp_replace(F.when(~t.contains(";"), t), pattern, "$1;$2;$3;$4"), ";", -1)
+
+    def read(f: Column) -> Column:
+        part = F.lower(f[3])
+        return F.struct(book_code(f[0]).alias("book"), f[1].try_cast("int").alias("chapter"), f[2].try_cast("int").alias("verse"), F.when(part != "", part).alias("part"))
+
+    # lambdas compute their argument once, and not in one method of generated code, which the names make too long for the JVM to compile
+    read_ = F.transform(F.filter(F.array(fields), lambda f: F.size(f) == 4), read)
+    return F.get(F.filter(read_, lambda r: r["book"].isNotNull()), F.lit(0))
 
 
 def is_valid(ref: Column) -> Column:

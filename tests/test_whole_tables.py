@@ -285,3 +285,22 @@ def test_neighbours_hold_few_similarities_at_a_time(spark, monkeypatch):
     for k in (0, 127, 128, 299):
         best = sorted(unit, key=lambda o: (-round(sum(x * y for x, y in zip(unit[k], unit[o], strict=True)), 9), o))[:3]
         assert [g[2] for g in got if g[0] == k] == best
+
+
+def test_line_items_are_dealt_once_for_canonical_order(spark, sf_dir):
+    import duckdb
+
+    got = registry.QUERIES["canonical_order"](spark, sf_dir)
+    plan = got._jdf.queryExecution().optimizedPlan().toString(), got._jdf.queryExecution().executedPlan().toString()
+    assert plan[0].count("RepartitionByExpression") == 1 and plan[1].count("Exchange hashpartitioning") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(registry.ORACLES["canonical_order"]).fetchall())
+
+
+def test_verse_ids_end_where_their_text_does(spark):
+    from tessella.functions import refs
+
+    want = {"GEN 1:1a": ("GEN", 1, 1, "a"), "GEN 1:1B\n": ("GEN", 1, 1, "b"), "gen.1.2\r\n": ("GEN", 1, 2, None), "gen 1:1\n\n": None, "GEN;1;2;": None, "a;b;c;d": None, "Nothing 1:1": None, "GEN 99999999999:1": ("GEN", None, 1, None)}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", refs.parse_verse_id(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] and tuple(r["r"]) for r in rows} == want
