@@ -304,3 +304,11 @@ def test_verse_ids_end_where_their_text_does(spark):
     want = {"GEN 1:1a": ("GEN", 1, 1, "a"), "GEN 1:1B\n": ("GEN", 1, 1, "b"), "gen.1.2\r\n": ("GEN", 1, 2, None), "gen 1:1\n\n": None, "GEN;1;2;": None, "a;b;c;d": None, "Nothing 1:1": None, "GEN 99999999999:1": ("GEN", None, 1, None)}
     rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", refs.parse_verse_id(F.col("t")).alias("r")).collect()
     assert {r["t"]: r["r"] and tuple(r["r"]) for r in rows} == want
+
+
+def test_vectors_with_negative_ids_are_in_a_space(spark, tmp_path):
+    rows = [(i, [float(math.cos(i * j)) for j in range(1, 4)], 0) for i in range(-41, 42)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["cross_lingual_neighbours"](spark, str(tmp_path)).collect()
+    assert {r["vec_id"] for r in got} == {-40, -20, 0, 20, 40} and all(r["target"] % 2 for r in got)
+    assert any(r["target"] < 0 for r in got)
