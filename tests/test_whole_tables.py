@@ -312,3 +312,13 @@ def test_vectors_with_negative_ids_are_in_a_space(spark, tmp_path):
     got = registry.QUERIES["cross_lingual_neighbours"](spark, str(tmp_path)).collect()
     assert {r["vec_id"] for r in got} == {-40, -20, 0, 20, 40} and all(r["target"] % 2 for r in got)
     assert any(r["target"] < 0 for r in got)
+
+
+def test_links_of_equal_keys_and_equal_probabilities(spark):
+    from tessella.operators import align
+
+    rows = [("k", ["x", "y"], ["p", "q"]), ("k", ["z"], ["q", "p", "r"]), ("k", ["z"], ["q", "p", "r"])]
+    table = [("x", "p", 0.3), ("y", "p", 0.3 + 1e-15), ("z", "q", 0.5), ("y", "q", 0.2), ("z", "r", 0.1 + 1e-15), ("NULL", "p", 0.2)]
+    p = spark.createDataFrame(rows, "key string, a array<string>, b array<string>")
+    got = align.decode(p, "key", "a", "b", spark.createDataFrame(table, "s string, t string, prob double")).collect()
+    assert sorted(map(tuple, got)) == [("k", 0, 0, 0.3), ("k", 0, 0, 0.5), ("k", 0, 0, 0.5), ("k", 1, 1, 0.2)]
