@@ -322,3 +322,24 @@ def test_links_of_equal_keys_and_equal_probabilities(spark):
     p = spark.createDataFrame(rows, "key string, a array<string>, b array<string>")
     got = align.decode(p, "key", "a", "b", spark.createDataFrame(table, "s string, t string, prob double")).collect()
     assert sorted(map(tuple, got)) == [("k", 0, 0, 0.3), ("k", 0, 0, 0.5), ("k", 0, 0, 0.5), ("k", 1, 1, 0.2)]
+
+
+def test_word_pairs_of_one_target_are_counted_in_one_block(spark, talk, monkeypatch):
+    """Only totals of sources, and pairs of a word too common for a block, travel between blocks."""
+    from tessella.operators import align, model1
+
+    _, pairs = talk
+    df = spark.createDataFrame([(a, b) for _, _, a, b in pairs] + [([f"s{i}", "many"], [f"t{i}", "common"]) for i in range(200)], "a array<string>, b array<string>")
+    cells = sum((len(set(a)) + 1) * len(set(b)) for _, _, a, b in pairs) + 200 * 6
+    monkeypatch.setattr(model1, "CELLS", cells // 8)
+    made = []
+    held = model1.written
+    monkeypatch.setattr(model1, "written", lambda d, name, *more: made.append((name, held(d, name, *more))) or made[-1][1])
+    got = {(r["s"], r["t"]): r["prob"] for r in align.ibm1(df, "a", "b", rounds=3, tolerance=0.0).collect()}
+    assert got == pytest.approx(em_by_hand([*pairs, *[(0, 0, [f"s{i}", "many"], [f"t{i}", "common"]) for i in range(200)]], 3), abs=1e-12)
+    size = len({s for s, _ in got} | {t for _, t in got}) + 1
+    sent = next(d for name, d in made if name == "blocks").where("kind = 'keys'").collect()
+    targets = {int(k) % size for r in sent for k in model1._unpacked(r["blob"])[0].cumsum()}
+    weight = collections.Counter(t for _, _, a, b in pairs for t in set(b) for _ in range(len(set(a)) + 1)) + collections.Counter(common=600)
+    assert size - 1 in targets and len(targets) == 1 + sum(w > cells // 8 // 2 for w in weight.values()) < len(weight) / 4
+    assert len({r["block"] for r in sent}) > 4
